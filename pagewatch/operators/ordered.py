@@ -62,12 +62,14 @@ def running(
     columns: dict[str, tuple[str, Column]],
     through: bool = True,
     group_rows: int = GROUP_ROWS,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add running ``sum``/``count``/``min``/``max`` columns per key along ``order``.
 
-    ``through`` includes the current row; otherwise only the rows before it count.
+    ``through`` includes the current row; otherwise only the rows before it count. ``sizes`` passes on what
+    ``largest_group`` found, when several runs go over the same rows.
     """
-    biggest, total = largest_group(df, keys)
+    biggest, total = sizes or largest_group(df, keys)
     last = 0 if through else -1
     if biggest <= group_rows:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
