@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from pagewatch.functions.text import bound
+
 # Reserved IPv4 blocks as (first address, prefix length).
 RESERVED_V4 = [
     ("0.0.0.0", 8),
@@ -76,37 +78,53 @@ def v4_forbidden(number: Column) -> Column:
 
 def v6_hex(text: Column) -> Column:
     """The 32 hex digits of an IPv6 address, NULL when it does not have eight groups."""
-    tail = F.regexp_extract(text, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
-    packed = F.lpad(F.lower(F.hex(v4_number(tail))), 8, "0")
-    dotted = F.concat(
-        F.substring(text, F.lit(1), F.length(text) - F.length(tail)), F.substring(packed, 1, 4), F.lit(":"), F.substring(packed, 5, 4)
-    )
-    plain = F.lower(F.when(tail == "", text).otherwise(dotted))
-    short = F.contains(plain, F.lit("::"))
 
-    def groups(side: Column) -> Column:
-        return F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+    def written_out(value: Column) -> Column:
+        tail = F.regexp_extract(value, r"([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+        packed = F.lpad(F.lower(F.hex(v4_number(tail))), 8, "0")
+        front = F.substring(value, F.lit(1), F.length(value) - F.length(tail))
+        dotted = F.concat(front, F.substring(packed, 1, 4), F.lit(":"), F.substring(packed, 5, 4))
+        return F.lower(F.when(tail == "", value).otherwise(dotted))
+
+    def digits_of(plain: Column) -> Column:
+        malformed = plain.rlike(r"[^0-9a-f:]|[0-9a-f]{5}|::.*::|:::|^:[^:]|[^:]:$")
+        right = F.substring(plain, F.locate("::", plain) + 2, F.length(plain))
+        sides = F.struct(
+            _groups(F.substring_index(plain, "::", 1)).alias("left"),
+            F.when(F.contains(plain, F.lit("::")), _groups(right)).alias("right"),
+        )
+        return F.when(~malformed, bound(sides, _filled))
+
+    return bound(bound(text, written_out), digits_of)
 
-    left = groups(F.substring_index(plain, "::", 1))
-    right = F.when(short, groups(F.substring(plain, F.locate("::", plain) + 2, F.length(plain)))).otherwise(
-        F.array().cast("array<string>")
+
+def _groups(side: Column) -> Column:
+    return F.transform(F.filter(F.split(side, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+
+
+def _filled(sides: Column) -> Column:
+    """Both sides of a '::' with zero groups between; without one the left side must be complete."""
+    missing = 8 - F.size(sides["left"]) - F.size(F.coalesce(sides["right"], F.array().cast("array<string>")))
+    zeros = F.array_repeat(F.lit("0000"), F.greatest(missing, F.lit(0)))
+    digits = F.when(sides["right"].isNull(), F.array_join(sides["left"], "")).otherwise(
+        F.array_join(F.concat(sides["left"], zeros, sides["right"]), "")
     )
-    missing = 8 - F.size(left) - F.size(right)
-    filler = F.when(short & (missing > 0), F.array_repeat(F.lit("0000"), missing)).otherwise(F.array().cast("array<string>"))
-    digits = F.array_join(F.concat(left, filler, right), "")
-    malformed = plain.rlike(r"[^0-9a-f:]|[0-9a-f]{5}|::.*::|:::|^:[^:]|[^:]:$")
-    return F.when(~malformed & digits.rlike(r"^[0-9a-f]{32}$"), digits)
+    return bound(digits, lambda d: F.when(F.length(d) == 32, d))
 
 
 def v6_forbidden(digits: Column) -> Column:
-    reserved = reduce(lambda a, b: a | b, [F.startswith(digits, F.lit(block)) for block in RESERVED_V6])
-    verdict = F
-    for prefix, at in CARRIES_V4:
-        inner = F.conv(F.substring(digits, at, 8), 16, 10).cast("bigint")
-        verdict = verdict.when(F.startswith(digits, F.lit(prefix)), v4_forbidden(inner))
-    return verdict.otherwise(reserved)
+    def verdict(value: Column) -> Column:
+        reserved = reduce(lambda a, b: a | b, [F.startswith(value, F.lit(block)) for block in RESERVED_V6])
+        chain = F
+        for prefix, at in CARRIES_V4:
+            inner = F.conv(F.substring(value, at, 8), 16, 10).cast("bigint")
+            chain = chain.when(F.startswith(value, F.lit(prefix)), bound(inner, v4_forbidden))
+        return chain.otherwise(reserved)
+
+    return bound(digits, lambda value: F.when(value.isNotNull(), verdict(value)))
 
 
 def is_forbidden(address: Column) -> Column:
     """True for private, local, reserved or documentation addresses; NULL when the text is not an address."""
-    return F.when(F.contains(address, F.lit(":")), v6_forbidden(v6_hex(address))).otherwise(v4_forbidden(v4_number(address)))
+    v4 = bound(v4_number(address), v4_forbidden)
+    return F.when(F.contains(address, F.lit(":")), v6_forbidden(v6_hex(address))).otherwise(v4)

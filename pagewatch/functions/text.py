@@ -61,36 +61,68 @@ def ascii_lower(value: Column) -> Column:
 def decode_entities(value: Column) -> Column:
     """Named entities in their fixed order, then numeric ones from the left up to the first that is not valid."""
     named = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), NAMED_ENTITIES, value)
-    return bound(named, lambda text: F.when(F.contains(text, F.lit("&#")), _decode_numeric(text)).otherwise(text))
+    return bound(
+        named,
+        lambda text: F.when(~F.contains(text, F.lit("&#")), text)
+        .when(text.rlike(REVIVING), _decode_again_and_again(text))
+        .otherwise(_decode_in_one_pass(text)),
+    )
 
 
-def _decode_numeric(value: Column) -> Column:
-    # Every round removes one '&', one '#' and one ';' and adds at most one of them back.
-    marks = F.length(value) - F.length(F.translate(value, "&#;", ""))
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(marks / 2).cast("int")))
-    start = F.struct(value.alias("text"), F.lit(True).alias("open"))
-    return F.aggregate(rounds, start, lambda state, _: F.when(state["open"], _decode_one(state["text"])).otherwise(state))["text"]
+# Texts where a decoded '&' or '#' makes a new entity together with its neighbour.
+AMPERSAND, HASH = r"&#(?:\+?0*38|[xX]\+?0*26);", r"&#(?:\+?0*35|[xX]\+?0*23);"
+REVIVING = f"{AMPERSAND}(?:#|{HASH})|&{HASH}"
 
 
-def _decode_one(text: Column) -> Column:
-    at = F.locate("&#", text)
-    end = F.call_function("locate", F.lit(";"), text, at)
-    body = F.substring(text, at + 2, end - at - 2)
-    is_hex = body.rlike(r"^[xX]\+?[0-9a-fA-F]+$")
+def _entity_letter(body: Column) -> Column:
+    """The character of a numeric entity body such as 65 or x41; NULL when it is not a valid one."""
     digits = F.regexp_replace(body, r"^[xX]?\+?0*(?=[0-9a-fA-F])", "")
     short = F.length(digits) <= 8
-    code = (
-        F.when(is_hex & short, F.conv(digits, 16, 10).cast("bigint"))
-        .when(body.rlike(r"^\+?[0-9]+$") & short, digits.try_cast("bigint"))
+    code = F.when(body.rlike(r"^[xX]\+?[0-9a-fA-F]+$") & short, F.conv(digits, 16, 10).cast("bigint")).when(
+        body.rlike(r"^\+?[0-9]+$") & short, digits.try_cast("bigint")
     )
-    valid = (at > 0) & (end > at) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    decoded = F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, end + 1, F.length(text)))
-    return F.when(valid, F.struct(decoded.alias("text"), F.lit(True).alias("open"))).otherwise(
-        F.struct(text.alias("text"), F.lit(False).alias("open"))
+    return bound(
+        code,
+        lambda c: F.when(
+            (c <= 0x10FFFF) & ~c.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+        ),
     )
 
 
+def _decode_in_one_pass(text: Column) -> Column:
+    parts = F.split(text, "(?=&#)")
+
+    def decoded(part: Column) -> Column:
+        end = F.locate(";", part)
+        letter = _entity_letter(F.substring(part, F.lit(3), end - 3))
+        rest = F.substring(part, end + 1, F.length(part))
+        return F.when(~F.startswith(part, F.lit("&#")), part).when(end > 0, F.concat(letter, rest))
+
+    def put_together(done: Column) -> Column:
+        bad = F.array_position(F.transform(done, lambda d: d.isNull()), True)
+        kept = F.when(bad == 0, done).otherwise(F.slice(done, F.lit(1), F.greatest(bad - 1, F.lit(0)).cast("int")))
+        left = F.slice(parts, F.greatest(bad, F.lit(1)).cast("int"), F.size(parts))
+        return F.array_join(F.when(bad == 0, done).otherwise(F.concat(kept, left)), "")
+
+    return bound(F.transform(parts, decoded), put_together)
+
+
+def _decode_again_and_again(value: Column) -> Column:
+    # Every round removes one '&', one '#' and one ';' and adds at most one of them back.
+    marks = F.length(value) - F.length(F.translate(value, "&#;", ""))
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(marks / 2).cast("int")))
+    start = F.struct(value.alias("text"), F.lit(True).alias("open"))
+
+    def one(text: Column) -> Column:
+        at = F.locate("&#", text)
+        end = F.call_function("locate", F.lit(";"), text, at)
+        letter = F.when((at > 0) & (end > at), _entity_letter(F.substring(text, at + 2, end - at - 2)))
+        decoded = F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, end + 1, F.length(text)))
+        return bound(decoded, lambda d: F.struct(F.coalesce(d, text).alias("text"), d.isNotNull().alias("open")))
+
+    return F.aggregate(rounds, start, lambda state, _: F.when(state["open"], one(state["text"])).otherwise(state))["text"]
+
+
 def clean(value: Column) -> Column:
     return squeeze(decode_entities(value))
 
