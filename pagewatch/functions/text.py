@@ -140,7 +140,14 @@ def nanos_to_utc(nanos: Column) -> Column:
 
 
 def duration_text(millis: Column) -> Column:
-    return F.when(millis >= 1000, F.format_string("%.2fs", millis / 1000.0)).otherwise(F.format_string("%.2fms", millis))
+    """Seconds from one second on, else milliseconds, with two decimals of the exact binary value."""
+
+    def two_decimals(value: Column) -> Column:
+        return F.call_function("format_number", value, F.lit("0.00"))
+
+    return F.when(millis >= 1000, F.concat(two_decimals(millis / 1000.0), F.lit("s"))).otherwise(
+        F.concat(two_decimals(millis), F.lit("ms"))
+    )
 
 
 def label(name: Column) -> Column:
@@ -214,3 +221,8 @@ def price(text: Column) -> Column:
 
 def first_number(text: Column) -> Column:
     return F.regexp_extract(text, r"[0-9]+", 0).try_cast("double")
+
+
+def days_left(expires: Column, now: Column) -> Column:
+    """Whole days between two times in seconds, toward zero."""
+    return F.call_function("div", expires - now, F.lit(86_400))

@@ -42,7 +42,7 @@ def run_summary(items: DataFrame, keys: Sequence[str], order: Sequence[str], sho
     """Per key: number of items, their distinct matches and the first few items; no key is ever gathered whole."""
     counts = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("item_count"))
     top = first_items(items, keys, order).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_rank", *shown))).alias("shown")
+        F.array_sort(F.collect_list(F.struct("_rank", *shown)), lambda a, b: a["_rank"] - b["_rank"]).alias("shown")
     )
     matches = distinct_matches(items, keys, order)
     joined = counts.join(top, list(keys)).join(matches, list(keys), "left")

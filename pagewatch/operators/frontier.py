@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagewatch.operators.filters import BROADCAST_ROWS
+from pagewatch.functions.text import bound, query_pairs
+from pagewatch.operators.filters import BROADCAST_ROWS, small
 from pagewatch.operators.ordered import GROUP_ROWS, numbered
 from pagewatch.session import durable
 
@@ -138,3 +139,21 @@ def monitor_targets(batch: DataFrame, targets: DataFrame, how: str = "inner") ->
     """``monitor:<id>`` entries with their target row; an entry whose target is gone is skipped."""
     named = batch.withColumn("id", F.regexp_extract("entry", r"^monitor:(.+)$", 1))
     return named.join(targets, "id", how)
+
+
+def route(jobs: DataFrame, pages: DataFrame, job: str = "name") -> DataFrame:
+    """Pages of every job's own url batch (``urls``), by exact address; broadcast only when the batches are small."""
+    wanted = jobs.select(job, F.explode("urls").alias("url"))
+    return small(wanted).join(pages, "url")
+
+
+def url_parameters(urls: DataFrame, keys: Sequence[str], url: str = "url") -> DataFrame:
+    """(keys, url, key, value) of the query strings; of a name given twice the last value counts."""
+    pairs = query_pairs(F.col(url))
+
+    def last(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p: ~F.exists(pairs, lambda q: (q["key"] == p["key"]) & (q["pos"] > p["pos"])))
+
+    # All pairs of a name stand in the same row, so nothing needs to be shuffled to find the last one.
+    rows = urls.select(*keys, url, F.inline(bound(pairs, last)))
+    return rows.select(*keys, url, "key", "value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagewatch.plans import catalog_pages  # noqa: F401
+from pagewatch.plans import catalog_items, catalog_pages, catalog_records, catalog_signals, catalog_urls  # noqa: F401
 from pagewatch.plans.registry import CATALOG
 
 __all__ = ["CATALOG"]

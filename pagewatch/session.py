@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +29,23 @@ def durable(df: DataFrame) -> DataFrame:
     A lost executor then re-reads the checkpoint files instead of repeating the plan, and values that depend on
     where a row landed (a partition number) keep the value they were first given.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set up on first use. Only a local session may fall back to its own disk."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can read")
             named = tempfile.mkdtemp(prefix="pagewatch-")
         context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files of one run, below the checkpoint folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4()}"
