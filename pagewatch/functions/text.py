@@ -134,9 +134,24 @@ def job_id(name: Column) -> Column:
 
 
 def nanos_to_utc(nanos: Column) -> Column:
-    """Whole seconds in UTC, ISO form with a Z; exact for any 64-bit nanosecond value."""
-    seconds = F.call_function("div", nanos - F.pmod(nanos, F.lit(1_000_000_000)), F.lit(1_000_000_000))
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Whole seconds in UTC, ISO form with a Z, whatever the session time zone; exact for any 64-bit value."""
+
+    def whole(value: Column, unit: int) -> Column:
+        return F.call_function("div", value - F.pmod(value, F.lit(unit)), F.lit(unit))
+
+    def written(seconds: Column) -> Column:
+        rest = F.pmod(seconds, F.lit(86_400))
+        day = F.date_from_unix_date(whole(seconds, 86_400).cast("int")).cast("string")
+        parts = [whole(rest, 3600), whole(F.pmod(rest, F.lit(3600)), 60), F.pmod(rest, F.lit(60))]
+        clock = F.concat_ws(":", *[F.lpad(part.cast("string"), 2, "0") for part in parts])
+        return F.concat(day, F.lit("T"), clock, F.lit("Z"))
+
+    return bound(whole(nanos, 1_000_000_000), written)
+
+
+def wall_seconds(time: Column) -> Column:
+    """Seconds since 1970 of a time without zone, read as UTC."""
+    return F.unix_date(time.cast("date")) * F.lit(86_400).cast("bigint") + F.hour(time) * 3600 + F.minute(time) * 60 + F.second(time)
 
 
 def duration_text(millis: Column) -> Column:

@@ -81,3 +81,9 @@ def due(targets: DataFrame, now: Column, last: str = "last_check", interval: str
     """Targets whose interval has passed; a target never checked is due."""
     return targets.where(now - F.coalesce(F.col(last), F.lit(0)) >= F.col(interval))
 
+
+def reattached(returned: DataFrame, original: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Items a hook gave back, with the matches they had before; items it made up have none."""
+    known = original.select(*keys, "matches")
+    rows = returned.drop("matches").join(known, list(keys), "left")
+    return rows.withColumn("matches", F.coalesce("matches", F.array().cast("array<string>")))

@@ -70,7 +70,7 @@ def breaker_input(spark: SparkSession, folder: str) -> DataFrame:
     rows = event_attempts(spark, folder)
     matches = F.when(F.pmod("k", F.lit(10)) == 0, 0).otherwise(3)
     return rows.select(
-        "attempt_id", "job_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), "status",
+        "attempt_id", "job_id", text.wall_seconds(F.col("ts")).alias("time"), "status",
         F.col("error").isNotNull().alias("failed"), matches.alias("selector_matches"),
     )
 
@@ -115,7 +115,7 @@ def circuit_breaker(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_id, user_id FROM walk WHERE beat
 """)
 def heartbeats(spark: SparkSession, folder: str) -> DataFrame:
-    ticks = scan(spark, folder, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"))
+    ticks = scan(spark, folder, "events").select("event_id", "user_id", text.wall_seconds(F.col("ts")).alias("time"))
     return signals.heartbeats(ticks, "user_id", ["time", "event_id"], "time").where("beat").select("event_id", "user_id")
 
 
@@ -186,7 +186,7 @@ def utc_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("c03_duration_text", """
-    SELECT event_id, CASE WHEN value * 20 >= 1000 THEN printf('%.2fs', round(value * 20) / 1000) ELSE printf('%.2fms', round(value * 20) / 1.0) END AS duration FROM events
+    SELECT event_id, CASE WHEN round(value * 20) >= 1000 THEN printf('%.2fs', round(value * 20) / 1000) ELSE printf('%.2fms', round(value * 20) / 1.0) END AS duration FROM events
 """)
 def duration_text(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, folder, "events").select("event_id", text.duration_text(F.round(F.col("value") * 20)).alias("duration"))
