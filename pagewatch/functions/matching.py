@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from pagewatch.functions.text import ascii_lower
+from pagewatch.functions.text import ascii_lower, bound
 
 
 def lowered(keywords: Sequence[str] | None) -> list[str]:
@@ -16,7 +16,13 @@ def lowered(keywords: Sequence[str] | None) -> list[str]:
 
 
 def haystack(fields: Column, names: Sequence[str]) -> Column:
-    return F.concat_ws(" ", *[ascii_lower(F.element_at(fields, F.lit(name))) for name in names])
+    return F.concat_ws(" ", *[F.element_at(fields, F.lit(name)) for name in names])
+
+
+def _folded_for_ascii(text: Column) -> Column:
+    """Lower case, good for finding ASCII words: the two capitals that ``lower`` turns into ASCII are taken out first."""
+    kept = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\ufffd")), F.lit("\u0130"), F.lit("\ufffd"))
+    return F.lower(kept)
 
 
 def keyword_matches(
@@ -31,7 +37,9 @@ def keyword_matches(
     if not words:
         return F.array().cast("array<string>")
     text = haystack(fields, field_names if search_fields is None else search_fields)
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda word: F.contains(text, word))
+    # ``lower`` is many times faster than ``translate``; only words with other letters need the exact A-Z folding.
+    fold = _folded_for_ascii if all(w.isascii() for w in words) else ascii_lower
+    return bound(fold(text), lambda hay: F.filter(F.array(*[F.lit(w) for w in words]), lambda word: F.contains(hay, word)))
 
 
 def keeps(keywords: Sequence[str] | None, matches: Column) -> Column:
