@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagewatch.functions.hashing import content_hash
+from pagewatch.session import small
 from pagewatch.spec import JobSpec
 
 
@@ -21,8 +22,22 @@ def first_of_each(items: DataFrame, keys: Sequence[str], order: Sequence[str | C
 
 
 def unseen(items: DataFrame, seen: DataFrame, keys: Sequence[str] = ("hash",)) -> DataFrame:
-    """Items whose key is not in ``seen``; partitioned like the first-occurrence step, so items move once."""
-    return items.join(seen.select(*keys), list(keys), "left_anti")
+    """Items whose key is not in ``seen``; partitioned like the first-occurrence step, so items move once.
+
+    The seen keys are made distinct on the map side: a key that was stored very often would otherwise fill one task,
+    since the right side of an anti join cannot be split.
+    """
+    return items.join(seen.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def seen_among(seen: DataFrame, items: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The part of ``seen`` that concerns ``items``. A small batch is broadcast, so a long history is only scanned.
+
+    ``items`` are counted here, so they should be stored already.
+    """
+    wanted = items.select(*keys).distinct()
+    found = small(wanted)
+    return seen if found is wanted else seen.select(*keys).join(found, list(keys), "left_semi")
 
 
 def new_items(items: DataFrame, seen: DataFrame, order: Sequence[str | Column], scope: str = "global") -> DataFrame:

@@ -28,7 +28,8 @@ def distinct_matches(items: DataFrame, keys: Sequence[str], order: Sequence[str]
     The keywords are made distinct first, so what is gathered per key is no longer than the job's keyword list.
     """
     place = F.struct(*order, "_at")
-    words = items.select(*keys, *order, F.posexplode("matches").alias("_at", "keyword"))
+    # The outer form keeps Spark from filtering on size(matches) first, which would look for the keywords twice.
+    words = items.select(*keys, *order, F.posexplode_outer("matches").alias("_at", "keyword")).where("keyword IS NOT NULL")
     first = words.groupBy(*keys, "keyword").agg(F.min(place).alias("place"))
     gathered = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("_found"))
     found = F.transform("_found", lambda f: f["keyword"])

@@ -9,17 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagewatch.functions.matching import keyword_matches
 from pagewatch.functions.text import first_number, price
 from pagewatch.operators.extract import with_matches
+from pagewatch.session import small
 from pagewatch.spec import JobSpec
 
-# Fixed value: a side table is broadcast only up to this many rows; above it the join shuffles.
-BROADCAST_ROWS = 100_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def field(name: str) -> Column:
     return F.coalesce(F.element_at("fields", F.lit(name)), F.lit(""))
 

@@ -7,9 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewatch.functions.text import bound, query_pairs
-from pagewatch.operators.filters import BROADCAST_ROWS, small
 from pagewatch.operators.ordered import GROUP_ROWS, numbered
-from pagewatch.session import durable
+from pagewatch.session import BROADCAST_ROWS, durable, small
 
 # Fixed value: urls a single monitor cycle takes, seeds and accepted pushes together.
 CYCLE_LIMIT = 10_000
@@ -17,14 +16,16 @@ CYCLE_LIMIT = 10_000
 WAVES_KEPT = 8
 
 
-def expand(seeds: DataFrame, links: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def expand(seeds: DataFrame, links: DataFrame, limit: int | None = None, stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """Follow ``links(src, dst, pos)`` from ``seeds(url)`` until nothing new turns up.
 
+    Every wave reads the links once more; unless they come from a stored table (``stored``) they are written out first.
     Returns ``visited(url, wave)`` and one row of counts (processed, failed, pushed, duplicates, rejected). Urls are
     the same when their text is. A seed listed twice is processed twice. With ``limit``, seeds and accepted pushes
     stop there, in (src, pos) order within the wave.
     """
     spark = seeds.sparkSession
+    links = links if stored else durable(links.select("src", "dst", "pos"))
     frontier = durable(seeds.groupBy("url").agg(F.count(F.lit(1)).alias("times")))
     size, processed = frontier.agg(F.count(F.lit(1)), F.sum("times")).first()
     processed = processed or 0

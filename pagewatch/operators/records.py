@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pagewatch.functions.text import nanos_to_utc
+from pagewatch.operators.ordered import numbered
 
 # Page size when none or a bad one is asked for, and the largest page size.
 PAGE_SIZE, MAX_PAGE_SIZE = 30, 1000
+# Largest rank that Spark applies before the shuffle by default (spark.sql.optimizer.windowGroupLimitThreshold).
+RANK_LIMIT = 1000
 
 
 def page_size(asked: str | int | None) -> int:
@@ -21,10 +24,14 @@ def page_size(asked: str | int | None) -> int:
 def newest(records: DataFrame, limit: int | None) -> DataFrame:
     """Newest ``limit`` records of every job; all of them when there is no limit.
 
-    The rank filter reaches the map side, so a large job sends ``limit`` rows per task and not its whole history.
+    A small rank filter reaches the map side, so a large job sends ``limit`` rows per task and not its whole history.
+    Spark does that up to RANK_LIMIT; above it large jobs are ranked in pieces.
     """
     if limit is None:
         return records
+    if limit > RANK_LIMIT:
+        backwards = records.withColumns({"_ts": -F.col("ts_ns"), "_ord": -F.col("ord")})
+        return numbered(backwards, ["job_id"], ["_ts", "_ord"], "_rank").where(F.col("_rank") <= limit).drop("_ts", "_ord", "_rank")
     window = Window.partitionBy("job_id").orderBy(F.desc("ts_ns"), F.desc("ord"))
     return records.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= limit).drop("_rank")
 

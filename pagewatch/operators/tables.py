@@ -35,13 +35,23 @@ def insert_or_ignore(base: DataFrame, rows: DataFrame, keys: Sequence[str], orde
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Changed rows replace base rows of the same key; the latest of several changes (by ``order``) counts."""
+    """Changed rows replace the values of base rows of the same key, or are added; each side is shuffled once.
+
+    The latest of several changes (by ``order``) counts. Columns that ``changes`` lacks keep the base value.
+    """
     if order is not None:
         row = F.max(F.struct(order, F.struct(*changes.columns).alias("row"))).alias("last")
         changes = changes.groupBy(*keys).agg(row).select("last.row.*")
         changes = changes.drop(order) if order not in base.columns else changes
-    kept = base.alias("l").join(changes.select(*keys).alias("r"), same_keys(keys), "left_anti")
-    return kept.unionByName(changes, allowMissingColumns=True)
+    marked = changes.withColumn("_changed", F.lit(True))
+    joined = base.alias("l").join(marked.alias("r"), same_keys(keys), "full_outer")
+
+    def value(name: str) -> Column:
+        if name not in changes.columns:
+            return F.col(f"l.{name}")
+        return F.when(F.col("_changed"), F.col(f"r.{name}")).otherwise(F.col(f"l.{name}"))
+
+    return joined.select(*[value(name).alias(name) for name in base.columns])
 
 
 def update_where(table: DataFrame, condition: Column, values: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from pagewatch.plans.registry import query
 from pagewatch.plans.samples import (
     ATTEMPTS_SQL, DOCUMENTS, TARGETS_SQL, document_items, event_attempts, string_map, targets,
 )
+from pagewatch.session import small
 from pagewatch.sources.pages import attempts, scan
 
 MATCHED = f"list_filter(['the', 'les', 'und', 'zzz'], lambda k: contains({sql.ascii_lower(chr(34) + 'text' + chr(34) + " || ' ' || lang")}, k))"
@@ -56,7 +57,7 @@ JOB_OFFERS_SQL = """
 
 
 def job_offers(spark: SparkSession, folder: str) -> DataFrame:
-    nations = filters.small(scan(spark, folder, "nation"))
+    nations = small(scan(spark, folder, "nation"))
     rows = scan(spark, folder, "customer").join(nations, F.col("n_nationkey") == F.col("c_nationkey"))
     fields = string_map(
         company=F.col("n_name"), title=F.concat_ws(" ", "c_name", "c_mktsegment"),
@@ -71,7 +72,7 @@ def job_offers(spark: SparkSession, folder: str) -> DataFrame:
       AND NOT contains(lower(title), 'furniture') AND (contains(lower(title), 'auto') OR contains(lower(title), 'build') OR contains(lower(title), '77'))
 """)
 def blocklist_terms(spark: SparkSession, folder: str) -> DataFrame:
-    regions = filters.small(scan(spark, folder, "region").where(F.col("r_name").isin("ASIA", "EUROPE")))
+    regions = small(scan(spark, folder, "region").where(F.col("r_name").isin("ASIA", "EUROPE")))
     blocked = scan(spark, folder, "nation").join(regions, F.col("r_regionkey") == F.col("n_regionkey"))
     title = F.lower(filters.field("title"))
     kept = filters.not_blocked(job_offers(spark, folder), blocked, filters.field("company"), "n_name")
@@ -270,7 +271,7 @@ def job_page_routing(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def blocklist_anti_join(spark: SparkSession, folder: str) -> DataFrame:
     nations = scan(spark, folder, "nation")
-    named = scan(spark, folder, "supplier").join(filters.small(nations), F.col("n_nationkey") == F.col("s_nationkey"))
+    named = scan(spark, folder, "supplier").join(small(nations), F.col("n_nationkey") == F.col("s_nationkey"))
     blocked = nations.where(F.col("n_regionkey") == 2).select(F.col("n_name").alias("blocked_name"))
     return filters.not_blocked(named, blocked, F.col("n_name"), "blocked_name").select("s_suppkey", "s_name")
 

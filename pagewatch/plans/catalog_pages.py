@@ -271,7 +271,7 @@ def link_table(spark: SparkSession, folder: str) -> DataFrame:
     return extract.page_links(scan_pages(spark, folder), "a")
 
 
-@query("x17_job_address_base", f"""
+@query("x13_job_address_base", f"""
     SELECT page_id, item_ord, 'https://monitor.example.com' || {sql.clean('href')} AS link FROM ({sql.LIST_ITEMS})
 """)
 def job_address_base(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,7 +102,7 @@ def heartbeat_stream(spark: SparkSession, folder: str) -> DataFrame:
     return state.outcomes(spark).where("beat").groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("due"))
 
 
-@query("s12_two_runs_nothing_new", f"WITH {KEPT} SELECT 0 AS run, count(*) AS new FROM first UNION ALL SELECT 1, 0")
+@query("d02_two_runs_nothing_new", f"WITH {KEPT} SELECT 0 AS run, count(*) AS new FROM first UNION ALL SELECT 1, 0")
 def two_runs_nothing_new(spark: SparkSession, folder: str) -> DataFrame:
     """D2 and S8 over the cycle: the same pages again bring nothing new."""
     cycle = Cycle(TEXT_ONLY, RecordStore(spark, scratch(spark)))

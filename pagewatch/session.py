@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+# A side table is broadcast only when it is known to have at most this many rows; above that the join shuffles.
+BROADCAST_ROWS = 100_000
 
 
 def build_session(app: str = "pagewatch", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -49,3 +53,8 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> str:
     """A new folder for files of one run, below the checkpoint folder."""
     return f"{shared_folder(spark)}/{uuid.uuid4()}"
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else ``df`` itself."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

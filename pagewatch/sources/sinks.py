@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagewatch.operators.dedup import as_records, new_items, seen_of
+from pagewatch.operators.dedup import as_records, new_items, seen_among, seen_of
 
 RECORD_SCHEMA = (
     "job_id string, fields map<string,string>, ts_ns bigint, page_id bigint, ord bigint, hash string, "
@@ -35,11 +35,18 @@ class RecordStore:
         return rows if before_batch is None else rows.where(F.col("batch_id") < before_batch)
 
     def add(self, items: DataFrame, batch_id: int, ts_ns: Column, scope: str = "global") -> DataFrame:
-        """Store the new items of a batch and return them as stored. Replaying a batch gives the same result."""
-        new = new_items(items, seen_of(self.records(batch_id), scope), ["page_id", "item_ord"], scope)
+        """Store the new items of a batch and return them as stored. Replaying a batch gives the same result.
+
+        Newest records come first in every file, so a page of the newest ones reads little. ``items`` are read more than
+        once and should be stored already.
+        """
+        keys = ["hash"] if scope == "global" else ["job_id", "hash"]
+        seen = seen_among(seen_of(self.records(batch_id), scope), items, keys)
+        new = new_items(items, seen, ["page_id", "item_ord"], scope)
         target = f"{self.folder}/records/batch_id={batch_id}"
-        records = as_records(new, ts_ns, extra=["page_id"])
-        records.write.mode("overwrite").partitionBy("job_id").parquet(target)
+        # Rebalancing puts a job's records together but splits a job that is too large for one task.
+        records = as_records(new, ts_ns, extra=["page_id"]).hint("rebalance", "job_id")
+        records.sortWithinPartitions("job_id", F.desc("ts_ns"), F.desc("ord")).write.mode("overwrite").partitionBy("job_id").parquet(target)
         return self.batch(batch_id)
 
     def batch(self, batch_id: int) -> DataFrame:
@@ -53,4 +60,4 @@ def write_outbox(rows: DataFrame, folder: str, name: str, batch_id: int) -> None
 
 def write_debug(items: DataFrame, folder: str, batch_id: int) -> None:
     """Items with their provenance, one folder per job."""
-    items.write.mode("overwrite").partitionBy("job_id").json(f"{folder.rstrip('/')}/debug/batch_id={batch_id}")
+    items.hint("rebalance", "job_id").write.mode("overwrite").partitionBy("job_id").json(f"{folder.rstrip('/')}/debug/batch_id={batch_id}")

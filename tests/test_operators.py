@@ -58,6 +58,7 @@ def test_newest_per_job(stored):
     found = records.newest(stored, 2).collect()
     assert sorted((r["job_id"], r["ord"]) for r in found) == [("a", 8), ("a", 9), ("b", 3), ("b", 4)]
     assert records.newest(stored, None).count() == 15
+    assert records.newest(stored, records.RANK_LIMIT + 1).count() == 15
 
 
 @pytest.mark.parametrize(("asked", "size"), [(None, 30), ("x", 30), ("7", 7), (5000, 1000), ("-1", 30)])
