@@ -76,51 +76,59 @@ REVIVING = f"{AMPERSAND}(?:#|{HASH})|&{HASH}"
 
 def _entity_letter(body: Column) -> Column:
     """The character of a numeric entity body such as 65 or x41; NULL when it is not a valid one."""
-    digits = F.regexp_replace(body, r"^[xX]?\+?0*(?=[0-9a-fA-F])", "")
-    short = F.length(digits) <= 8
-    code = F.when(body.rlike(r"^[xX]\+?[0-9a-fA-F]+$") & short, F.conv(digits, 16, 10).cast("bigint")).when(
-        body.rlike(r"^\+?[0-9]+$") & short, digits.try_cast("bigint")
-    )
+    # conv reads both forms: the hex form by its base, the decimal form as it is.
+    is_hex = F.upper(F.substring(body, 1, 1)) == "X"
+    digits = F.regexp_extract(body, r"^(?:[xX]\+?0*([0-9a-fA-F]{1,8})|\+?0*([0-9]{1,8}))$", 1)
+    decimal = F.regexp_extract(body, r"^\+?0*([0-9]{1,8})$", 1)
+    code = F.when(is_hex, F.conv(F.nullif(digits, F.lit("")), 16, 10)).otherwise(F.nullif(decimal, F.lit("")))
     return bound(
-        code,
-        lambda c: F.when(
-            (c <= 0x10FFFF) & ~c.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
-        ),
+        code.cast("bigint"),
+        lambda c: F.when((c <= 0x10FFFF) & ~c.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")),
     )
 
 
 def _decode_in_one_pass(text: Column) -> Column:
-    parts = F.split(text, "(?=&#)")
-
     def decoded(part: Column) -> Column:
-        end = F.locate(";", part)
-        letter = _entity_letter(F.substring(part, F.lit(3), end - 3))
-        rest = F.substring(part, end + 1, F.length(part))
-        return F.when(~F.startswith(part, F.lit("&#")), part).when(end > 0, F.concat(letter, rest))
+        def entity(end: Column) -> Column:
+            letter = _entity_letter(F.substring(part, F.lit(3), end - 3))
+            return F.when(end > 0, F.concat(letter, F.substring(part, end + 1, F.length(part))))
+
+        return F.when(F.startswith(part, F.lit("&#")), bound(F.locate(";", part), entity)).otherwise(part)
 
-    def put_together(done: Column) -> Column:
-        bad = F.array_position(F.transform(done, lambda d: d.isNull()), True)
-        kept = F.when(bad == 0, done).otherwise(F.slice(done, F.lit(1), F.greatest(bad - 1, F.lit(0)).cast("int")))
-        left = F.slice(parts, F.greatest(bad, F.lit(1)).cast("int"), F.size(parts))
-        return F.array_join(F.when(bad == 0, done).otherwise(F.concat(kept, left)), "")
+    def put_together(work: Column) -> Column:
+        """Decoded parts up to the first bad one, then the rest as it was."""
+        bad = F.array_position(F.transform(work["done"], lambda d: d.isNull()), True).cast("int")
+        stopped = F.concat(
+            F.slice(work["done"], F.lit(1), F.greatest(bad - 1, F.lit(0))), F.slice(work["parts"], F.greatest(bad, F.lit(1)), F.size(work["parts"]))
+        )
+        return F.array_join(F.when(bad == 0, work["done"]).otherwise(stopped), "")
 
-    return bound(F.transform(parts, decoded), put_together)
+    def work(parts: Column) -> Column:
+        return F.struct(parts.alias("parts"), F.transform(parts, decoded).alias("done"))
+
+    return bound(bound(F.split(text, "(?=&#)"), work), put_together)
 
 
 def _decode_again_and_again(value: Column) -> Column:
     # Every round removes one '&', one '#' and one ';' and adds at most one of them back.
     marks = F.length(value) - F.length(F.translate(value, "&#;", ""))
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(marks / 2).cast("int")))
-    start = F.struct(value.alias("text"), F.lit(True).alias("open"))
 
     def one(text: Column) -> Column:
-        at = F.locate("&#", text)
-        end = F.call_function("locate", F.lit(";"), text, at)
-        letter = F.when((at > 0) & (end > at), _entity_letter(F.substring(text, at + 2, end - at - 2)))
-        decoded = F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, end + 1, F.length(text)))
-        return bound(decoded, lambda d: F.struct(F.coalesce(d, text).alias("text"), d.isNotNull().alias("open")))
+        def entity(at: Column, end: Column) -> Column:
+            letter = F.when(end > at, _entity_letter(F.substring(text, at + 2, end - at - 2)))
+            return F.concat(F.substring(text, F.lit(1), at - 1), letter, F.substring(text, end + 1, F.length(text)))
+
+        next_end = lambda at: bound(F.call_function("locate", F.lit(";"), text, at), lambda end: entity(at, end))
+        return bound(F.locate("&#", text), next_end)
+
+    def advance(state: Column, _: Column) -> Column:
+        """A NULL in ``next`` means that nothing more can be decoded."""
+        following = F.struct(F.coalesce(state["next"], state["text"]).alias("text"), one(state["next"]).alias("next"))
+        return F.when(state["next"].isNull(), state).otherwise(following)
 
-    return F.aggregate(rounds, start, lambda state, _: F.when(state["open"], one(state["text"])).otherwise(state))["text"]
+    last = F.aggregate(rounds, F.struct(value.alias("text"), one(value).alias("next")), advance)
+    return F.coalesce(last["next"], last["text"])
 
 
 def clean(value: Column) -> Column:

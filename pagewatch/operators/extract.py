@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,24 +22,32 @@ def parse_pages(pages: DataFrame, body: str = "html", keep_body: bool = False) -
     return parsed.drop("_document") if keep_body else parsed.drop("_document", body)
 
 
-def text_of(node: Column, segments: Column) -> Column:
-    pieces = F.slice(segments, node["seg_from"] + 1, node["seg_to"] - node["seg_from"])
-    return clean(F.array_join(pieces, " "))
+def raw_text(node: Column, segments: Column) -> Column:
+    return F.array_join(F.slice(segments, node["seg_from"] + 1, node["seg_to"] - node["seg_from"]), " ")
 
 
 def attribute_of(node: Column, name: str) -> Column:
     return clean(F.element_at(node["attrs"], F.lit(name.lower())))
 
 
-def value_of(node: Column, attr: str, segments: Column, base: Column) -> Column:
-    """Text or attribute of a node, empty when there is no node or attribute. Only href is made absolute."""
-    if attr.lower() == "text":
-        value = bound(node, lambda n: F.when(n.isNotNull(), text_of(n, segments)))
-    elif attr.lower() == "href":
-        value = resolve(base, attribute_of(node, attr))
-    else:
-        value = attribute_of(node, attr)
-    return F.coalesce(value, F.lit(""))
+def raw_value(node: Column, attr: str, segments: Column) -> Column:
+    """Undecoded text or attribute of a node; NULL when there is no node or attribute."""
+    if attr.lower() != "text":
+        return F.element_at(node["attrs"], F.lit(attr.lower()))
+    return bound(node, lambda n: F.when(n.isNotNull(), raw_text(n, segments)))
+
+
+def field_values(found: list[tuple[FieldSpec, Column]], segments: Column, base: Column) -> Column:
+    """Values of all fields in order, empty for what is missing. Only href is made absolute.
+
+    Decoding and resolving stand in the plan once for all fields, not once per field.
+    """
+    values = F.transform(F.array(*[raw_value(n, f.attr, segments) for f, n in found]), lambda v: F.coalesce(clean(v), F.lit("")))
+    is_link = [f.attr.lower() == "href" for f, _ in found]
+    if not any(is_link):
+        return values
+    flags = F.array(*[F.lit(flag) for flag in is_link])
+    return F.transform(values, lambda v, i: F.when(F.get(flags, i), resolve(base, v)).otherwise(v))
 
 
 def outer_html(node: Column, body: Column) -> Column:
@@ -77,27 +86,19 @@ class Plan:
         return css.css_first_within(nodes, root, css.read_css(field.selector), whole_page=parser == "dom")
 
 
-def extract_pages(
-    pages: DataFrame, spec: JobSpec, base: str = "page", strict_raw: bool = False, body: str = "html"
-) -> DataFrame:
-    """One row per page: ``items`` (before keyword filtering) and ``selector_matches``.
-
-    Fields are read inside the item array, so the node array is never copied per item. ``base`` names what relative
-    links are resolved against: the page or the job address. The body stays only for debug specifications.
-    """
-    plan = Plan(spec, strict_raw)
+def _page_items(plan: Plan, base: str, body: str, debug: bool) -> Column:
+    """The items of one page for one specification, before keyword filtering."""
     nodes, segments = F.col("nodes"), F.col("segments")
-    origin = F.col("url") if base == "page" else F.lit(spec.url)
-    debug = spec.debug
+    origin = F.col("url") if base == "page" else F.lit(plan.spec.url)
+    fields = {f.name: f for f in plan.spec.fields}
+    names = F.array(*[F.lit(name) for name in fields])
 
     def item(root: Column) -> Column:
-        found = {f.name: (f, plan.field_node(f, nodes, root)) for f in spec.fields}
-        values = [F.lit(name) for name in found], [value_of(n, f.attr, segments, origin) for f, n in found.values()]
-        columns = [F.map_from_arrays(F.array(*values[0]), F.array(*values[1])).alias("fields")]
+        found = [(f, plan.field_node(f, nodes, root)) for f in fields.values()]
+        columns = [F.map_from_arrays(names, field_values(found, segments, origin)).alias("fields")]
         if debug:
-            names = F.array(*values[0])
-            parsers = F.array(*[F.lit(plan.field_parser(f)) for f, _ in found.values()])
-            matched = F.array(*[outer_html(n, F.col(body)) for _, n in found.values()])
+            parsers = F.array(*[F.lit(plan.field_parser(f)) for f, _ in found])
+            matched = F.array(*[outer_html(n, F.col(body)) for _, n in found])
             columns += [
                 F.lit(plan.page_parser).alias("parser"),
                 F.map_from_arrays(names, parsers).alias("field_parsers"),
@@ -106,18 +107,56 @@ def extract_pages(
             ]
         return F.struct(*columns)
 
+    return F.transform(plan.containers(nodes), item)
+
+
+def extract_pages(
+    pages: DataFrame, spec: JobSpec, base: str = "page", strict_raw: bool = False, body: str = "html"
+) -> DataFrame:
+    """One row per page: ``items`` (before keyword filtering) and ``selector_matches``.
+
+    Fields are read inside the item array, so the node array is never copied per item. ``base`` names what relative
+    links are resolved against: the page or the job address. The body stays only for debug specifications.
+    """
+    parsed = parse_pages(pages, body, keep_body=spec.debug)
+    items = _page_items(Plan(spec, strict_raw), base, body, spec.debug)
+    return parsed.withColumn("items", items).drop("nodes", "segments").withColumn("selector_matches", F.size("items"))
+
+
+def extract_many(
+    pages: DataFrame, specs: Sequence[JobSpec], base: str = "page", route: bool = True, debug: bool = False, body: str = "html"
+) -> DataFrame:
+    """Kept items of several jobs from one reading of the pages; with ``route`` each job sees only its own addresses."""
     parsed = parse_pages(pages, body, keep_body=debug)
-    found = parsed.withColumn("items", F.transform(plan.containers(nodes), item)).drop("nodes", "segments")
-    return found.withColumn("selector_matches", F.size("items"))
+    kept = [c for c in parsed.columns if c not in ("nodes", "segments")]
+
+    def of_job(spec: JobSpec) -> Column:
+        items = _page_items(Plan(spec), base, body, debug)
+        own = F.when(F.col("url").isin(spec.targets), items) if route else items
+        return F.struct(F.lit(spec.job_id).alias("job_id"), own.alias("items"))
+
+    rows = parsed.select(*kept, F.inline_outer(F.array(*[of_job(spec) for spec in specs])))
+    items = _exploded(rows.where(F.col("items").isNotNull()).withColumn("selector_matches", F.size("items")))
+    matches = keep = F
+    for spec in specs:
+        mine = F.col("job_id") == spec.job_id
+        matches = matches.when(mine, keyword_matches(F.col("fields"), spec.keywords, spec.field_names, spec.search_fields))
+        keep = keep.when(mine, F.lit(not spec.keywords))
+    matched = items.withColumn("matches", matches)
+    return matched.where(keep | (F.size("matches") > 0)).drop(body)
 
 
-def items_of(extracted: DataFrame, spec: JobSpec) -> DataFrame:
-    """One row per kept item: ``job_id``, position on the page, fields and keyword matches."""
+def _exploded(extracted: DataFrame) -> DataFrame:
     # The outer form keeps Spark from placing a size(items) filter below the parse, which would run it twice.
     rows = extracted.select(
         *[c for c in extracted.columns if c != "items"], F.posexplode_outer("items").alias("item_ord", "_item")
-    ).where(F.col("_item").isNotNull()).select("*", "_item.*").drop("_item")
-    return with_matches(rows.withColumn("job_id", F.lit(spec.job_id)), spec)
+    )
+    return rows.where(F.col("_item").isNotNull()).select("*", "_item.*").drop("_item")
+
+
+def items_of(extracted: DataFrame, spec: JobSpec) -> DataFrame:
+    """One row per kept item: ``job_id``, position on the page, fields and keyword matches."""
+    return with_matches(_exploded(extracted).withColumn("job_id", F.lit(spec.job_id)), spec)
 
 
 def with_matches(items: DataFrame, spec: JobSpec) -> DataFrame:

@@ -160,16 +160,12 @@ def complex_selectors(spark: SparkSession, folder: str) -> DataFrame:
     SELECT 'raw', 'raw', 'dom-fallback', sum(len(regexp_extract_all(html, '<li>', 0)))::BIGINT FROM pages
 """)
 def parser_choice(spark: SparkSession, folder: str) -> DataFrame:
-    pages = scan_pages(spark, folder)
     specs = [
-        JobSpec("Literal", "https://monitor.example.com", "nav li", ["text:a", "link:a@href"], debug=True),
-        JobSpec("Css", "https://monitor.example.com", "li:first-child", ["text:a", "link:a@href"], debug=True),
-        JobSpec("Mixed", "https://monitor.example.com", "nav li", ["text:a", "link:a[href]@href"], debug=True),
+        JobSpec("Literal", "https://monitor.example.com", "nav li", ["text:a", "link:a@href"]),
+        JobSpec("Css", "https://monitor.example.com", "li:first-child", ["text:a", "link:a@href"]),
+        JobSpec("Mixed", "https://monitor.example.com", "nav li", ["text:a", "link:a[href]@href"]),
     ]
-    found = None
-    for spec in specs:
-        items = extract.extract_items(pages, spec).select("parser", "field_parsers")
-        found = items if found is None else found.unionByName(items)
+    found = extract.extract_many(scan_pages(spark, folder), specs, route=False, debug=True)
     return found.groupBy(
         "parser", F.col("field_parsers")["text"].alias("text_parser"), F.col("field_parsers")["link"].alias("link_parser")
     ).agg(F.count(F.lit(1)).alias("items"))
@@ -207,6 +203,22 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "item_ord", "selector_matches", "text", "link", F.array_join("matches", ",").alias("matches"))
 
 
+@query("j03_jobs_over_own_pages", f"""
+    SELECT 'secure_links' AS job_id, page_id, item_ord, {sql.clean('txt')} AS text FROM ({sql.LIST_ITEMS}) WHERE page_id IN (SELECT min(page_id) FROM pages UNION SELECT max(page_id) FROM pages)
+    UNION ALL SELECT 'titles', page_id, 0, {sql.clean("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} FROM pages WHERE page_id = (SELECT max(page_id) FROM pages)
+""")
+def jobs_over_own_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Two jobs over one reading of the pages, each on its own addresses."""
+    pages = scan_pages(spark, folder)
+    ends = pages.agg(F.min_by("url", "page_id"), F.max_by("url", "page_id")).first()
+    specs = [
+        JobSpec("Secure Links", ends[0], "nav li", ["text:a"], urls=list(ends)),
+        JobSpec("Titles", ends[1], "article", ["text:h1"]),
+    ]
+    rows = extract.extract_many(pages, specs)
+    return rows.select("job_id", "page_id", "item_ord", F.col("fields")["text"].alias("text"))
+
+
 @query("x11_whitespace", f"""
     SELECT doc_id, sha256({sql.squeeze("'  ' || replace(text, ' ', chr(160) || chr(9)) || chr(10)")}) AS digest FROM documents
 """)

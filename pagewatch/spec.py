@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagewatch.functions.text import strip
+from pagewatch.functions.text import bound, strip
 
 # Defaults of a job specification.
 DEFAULT_INTERVAL = 600
@@ -43,17 +43,22 @@ class FieldSpec:
 
 def shorthand(text: Column) -> Column:
     """The same reading for a column of field texts; NULL when there is no colon."""
-    cut = F.locate(":", text)
-    rest = F.substring(text, cut + 1, F.length(text))
-    at = F.locate("@", rest)
-    selector = F.when(at > 0, F.substring(rest, F.lit(1), at - 1)).otherwise(rest)
-    attr = F.when(at > 0, strip(F.substring(rest, at + 1, F.length(rest)))).otherwise(F.lit(""))
-    parsed = F.struct(
-        strip(F.substring(text, F.lit(1), cut - 1)).alias("name"),
-        strip(selector).alias("selector"),
-        F.when(attr == "", F.lit(DEFAULT_ATTRIBUTE)).otherwise(attr).alias("attr"),
-    )
-    return F.when(cut > 0, parsed)
+
+    def read(value: Column) -> Column:
+        cut = F.locate(":", value)
+        name = F.substring(value, F.lit(1), cut - 1)
+        rest = F.substring(value, cut + 1, F.length(value))
+        return F.when(cut > 0, bound(rest, lambda r: parts(name, r)))
+
+    def parts(name: Column, rest: Column) -> Column:
+        attr = strip(F.regexp_extract(rest, "(?s)@(.*)$", 1))
+        return F.struct(
+            strip(name).alias("name"),
+            strip(F.regexp_extract(rest, "(?s)^([^@]*)", 1)).alias("selector"),
+            F.when(attr == "", F.lit(DEFAULT_ATTRIBUTE)).otherwise(attr).alias("attr"),
+        )
+
+    return bound(text, read)
 
 
 @dataclass(frozen=True)
