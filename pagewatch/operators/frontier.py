@@ -59,7 +59,8 @@ def expand(seeds: DataFrame, links: DataFrame, limit: int | None = None, stored:
         if size:
             waves.append(frontier.select("url", F.lit(wave).alias("wave")))
             if len(waves) > WAVES_KEPT:
-                waves = [durable(_union(waves))]
+                # Partitioned anew, or the number of partitions would grow with every wave.
+                waves = [durable(_union(waves).repartition("url"))]
     counts = spark.range(1).select(
         *[F.lit(v).cast("bigint").alias(n) for n, v in (
             ("processed", processed), ("failed", 0), ("pushed", pushed), ("duplicates", duplicates), ("rejected", rejected)

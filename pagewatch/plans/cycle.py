@@ -96,7 +96,8 @@ class Cycle:
             counts = items.groupBy("page_id").agg(F.count(F.lit(1)).alias("selector_matches"))
             found = pages.select("page_id", "status").join(counts, "page_id", "left").fillna(0, ["selector_matches"])
             return found, items
-        rows = extract_pages(pages, self.spec)
+        # Written once: both the page counts and the items come from it, and reading pages is the costly part.
+        rows = durable(extract_pages(pages, self.spec))
         items = items_of(rows, replace(self.spec, keywords=None)).drop("html")
         return rows.select("page_id", "status", "selector_matches"), items
 
