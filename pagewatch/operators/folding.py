@@ -43,13 +43,16 @@ def keyed_fold(
     if known is None:
         source = source.withColumns({name: F.lit(value).cast("double") for name, value in zip(start_columns, empty)})
     else:
-        started = known.select(F.col(key), *[F.col(c).cast("double").alias(s) for c, s in zip(state_columns, start_columns)])
-        source = source.join(started, key, "left").fillna(dict(zip(start_columns, empty)))
+        started = known.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(s) for c, s in zip(state_columns, start_columns)])
+        source = source.join(started, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").fillna(dict(zip(start_columns, empty)))
     total = source.count()
     pieces = max(-(-total // group_rows), rows.sparkSession.sparkContext.defaultParallelism)
     chunks = chunked(source, [key], order, max(1, -(-total // pieces)), max(1, total))
 
-    spans = {r[CHUNK]: (r["low"], r["high"]) for r in chunks.groupBy(CHUNK).agg(F.min(key).alias("low"), F.max(key).alias("high")).collect()}
+    # Inside a struct NULL is a key like any other, and the first in order.
+    wrapped = F.struct(key)
+    ends = chunks.groupBy(CHUNK).agg(F.min(wrapped).alias("low"), F.max(wrapped).alias("high")).collect()
+    spans = {r[CHUNK]: (r["low"][0], r["high"][0]) for r in ends}
     order_of = sorted(spans)
     follows = {b: a for a, b in zip(order_of, order_of[1:]) if spans[a][1] == spans[b][0]}
     entering = _settle(chunks, key, inputs, start_columns, step, spans, follows)
@@ -71,14 +74,18 @@ def keyed_fold(
     return chunks.mapInPandas(emit, schema)
 
 
+def _plain(column: pd.Series) -> list:
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
 def _folder(key, inputs, start_columns, step, entering):
     def fold(batches):
         current, piece, state = None, None, ()
         for batch in batches:
             states, results = [], []
-            keys, chunk_of = batch[key].tolist(), batch[CHUNK].tolist()
+            keys, chunk_of = _plain(batch[key]), batch[CHUNK].tolist()
             starts = list(zip(*[batch[c].tolist() for c in start_columns]))
-            values = list(zip(*[batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in inputs]))
+            values = list(zip(*[_plain(batch[c]) for c in inputs]))
             for name, chunk, begin, row in zip(keys, chunk_of, starts, values):
                 if chunk != piece:
                     piece, current = chunk, name
@@ -101,7 +108,8 @@ def _settle(chunks, key, inputs, start_columns, step, spans, follows):
     # The last key of every feeding piece: one row per piece, so a broadcast is safe.
     schema = T.StructType([chunks.schema[CHUNK], chunks.schema[key]])
     ending = chunks.sparkSession.createDataFrame([(c, spans[c][1]) for c in sorted(feeding)], schema)
-    last_rows = chunks.join(F.broadcast(ending), [CHUNK, key], "left_semi")
+    same = (F.col(f"c.{CHUNK}") == F.col(f"e.{CHUNK}")) & F.col(f"c.{key}").eqNullSafe(F.col(f"e.{key}"))
+    last_rows = chunks.alias("c").join(F.broadcast(ending).alias("e"), same, "left_semi")
     leaving: dict[int, State] = {}
     entering: dict[int, State] = {}
     todo = feeding

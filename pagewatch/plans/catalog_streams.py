@@ -111,7 +111,7 @@ def two_runs_nothing_new(spark: SparkSession, folder: str) -> DataFrame:
     return runs[0].unionByName(runs[1])
 
 
-@query("h01_request_stages", f"""
+@query("h01_h02_request_stages", f"""
     WITH {KEPT} SELECT page_id, item_ord, text FROM kept WHERE starts_with(url, 'https:') QUALIFY row_number() OVER (PARTITION BY text ORDER BY page_id, item_ord) = 1
 """)
 def request_stages(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +163,7 @@ def custom_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return stored(cycle.store.records()).select(F.col("text").alias("title"), "page_id")
 
 
-@query("h05_item_stages", f"""
+@query("h05_h06_h07_item_stages", f"""
     WITH items AS (SELECT page_id, item_ord, upper(replace({sql.clean('txt')}, 'ß', 'SS')) AS text FROM ({sql.LIST_ITEMS}) WHERE item_ord < 4),
     kept AS (SELECT * FROM items WHERE length(text) > 4 AND text NOT LIKE 'A%')
     SELECT page_id, item_ord, text, array_to_string(list_filter(['the', 'und', 'les'], lambda k: contains(lower(text), k)), ',') AS matches FROM kept
@@ -185,7 +185,7 @@ def item_stages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("h08_outbox_stages", f"""
+@query("h08_h09_outbox_stages", f"""
     WITH {KEPT}, told AS (SELECT count(*) AS n FROM first WHERE length(text) > 5)
     SELECT 'notification' AS outbox, n || ' new matches from Nav Links' AS title, n AS items FROM told
     UNION ALL SELECT 'webhook', 'part ' || (place // 1000 + 1), count(*) FROM (SELECT row_number() OVER (ORDER BY page_id, item_ord) - 1 AS place FROM first) GROUP BY place // 1000
@@ -209,7 +209,7 @@ def outbox_stages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("h10_run_callbacks", f"WITH {KEPT} SELECT 'on_success' AS called, (SELECT count(*) FROM first) AS new UNION ALL SELECT 'on_finally', 0")
 def run_callbacks(spark: SparkSession, folder: str) -> DataFrame:
-    """H10 and H11: the callbacks of a run get its counts."""
+    """H10: the callbacks of a run get its counts."""
     called: list[DataFrame] = []
     nothing = spark.range(1).select(F.lit("on_finally").alias("called"), F.lit(0).cast("bigint").alias("new"))
     hooks = Hooks(
@@ -220,6 +220,23 @@ def run_callbacks(spark: SparkSession, folder: str) -> DataFrame:
     return called[0].unionByName(called[1])
 
 
+@query("h11_start_and_finish", f"""
+    WITH {KEPT}, mine AS (SELECT DISTINCT text FROM kept WHERE NOT contains(url, '?'))
+    SELECT 'nav_links' AS job_id, (SELECT count(*) FROM ({sql.LIST_ITEMS}) WHERE NOT contains(url, '?')) AS selector_matches,
+           (SELECT count(*) FROM mine) AS new
+""")
+def start_and_finish(spark: SparkSession, folder: str) -> DataFrame:
+    """H11: the address batch is computed at the start, and the counts come back at the end of the stream's batch."""
+    base = scratch(spark)
+    finished: list[DataFrame] = []
+    chosen = scan(spark, folder, "pages").where(~F.contains("url", F.lit("?"))).select("url")
+    cycle = Cycle(TEXT_ONLY, RecordStore(spark, base), Hooks(on_start=lambda session: chosen, on_finished=finished.append), batch_limit=None)
+    cycle.hooks.before_fetch = cycle.batch_pages
+    stream = monitor.stream_pages(spark, f"{folder}/pages*.parquet", scan(spark, folder, "pages").schema)
+    monitor.monitor(stream, cycle, f"{base}/progress").awaitTermination()
+    return finished[0].select("job_id", "selector_matches", F.col("new").cast("bigint").alias("new"))
+
+
 @query("h12_item_identity", f"""
     WITH {KEPT}
     SELECT page_id, item_ord, array_to_string(list_filter(['the', 'und', 'les'], lambda k: contains(hay, k)), ',') AS matches FROM kept

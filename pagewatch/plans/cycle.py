@@ -12,9 +12,9 @@ from pagewatch.operators.dedup import hash_items
 from pagewatch.operators.digest import digests, webhook_payloads
 from pagewatch.operators.extract import extract_pages, items_of
 from pagewatch.operators.filters import filtered
-from pagewatch.operators.frontier import seed_batch
+from pagewatch.operators.frontier import CYCLE_LIMIT, seed_batch
 from pagewatch.operators.signals import diagnosis, funnel
-from pagewatch.session import durable
+from pagewatch.session import durable, small
 from pagewatch.sources.pages import accepted
 from pagewatch.sources.sinks import RecordStore, write_debug, write_outbox
 from pagewatch.spec import JobSpec
@@ -69,10 +69,15 @@ class Cycle:
     store: RecordStore
     hooks: Hooks = field(default_factory=Hooks)
     scope: str = "global"
+    batch_limit: int | None = CYCLE_LIMIT
 
     def batch_urls(self, spark: SparkSession) -> DataFrame:
         urls = spark.createDataFrame([(u,) for u in self.spec.targets], "url string")
-        return seed_batch(spark, urls, self.hooks.on_start)
+        return seed_batch(spark, urls, self.hooks.on_start, self.batch_limit)
+
+    def batch_pages(self, pages: DataFrame) -> DataFrame:
+        """The pages of this cycle's address batch; no address, no work."""
+        return small(self.batch_urls(pages.sparkSession)).join(pages, "url").select(*pages.columns)
 
     def fetched(self, pages: DataFrame) -> DataFrame:
         for stage in (self.hooks.before_fetch, self.hooks.override_fetch):

@@ -53,7 +53,7 @@ def test_breaker_against_a_loop(spark):
     for i in range(2500):
         time += RNG.randrange(1, 9)
         status = RNG.choice([200, 200, 500, 500, 500, None, 403 if i % 50 == 0 else 500, 404])
-        rows.append((i, "hot" if i % 10 else f"k{i % 70}", time, status, status is None, RNG.choice([0, 1, 2, 3, 4]) if i % 9 == 0 else 5))
+        rows.append((i, ("hot" if i % 3 else None) if i % 10 else f"k{i % 70}", time, status, status is None, RNG.choice([0, 1, 2, 3, 4]) if i % 9 == 0 else 5))
     table = spark.createDataFrame(rows, "seq bigint, job string, time bigint, status int, failed boolean, selector_matches int").repartition(5)
     states, expected = {}, {}
     for seq, job, at, status, failed, matches in rows:
