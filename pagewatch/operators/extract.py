@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -123,17 +124,29 @@ def extract_pages(
     return parsed.withColumn("items", items).drop("nodes", "segments").withColumn("selector_matches", F.size("items"))
 
 
+def on_targets(spec: JobSpec) -> Column:
+    """The pages of a job's own address batch."""
+    return F.col("url").isin(spec.targets)
+
+
 def extract_many(
-    pages: DataFrame, specs: Sequence[JobSpec], base: str = "page", route: bool = True, debug: bool = False, body: str = "html"
+    pages: DataFrame, specs: Sequence[JobSpec], own: Callable[[JobSpec], Column] | None = on_targets, base: str = "page",
+    debug: bool = False, body: str = "html",
 ) -> DataFrame:
-    """Kept items of several jobs from one reading of the pages; with ``route`` each job sees only its own addresses."""
+    """Kept items of several jobs from one reading of the pages.
+
+    ``own`` tells which pages a job sees (its address batch unless said otherwise, all when None); a page that no job
+    sees is not read at all.
+    """
+    if own:
+        pages = pages.where(reduce(lambda a, b: a | b, [own(spec) for spec in specs]))
     parsed = parse_pages(pages, body, keep_body=debug)
     kept = [c for c in parsed.columns if c not in ("nodes", "segments")]
 
     def of_job(spec: JobSpec) -> Column:
         items = _page_items(Plan(spec), base, body, debug)
-        own = F.when(F.col("url").isin(spec.targets), items) if route else items
-        return F.struct(F.lit(spec.job_id).alias("job_id"), own.alias("items"))
+        seen = F.when(own(spec), items) if own else items
+        return F.struct(F.lit(spec.job_id).alias("job_id"), seen.alias("items"))
 
     rows = parsed.select(*kept, F.inline_outer(F.array(*[of_job(spec) for spec in specs])))
     items = _exploded(rows.where(F.col("items").isNotNull()).withColumn("selector_matches", F.size("items")))
@@ -193,7 +206,7 @@ def page_links(pages: DataFrame, selector: str = "a", body: str = "html") -> Dat
 
 def routed(pages: DataFrame, spec: JobSpec) -> DataFrame:
     """Pages of the job's own address batch, by exact address."""
-    return pages.where(F.col("url").isin(spec.targets))
+    return pages.where(on_targets(spec))
 
 
 def preview(pages: DataFrame, spec: JobSpec, rows: int = 1) -> DataFrame:

@@ -165,7 +165,7 @@ def parser_choice(spark: SparkSession, folder: str) -> DataFrame:
         JobSpec("Css", "https://monitor.example.com", "li:first-child", ["text:a", "link:a@href"]),
         JobSpec("Mixed", "https://monitor.example.com", "nav li", ["text:a", "link:a[href]@href"]),
     ]
-    found = extract.extract_many(scan_pages(spark, folder), specs, route=False, debug=True)
+    found = extract.extract_many(scan_pages(spark, folder), specs, own=None, debug=True)
     return found.groupBy(
         "parser", F.col("field_parsers")["text"].alias("text_parser"), F.col("field_parsers")["link"].alias("link_parser")
     ).agg(F.count(F.lit(1)).alias("items"))
@@ -204,18 +204,18 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("j03_jobs_over_own_pages", f"""
-    SELECT 'secure_links' AS job_id, page_id, item_ord, {sql.clean('txt')} AS text FROM ({sql.LIST_ITEMS}) WHERE page_id IN (SELECT min(page_id) FROM pages UNION SELECT max(page_id) FROM pages)
-    UNION ALL SELECT 'titles', page_id, 0, {sql.clean("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} FROM pages WHERE page_id = (SELECT max(page_id) FROM pages)
+    SELECT 'secure_links' AS job_id, page_id, item_ord, {sql.clean('txt')} AS text FROM ({sql.LIST_ITEMS}) WHERE starts_with(url, 'https:')
+    UNION ALL SELECT 'headings', page_id, 0, {sql.clean("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} FROM pages WHERE contains(url, '?')
 """)
 def jobs_over_own_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Two jobs over one reading of the pages, each on its own addresses."""
-    pages = scan_pages(spark, folder)
-    ends = pages.agg(F.min_by("url", "page_id"), F.max_by("url", "page_id")).first()
-    specs = [
-        JobSpec("Secure Links", ends[0], "nav li", ["text:a"], urls=list(ends)),
-        JobSpec("Titles", ends[1], "article", ["text:h1"]),
-    ]
-    rows = extract.extract_many(pages, specs)
+    links = JobSpec("Secure Links", "https://monitor.example.com", "nav li", ["text:a"])
+    headings = JobSpec("Headings", "https://monitor.example.com", "article", ["text:h1"])
+
+    def own(spec: JobSpec):
+        return F.startswith("url", F.lit("https:")) if spec is links else F.contains("url", F.lit("?"))
+
+    rows = extract.extract_many(scan_pages(spark, folder), [links, headings], own)
     return rows.select("job_id", "page_id", "item_ord", F.col("fields")["text"].alias("text"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewatch.operators import selectors
-from pagewatch.operators.extract import extract_items, extract_pages, items_of, page_links, pivot_fields
+from pagewatch.operators.extract import extract_items, extract_many, extract_pages, items_of, page_links, pivot_fields
 from pagewatch.spec import FieldSpec, JobSpec, load_specs
 
 URL = "https://shop.example.com/list/today?x=1"
@@ -123,6 +123,18 @@ def test_pages_are_parsed_once(spark):
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
 
 
+def test_several_jobs_share_one_parse(spark):
+    rows = spark.createDataFrame([(0, "https://a/", CARDS), (1, "https://b/", CARDS), (2, "https://c/", CARDS)], "page_id bigint, url string, html string")
+    specs = [
+        JobSpec("A", "https://a/", ".card", ["t:h2"], keywords=["second"]), JobSpec("B", "https://b/", "h2", [FieldSpec("x", "", "text")], urls=["https://a/", "https://b/"]),
+    ]
+    found = extract_many(rows, specs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted((r["job_id"], r["page_id"], r["item_ord"], *r["fields"].values(), len(r["matches"])) for r in found.collect()) == [
+        ("a", 0, 1, "Second", 1), ("b", 0, 0, "First & best", 0), ("b", 0, 1, "Second", 0), ("b", 1, 0, "First & best", 0), ("b", 1, 1, "Second", 0),
+    ]
+
+
 def test_shorthand_and_toml(tmp_path):
     assert FieldSpec.parse(" a : p.x:y @ href ") == FieldSpec("a", "p.x:y", "href")
     assert FieldSpec.parse("a:@") == FieldSpec("a", "", "text")
