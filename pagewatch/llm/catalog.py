@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewatch.llm import minhash_dedup, sql
+from pagewatch.llm import decontaminate, minhash_dedup, sharding, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,13 @@ def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_copies(table(spark, folder, "documents"), width=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_dedup,)}
-ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES}
+def op5_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.stratified_shards(table(spark, folder, "documents"))
+
+
+def op9_contained_items(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_dedup, op5_stratified_shards, op9_contained_items)}
+ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op9_contained_items": sql.CONTAINED_ITEMS}

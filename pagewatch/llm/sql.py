@@ -31,3 +31,24 @@ least_of AS (SELECT v, min(c) AS component_id FROM reached GROUP BY v)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
 FROM sets s JOIN least_of l ON l.v = s.doc_id
 """
+
+CONTAINED_ITEMS = """
+WITH item_words AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM benchmark
+),
+doc_words AS (
+  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM documents
+),
+item_flat AS (
+  SELECT DISTINCT item_id, least(len(w), 5) AS wide, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), i -> w[i : i + least(len(w), 5) - 1])) AS shingle
+  FROM item_words WHERE len(w) > 0
+),
+widths AS (SELECT DISTINCT wide FROM item_flat),
+doc_flat AS (
+  SELECT DISTINCT doc_id, wide, unnest(list_transform(range(1, len(w) - wide + 2), i -> w[i : i + wide - 1])) AS shingle FROM doc_words, widths WHERE len(w) >= wide
+),
+sizes AS (SELECT item_id, count(*) AS n FROM item_flat GROUP BY item_id)
+SELECT d.doc_id, i.item_id, count(*) AS n_found, s.n AS n_shingles
+FROM doc_flat d JOIN item_flat i ON d.wide = i.wide AND d.shingle = i.shingle JOIN sizes s ON s.item_id = i.item_id
+GROUP BY d.doc_id, i.item_id, s.n HAVING 100 * count(*) >= 80 * s.n
+"""
