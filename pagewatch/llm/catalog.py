@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewatch.llm import decontaminate, minhash_dedup, sharding, sql
+from pagewatch.llm import decontaminate, minhash_dedup, secret_scans, sharding, sql
+from pagewatch.llm.common import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -27,5 +29,9 @@ def op9_contained_items(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_dedup, op5_stratified_shards, op9_contained_items)}
-ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op9_contained_items": sql.CONTAINED_ITEMS}
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scans.scan(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_dedup, op5_stratified_shards, op9_contained_items, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op9_contained_items": sql.CONTAINED_ITEMS, "op10_secret_scan": sql.SECRETS}

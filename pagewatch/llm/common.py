@@ -8,14 +8,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewatch.session import durable
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Text that one step of a task works on at a time, and words that a task remembers.
-BATCH_BYTES = 8 << 20
-MEMO_WORDS = 400_000
+BATCH_BYTES = 4 << 20
+MEMO_WORDS = 200_000
+#: Rows that Spark hands to a Python worker at a time; its own default, 10,000, is meant for short rows.
+BATCH_ROWS = 1024
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of texts takes, in the session of the caller."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -10,11 +10,11 @@ reached AS (
 
 NEAR_COPIES = f"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
   FROM documents
 ),
 sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> w[i : i + 3])) END AS s
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i : i + 3])) END AS s
   FROM words
 ),
 flat AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
@@ -34,21 +34,50 @@ FROM sets s JOIN least_of l ON l.v = s.doc_id
 
 CONTAINED_ITEMS = """
 WITH item_words AS (
-  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM benchmark
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
 ),
 doc_words AS (
-  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), x -> x <> '') AS w FROM documents
+  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
 ),
 item_flat AS (
-  SELECT DISTINCT item_id, least(len(w), 5) AS wide, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), i -> w[i : i + least(len(w), 5) - 1])) AS shingle
+  SELECT DISTINCT item_id, least(len(w), 5) AS wide, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: w[i : i + least(len(w), 5) - 1])) AS shingle
   FROM item_words WHERE len(w) > 0
 ),
 widths AS (SELECT DISTINCT wide FROM item_flat),
 doc_flat AS (
-  SELECT DISTINCT doc_id, wide, unnest(list_transform(range(1, len(w) - wide + 2), i -> w[i : i + wide - 1])) AS shingle FROM doc_words, widths WHERE len(w) >= wide
+  SELECT DISTINCT doc_id, wide, unnest(list_transform(range(1, len(w) - wide + 2), lambda i: w[i : i + wide - 1])) AS shingle FROM doc_words, widths WHERE len(w) >= wide
 ),
 sizes AS (SELECT item_id, count(*) AS n FROM item_flat GROUP BY item_id)
 SELECT d.doc_id, i.item_id, count(*) AS n_found, s.n AS n_shingles
 FROM doc_flat d JOIN item_flat i ON d.wide = i.wide AND d.shingle = i.shingle JOIN sizes s ON s.item_id = i.item_id
 GROUP BY d.doc_id, i.item_id, s.n HAVING 100 * count(*) >= 80 * s.n
 """
+
+
+def _spans(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of a rule with their places: the pieces between matches and the matches, in turn, add up to them."""
+    value = pattern.replace("'", "''")
+    return f"""
+{kind}_parts AS (
+  SELECT n, string_split_regex(t, '{value}') AS gaps, regexp_extract_all(t, '{value}', 0) AS found, regexp_extract_all(t, '{value}', {group}) AS held FROM texts
+),
+{kind}_spans AS (
+  SELECT n, {place} AS place, '{kind}' AS kind, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda g: length(g))), 0) AS start, length(found[i]) AS long
+  FROM {kind}_parts, unnest(range(1, len(found) + 1)) AS u(i) WHERE length(held[i]) >= {least}
+)"""
+
+
+SECRETS = f"""
+WITH texts AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+{_spans(0, "assign", r"((?i:password|passwd|secret|token|api_?key))[" + chr(34) + r"']?\x20*[:=]\x20*[" + chr(34) + r"']?([A-Za-z0-9+/_.=-]+)", 2, 8)},
+{_spans(1, "access", "AKIA[A-Z0-9]+", 0, 16)},
+{_spans(2, "hex", "[0-9a-f]+", 0, 32)},
+spans AS (SELECT * FROM assign_spans UNION ALL SELECT * FROM access_spans UNION ALL SELECT * FROM hex_spans),
+listed AS (
+  SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(concat(kind, ':', CAST(start AS BIGINT), ':', CAST(start + long AS BIGINT)), ',' ORDER BY start, place) AS s
+  FROM spans GROUP BY n
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM texts LEFT JOIN listed USING (n)
+"""
