@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewatch.llm import decontaminate, minhash_dedup, secret_scans, sharding, sql
+from pagewatch.llm import decontaminate, minhash_dedup, secret_scans, sharding, sql, token_counts
 from pagewatch.llm.common import short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,5 +34,9 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scans.scan(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_dedup, op5_stratified_shards, op9_contained_items, op10_secret_scan)}
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op9_contained_items, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op9_contained_items": sql.CONTAINED_ITEMS, "op10_secret_scan": sql.SECRETS}
