@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewatch.llm import decontaminate, minhash_dedup, secret_scans, sharding, sql, token_counts
-from pagewatch.llm.common import short_batches
+from pagewatch.llm import decontaminate, language_ppm, minhash_dedup, secret_scans, sharding, sql, token_counts
+from pagewatch.llm.common import held_out, short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def op5_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, folder, "documents"))
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return language_ppm.predict(documents, language_ppm.learn(documents.where(~held_out(F.col("doc_id")))))
+
+
 def op9_contained_items(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -38,5 +43,5 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op9_contained_items, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op7_language, op9_contained_items, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op9_contained_items": sql.CONTAINED_ITEMS, "op10_secret_scan": sql.SECRETS}
