@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewatch.llm import decontaminate, html_content, language_ppm, minhash_dedup, quality_mil, secret_scans, sharding, sql, token_counts
+from pagewatch.llm import decontaminate, embedding_dedup, html_content, language_ppm, minhash_dedup, quality_mil, secret_scans, sharding, sql, token_counts
 from pagewatch.llm.common import held_out, short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op5_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.stratified_shards(table(spark, folder, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_copies(table(spark, folder, "embeddings"))
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return language_ppm.predict(documents, language_ppm.learn(documents.where(~held_out(F.col("doc_id")))))
@@ -52,5 +56,5 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op7_language, op8_main_text, op9_contained_items, op10_secret_scan)}
-ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op9_contained_items": sql.CONTAINED_ITEMS, "op10_secret_scan": sql.SECRETS}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op6_embedding_dedup, op7_language, op8_main_text, op9_contained_items, op10_secret_scan)}
+ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op6_embedding_dedup": sql.NEAR_VECTORS, "op9_contained_items": sql.CONTAINED_ITEMS, "op10_secret_scan": sql.SECRETS}

@@ -63,6 +63,48 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def by_group(columns: list[str], work):
+    """``work`` on every group of rows with equal ``columns``, which sorting has put together, across the batches of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(c).to_numpy() for c in columns], axis=1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                if last is not None and tuple(names[start]) != last:
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+                last = tuple(names[start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return run
+
+
+def joining(labels: list[int], a: list[int], b: list[int]) -> list[int]:
+    """Which of the links between places ``a`` and ``b`` join two parts that were apart, places of one label being together."""
+    root = {k: k for k in set(labels)}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    kept = []
+    for n, (i, j) in enumerate(zip(a, b)):
+        i, j = find(labels[i]), find(labels[j])
+        if i != j:
+            root[max(i, j)] = min(i, j)
+            kept.append(n)
+    return kept
+
+
 def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of each batch as links of its vertices to the smallest vertex that the batch joins them with."""
     for batch in batches:

@@ -32,6 +32,21 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_i
 FROM sets s JOIN least_of l ON l.v = s.doc_id
 """
 
+NEAR_VECTORS = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9
+),
+vertices AS (SELECT vec_id AS v FROM embeddings),
+{REACHED},
+least_of AS (SELECT v, min(c) AS component_id FROM reached GROUP BY v),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v AS vec_id, coalesce(n, 0) AS n_links, component_id, v = component_id AS kept FROM least_of LEFT JOIN counts ON a = v
+"""
+
 CONTAINED_ITEMS = """
 WITH item_words AS (
   SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
