@@ -5,22 +5,53 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewatch.llm import minhash_dedup
-from pagewatch.session import shared_folder
+from pagewatch.llm import decontaminate, language_ppm, minhash_dedup, pieces, secret_scans
+from pagewatch.llm.common import held_out, short_batches
+from pagewatch.session import shared_folder, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned from the labelled ones. Texts without letters go, and those that every
+    language codes no better than bytes of which nothing is known; the predicted language is the one kept in ``lang``."""
+    short_batches(spark)
+    model = language_ppm.learn(docs.where(~held_out(F.col("doc_id"))))
+    named = language_ppm.kept(docs.select(COLUMNS), model)
+    return named.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; repeated rows of an id go, rows without id stay."""
+    """One document of each group of near copies, that with the smallest id; repeated rows go, rows without id stay."""
+    short_batches(spark)
     kept = minhash_dedup.near_copies(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(COLUMNS).dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL").select(COLUMNS))
+    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(COLUMNS).union(docs.where("doc_id IS NULL").select(COLUMNS))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    named = small(found.select(F.col("doc_id").alias("named")).distinct())
+    return docs.select(COLUMNS).join(named, F.col("doc_id").eqNullSafe(F.col("named")), "left_anti")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced."""
+    clean = secret_scans.redact(docs.select(COLUMNS))
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece counts and checksums of the encoded texts and of their sampled segmentations."""
+    short_batches(spark)
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+STAGES: list[tuple[str, Stage]] = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("segmented", segmented)]
 #: Language models and tokenizers are nothing that SQL expresses; tests hold the stages against plain versions.
 ORACLE_SQL: str | None = None
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewatch.llm import decontaminate, embedding_dedup, html_content, language_ppm, minhash_dedup, quality_mil, secret_scans, sharding, sql, token_counts
+from pagewatch.llm import decontaminate, embedding_dedup, html_content, language_ppm, minhash_dedup, pieces, quality_mil, secret_scans, sharding, sql, token_counts
 from pagewatch.llm.common import held_out, short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_mil.score(documents, quality_mil.learn(documents, labels.where(~held_out(F.col("doc_id")))))
 
 
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_copies(table(spark, folder, "documents"), width=4, percent=80)
 
@@ -56,5 +60,5 @@ def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op6_embedding_dedup, op7_language, op8_main_text, op9_contained_items, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op6_embedding_dedup, op7_language, op8_main_text, op9_contained_items, op10_secret_scan)}
 ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op6_embedding_dedup": sql.NEAR_VECTORS, "op9_contained_items": sql.CONTAINED_ITEMS, "op10_secret_scan": sql.SECRETS}

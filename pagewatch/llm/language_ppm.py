@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from pagewatch.llm.common import held_out, slices
 from pagewatch.session import durable
@@ -223,3 +223,21 @@ def predict(df: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     read = df.select(F.col(id_column).alias("id"), held_out(F.col(id_column)).alias("held_out"), F.col(text_column).cast("string").alias("text"))
     scored = read.mapInArrow(run, f"id {dict(read.dtypes)['id']}, held_out boolean, lang_pred string, score double, bits_per_byte double")
     return scored.withColumnRenamed("id", id_column)
+
+
+def kept(df: DataFrame, model: Model, text_column: str = "text", unknown: str = "und") -> DataFrame:
+    """The rows of ``df`` whose text is in a learned language, with ``lang_pred``. Texts that are ``unknown`` go, and texts
+    whose shortest code is longer than the uniform one. The decision is made in the pass over the rows, without a join."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for whole in batches:
+            for batch in slices(whole, text_column, 1 << 20):
+                texts = [t.encode() if t else b"" for t in batch.column(text_column).to_pylist()]
+                bits = own.bits(texts)
+                names = [own.languages[int(r.argmin())] if own.languages and LETTER.search(t.decode()) and r.min() <= own.uniform * len(t) else unknown for t, r in zip(texts, bits)]
+                out = batch.append_column("lang_pred", pa.array(names, pa.string()))
+                yield out.filter(pa.array([n != unknown for n in names], pa.bool_()))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType())]))
