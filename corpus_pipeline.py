@@ -17,8 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned from the labelled ones. Texts without letters go, and those that every
-    language codes no better than bytes of which nothing is known; the predicted language is the one kept in ``lang``."""
+    """Documents in one of the languages learned from those that name theirs. Null texts and texts without letters are
+    rejected and go; the predicted language is the one kept in ``lang``."""
     short_batches(spark)
     model = language_ppm.learn(docs.where(~held_out(F.col("doc_id"))))
     named = language_ppm.kept(docs.select(COLUMNS), model)

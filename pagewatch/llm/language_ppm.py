@@ -66,11 +66,6 @@ class Model:
     node_of: np.ndarray
     cost: np.ndarray
 
-    @property
-    def uniform(self) -> float:
-        """Bits of a byte that no language tells anything about."""
-        return float(np.log2(self.cost.shape[1]))
-
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths of texts, a column for each language."""
         total = np.zeros((len(texts), len(self.languages)))
@@ -226,8 +221,8 @@ def predict(df: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
 
 def kept(df: DataFrame, model: Model, text_column: str = "text", unknown: str = "und") -> DataFrame:
-    """The rows of ``df`` whose text is in a learned language, with ``lang_pred``. Texts that are ``unknown`` go, and texts
-    whose shortest code is longer than the uniform one. The decision is made in the pass over the rows, without a join."""
+    """The rows of ``df`` whose text is in a learned language, with ``lang_pred``. Null texts and texts without a letter,
+    which are ``unknown``, go. The decision is made in the pass over the rows, without a join."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +231,7 @@ def kept(df: DataFrame, model: Model, text_column: str = "text", unknown: str =
             for batch in slices(whole, text_column, 1 << 20):
                 texts = [t.encode() if t else b"" for t in batch.column(text_column).to_pylist()]
                 bits = own.bits(texts)
-                names = [own.languages[int(r.argmin())] if own.languages and LETTER.search(t.decode()) and r.min() <= own.uniform * len(t) else unknown for t, r in zip(texts, bits)]
+                names = [own.languages[int(r.argmin())] if own.languages and LETTER.search(t.decode()) else unknown for t, r in zip(texts, bits)]
                 out = batch.append_column("lang_pred", pa.array(names, pa.string()))
                 yield out.filter(pa.array([n != unknown for n in names], pa.bool_()))
 
