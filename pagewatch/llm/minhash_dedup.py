@@ -13,14 +13,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import WordHashes, components, mix, slices
+from pagewatch.llm.common import WordHashes, by_group, components, joining, mix, slices
 from pagewatch.session import durable, small
 
 #: Bands and rows: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26, 3 in 100,000.
 BANDS, ROWS = 26, 5
-#: Bucket members that all others of the bucket are compared with first.
-HUBS = 3
-STEP_ELEMENTS = 200_000
+STEP_ELEMENTS = 50_000
+#: Rows of a block that meets another one in a task, and shingles of one product.
+BLOCK, COLUMNS = 256, 4096
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -143,11 +143,66 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
-def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def block_links(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Links (a, b) that join different components in two blocks of one bucket, or in one block, by full sets.
+
+    Intersections of all rows are the product of their incidences on the shingles that several rows have, so many
+    columns at a time.
+    """
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
+    sizes = np.array([len(s) for s in sets], np.float32)
+    v, c, side = (rows[name].to_numpy() for name in ("v", "c", "side"))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not rows["crossed"][0].as_py():
+        right = left
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[column[several]], owner[several]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+        incidence = np.zeros((len(sets), COLUMNS), np.float32)
+        incidence[owner[part], column[part] - start] = 1
+        both += incidence[left] @ incidence[right].T
+    near = (100 * both >= percent * (sizes[left][:, None] + sizes[right] - both)) & (c[left][:, None] != c[right])
+    a, b = np.nonzero(near)
+    a, b = left[a], right[b]
+    keep = joining(c.tolist(), a.tolist(), b.tolist())
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(v[a[keep]], v[b[keep]])), pa.array(np.maximum(v[a[keep]], v[b[keep]]))], ["a", "b"])
+
+
+GROUP = ["bucket", "i", "j"]
+
+
+def between_components(placed: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between components within the buckets of ``placed`` (bucket, v, c).
+
+    Members outside a bucket's largest component meet all others. Both kinds are dealt out to blocks, and every pair of
+    blocks of which one is outside is a group of its own.
+    """
+    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("members"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", "members").alias("main"), F.max("members").alias("inside"), (F.sum("members") - F.max("members")).alias("outside")).where("parts > 1")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    mixed = mixed.select("bucket", "main", blocks("outside").alias("o"), blocks("inside").alias("m"))
+    dealt = placed.join(mixed, "bucket").withColumn("is_out", F.col("c") != F.col("main"))
+    spread = F.xxhash64("v", "bucket")
+    dealt = dealt.withColumn("own", F.when(F.col("is_out"), F.pmod(spread, "o")).otherwise(F.col("o") + F.pmod(spread, "m")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("is_out"), F.col("o") + F.col("m")).otherwise(F.col("o")) - 1)))
+    grid = dealt.select(
+        "bucket", "v", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("crossed")
+    )
+    rows = grid.join(sets.select(F.col("id").alias("v"), "shingles"), "v").repartition(*[F.col(x) for x in GROUP]).sortWithinPartitions(*GROUP)
+    return rows.mapInArrow(by_group(GROUP, lambda rows: block_links(rows, percent)), "a long, b long")
+
+
+def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``df``.
 
     Rows with one set of shingles are one class, and only its smallest id is compared. In every bucket of a band the
-    members first meet a few of them (``HUBS``), and components are formed; then members outside the bucket's largest
+    members first meet the smallest of them, and components are formed; then members outside the bucket's largest
     component meet all members of other components, so no candidate pair between components stays untested, while pairs
     within a component, which cannot change it, are never made. Both passes confirm pairs on full sets.
 
@@ -159,30 +214,18 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     sound = prints.where("id IS NOT NULL AND set_key IS NOT NULL")
     classes = sound.groupBy("set_key").agg(F.min("id").alias("v"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     members = classes.select("v", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), *[F.min_by("v", F.xxhash64("v", F.lit(k))).alias(f"hub{k}") for k in range(1, HUBS)]).where("low < high")
-    buckets = durable(members.join(shared, "bucket"))
-
-    def pair(x: str, y: str, source: DataFrame) -> DataFrame:
-        return source.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    first = pair("v", "low", buckets)
-    for k in range(1, HUBS):
-        first = first.union(pair("v", f"hub{k}", buckets))
-    first = first.distinct()
+    shared = members.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.min_by("n", "v").alias("low_n")).where("low < high")
+    buckets = durable(members.join(shared.drop("high"), "bucket"))
+    alike = F.least("n", "low_n") * 100 >= F.greatest("n", "low_n") * percent
+    first = buckets.where((F.col("v") != F.col("low")) & alike).select(F.col("low").alias("a"), F.col("v").alias("b")).distinct()
     near = buckets.select(F.col("v").alias("id")).distinct()
     sets = durable(whole_sets(texts.join(small(near), "id"), width).distinct())
     links = durable(verified(first, sets, percent))
     own = sound.join(classes.select("set_key", "v"), "set_key").where("id <> v").select(F.col("id").alias("a"), F.col("v").alias("b"))
 
     found = components(links)
-    placed = buckets.join(found.withColumnRenamed("component", "c"), "v", "left").select("bucket", "v", "n", F.coalesce("c", "v").alias("c"))
-    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("members"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", "members").alias("main")).where("parts > 1")
-    placed = durable(placed.join(mixed.select("bucket", "main"), "bucket"))
-    outside = placed.where("c <> main").select("bucket", F.col("v").alias("u"), F.col("n").alias("un"), F.col("c").alias("uc"))
-    sized = (F.least("n", "un") * 100 >= F.greatest("n", "un") * percent) & (F.col("c") != F.col("uc")) & ((F.col("c") == F.col("main")) | (F.col("u") < F.col("v")))
-    second = outside.join(placed, "bucket").where(sized).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = links.union(verified(second, sets, percent)).union(own)
+    placed = buckets.join(found.withColumnRenamed("component", "c"), "v", "left").select("bucket", "v", F.coalesce("c", "v").alias("c"))
+    links = links.union(between_components(durable(placed), sets, percent, block)).union(own)
     reached = components(links).select(F.col("v").alias("id"), F.col("component").alias("component_id"))
     answer = prints.select("id", "n_shingles").join(reached, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return answer.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -36,7 +36,20 @@ def corpus():
 
 def test_same_as_all_pairs(spark):
     rows = corpus()
-    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    for block in (256, 5):
+        got = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), width=4, block=block).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4, 80)
+
+
+def test_large_group_of_copies_of_copies(spark):
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(500):
+        copy = list(base)
+        for _ in range(rng.randrange(12)):
+            copy[rng.randrange(120)] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string"), width=4, block=60).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, 4, 80)
 
 
