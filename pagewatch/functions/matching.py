@@ -19,6 +19,13 @@ def haystack(fields: Column, names: Sequence[str]) -> Column:
     return F.concat_ws(" ", *[F.element_at(fields, F.lit(name)) for name in names])
 
 
+def whole_haystack(fields: Column, names: Sequence[str]) -> Column:
+    """All values: those of ``names`` in their order, then those of fields that a hook added, by name."""
+    known = F.array(*[F.lit(name) for name in names]) if names else F.array().cast("array<string>")
+    added = F.transform(F.array_sort(F.array_except(F.map_keys(fields), known)), lambda name: F.element_at(fields, name))
+    return F.concat_ws(" ", *[F.element_at(fields, F.lit(name)) for name in names], added)
+
+
 def _folded_for_ascii(text: Column) -> Column:
     """Lower case, good for finding ASCII words: the two capitals that ``lower`` turns into ASCII are taken out first."""
     kept = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\ufffd")), F.lit("\u0130"), F.lit("\ufffd"))
@@ -32,11 +39,11 @@ def keyword_matches(
     search_fields: Sequence[str] | None = None,
 ) -> Column:
     """Keywords found in the searched fields, in keyword order. Without ``search_fields`` all fields are searched, in
-    their declared order."""
+    their declared order, and undeclared ones after them."""
     words = lowered(keywords)
     if not words:
         return F.array().cast("array<string>")
-    text = haystack(fields, field_names if search_fields is None else search_fields)
+    text = whole_haystack(fields, field_names) if search_fields is None else haystack(fields, search_fields)
     # ``lower`` is many times faster than ``translate``; only words with other letters need the exact A-Z folding.
     fold = _folded_for_ascii if all(w.isascii() for w in words) else ascii_lower
     return bound(fold(text), lambda hay: F.filter(F.array(*[F.lit(w) for w in words]), lambda word: F.contains(hay, word)))

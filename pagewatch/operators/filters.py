@@ -21,11 +21,14 @@ def with_field(fields: Column, name: str, value: Column) -> Column:
     return F.map_concat(F.map_filter(fields, lambda k, _: k != name), F.create_map(F.lit(name), value))
 
 
-def filtered(items: DataFrame, spec: JobSpec, item_filter: Callable[[DataFrame], DataFrame] | Column | None = None) -> DataFrame:
-    """The filter stage. A custom filter replaces the keyword filter; matches are then read again from its fields."""
+def filtered(items: DataFrame, spec: JobSpec, item_filter: Callable[[DataFrame], DataFrame | None] | Column | None = None) -> DataFrame | None:
+    """The filter stage. A custom filter replaces the keyword filter; matches are then read again from its fields. None
+    if it answers with nothing."""
     if item_filter is None:
         return with_matches(items.drop("matches"), spec)
     kept = items.where(item_filter) if isinstance(item_filter, Column) else item_filter(items)
+    if kept is None:
+        return None
     matches = keyword_matches(F.col("fields"), spec.keywords, spec.field_names, spec.search_fields)
     return kept.withColumn("matches", matches)
 

@@ -10,7 +10,7 @@ from pagewatch.functions.text import bound, query_pairs
 from pagewatch.operators.ordered import GROUP_ROWS, numbered
 from pagewatch.session import BROADCAST_ROWS, durable, small
 
-# Fixed value: urls a single monitor cycle takes, seeds and accepted pushes together.
+# Fixed value: urls a single monitor cycle takes, seeds and accepted pushes together. It holds only where it is passed as a limit.
 CYCLE_LIMIT = 10_000
 # Waves kept apart before they are written together again, so that plans stay short.
 WAVES_KEPT = 8
@@ -77,7 +77,7 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def seed_batch(
-    spark: SparkSession, urls: DataFrame, seed_fn: Callable[[SparkSession], DataFrame | None] | None, limit: int | None = CYCLE_LIMIT
+    spark: SparkSession, urls: DataFrame, seed_fn: Callable[[SparkSession], DataFrame | None] | None, limit: int | None = None
 ) -> DataFrame:
     """The batch of a cycle: what ``seed_fn`` returns, unless it returns None or an invalid batch.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagewatch.functions.text import nanos_to_utc
 from pagewatch.operators.ordered import numbered
@@ -14,11 +14,10 @@ RANK_LIMIT = 1000
 
 
 def page_size(asked: str | int | None) -> int:
-    try:
-        size = int(asked)
-    except (TypeError, ValueError):
-        return PAGE_SIZE
-    return PAGE_SIZE if size < 0 else min(size, MAX_PAGE_SIZE)
+    """What was asked for, up to the largest; anything but a plain number of ASCII digits is the default."""
+    digits = str(asked) if isinstance(asked, (str, int)) and not isinstance(asked, bool) else ""
+    plain = digits.removeprefix("+")
+    return min(int(plain), MAX_PAGE_SIZE) if plain.isascii() and plain.isdigit() else PAGE_SIZE
 
 
 def newest(records: DataFrame, limit: int | None) -> DataFrame:
@@ -36,32 +35,43 @@ def newest(records: DataFrame, limit: int | None) -> DataFrame:
     return records.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def keyset_page(records: DataFrame, job_id: str, limit: int, after: int | None = None, after_ord: int | None = None) -> DataFrame:
-    """The next page of a job, newest first. The cursor is the last row's time, and its ord among equal times."""
+def keyset_page(
+    records: DataFrame, job_id: str, limit: int, after: int | None = None, after_ord: int | None = None, after_hash: str | None = None
+) -> DataFrame:
+    """The next page of a job, newest first. The cursor is the last row's time, its ord among equal times, and its hash,
+    of which a job has one record, among equal ords. Without the latter two, rows of the cursor's time are passed over."""
     rows = records.where(F.col("job_id") == job_id)
     if after is not None:
         older = F.col("ts_ns") < after
         if after_ord is not None:
-            older = older | ((F.col("ts_ns") == after) & (F.col("ord") < after_ord))
+            lower = F.col("ord") < after_ord
+            if after_hash is not None:
+                lower = lower | ((F.col("ord") == after_ord) & (F.col("hash") < after_hash))
+            older = older | ((F.col("ts_ns") == after) & lower)
         rows = rows.where(older)
-    return rows.orderBy(F.desc("ts_ns"), F.desc("ord")).limit(limit)
+    return rows.orderBy(F.desc("ts_ns"), F.desc("ord"), F.desc("hash")).limit(limit)
 
 
-def page_envelope(records: DataFrame, job_id: str, asked: str | int | None = None, after: int | None = None) -> DataFrame:
-    """One row: the page as an array, its size limit, whether more may follow, and the next cursor."""
+def page_envelope(
+    records: DataFrame, job_id: str, asked: str | int | None = None, after: int | None = None, after_ord: int | None = None,
+    after_hash: str | None = None,
+) -> DataFrame:
+    """One row: the page as an array, its size limit, whether more may follow, and the next cursor in three parts. A page
+    of no rows that was asked for has no cursor, so it never promises more."""
     limit = page_size(asked)
-    page = keyset_page(records, job_id, limit, after)
+    page = keyset_page(records, job_id, limit, after, after_ord, after_hash)
     row = F.struct("ts_ns", "ord", "fields", "hash", "match_key", nanos_to_utc(F.col("ts_ns")).alias("date_time"))
     # A page holds at most MAX_PAGE_SIZE rows.
-    gathered = page.agg(F.collect_list(row).alias("rows"), F.min("ts_ns").alias("last_ts"))
-    newest_first = F.array_sort(
-        "rows",
-        lambda a, b: F.when((a["ts_ns"] > b["ts_ns"]) | ((a["ts_ns"] == b["ts_ns"]) & (a["ord"] > b["ord"])), -1).otherwise(1),
-    )
-    more = F.size("rows") == limit
+    gathered = page.agg(F.collect_list(row).alias("rows"), F.min(F.struct("ts_ns", "ord", "hash")).alias("last"))
+
+    def newer(a: Column, b: Column) -> Column:
+        tied = (a["ts_ns"] == b["ts_ns"]) & ((a["ord"] > b["ord"]) | ((a["ord"] == b["ord"]) & (a["hash"] > b["hash"])))
+        return F.when((a["ts_ns"] > b["ts_ns"]) | tied, -1).otherwise(1)
+
+    more = (F.size("rows") == limit) & F.lit(limit > 0)
     return gathered.select(
-        newest_first.alias("records"), F.lit(limit).alias("limit"), more.alias("has_more"),
-        F.when(more, F.col("last_ts")).alias("next_after"),
+        F.array_sort("rows", newer).alias("records"), F.lit(limit).alias("limit"), more.alias("has_more"),
+        *[F.when(more, F.col(f"last.{c}")).alias(name) for c, name in (("ts_ns", "next_after"), ("ord", "next_after_ord"), ("hash", "next_after_hash"))],
     )
 
 

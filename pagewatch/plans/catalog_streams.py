@@ -164,16 +164,19 @@ def custom_extraction(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("h05_h06_h07_item_stages", f"""
-    WITH items AS (SELECT page_id, item_ord, upper(replace({sql.clean('txt')}, 'ß', 'SS')) AS text FROM ({sql.LIST_ITEMS}) WHERE item_ord < 4),
+    WITH found AS (SELECT page_id, item_ord, {sql.clean('txt')} AS plain FROM ({sql.LIST_ITEMS})),
+    hit AS (SELECT * FROM found WHERE len(list_filter(['the', 'und', 'les'], lambda k: contains(lower(plain), k))) > 0 AND length(plain) < 12),
+    items AS (SELECT page_id, item_ord, upper(replace(plain, 'ß', 'SS')) AS text FROM hit),
     kept AS (SELECT * FROM items WHERE length(text) > 4 AND text NOT LIKE 'A%')
     SELECT page_id, item_ord, text, array_to_string(list_filter(['the', 'und', 'les'], lambda k: contains(lower(text), k)), ',') AS matches FROM kept
     QUALIFY row_number() OVER (PARTITION BY text ORDER BY page_id, item_ord) = 1
 """)
 def item_stages(spark: SparkSession, folder: str) -> DataFrame:
-    """H5, H6 and H7: the item list is cut, rewritten item by item with matches read again, and thinned before storing."""
+    """H5, H6 and H7: items with a keyword are thinned, rewritten one by one with matches read again, and thinned before
+    storing."""
     upper = filters.with_field(F.col("fields"), "text", F.upper(filters.field("text")))
     hooks = Hooks(
-        after_extract=lambda items: items.where("item_ord < 4"),
+        after_extract=lambda items: items.where(F.length(filters.field("text")) < 12),
         filter_item=lambda items: items.where(F.length(filters.field("text")) > 4).withColumn("fields", upper),
         before_store=lambda items: items.where(~F.startswith(filters.field("text"), F.lit("A"))),
     )

@@ -15,6 +15,15 @@ BINARY_TYPES = [
 ]
 
 LINE = T.StructType().add("value", T.StringType())
+# How CSV is written and read, so that every text comes back: quotes are doubled, edge spaces and line breaks are kept,
+# the empty text is quoted and NULL is nothing at all.
+CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": '""', "nullValue": ""}
+# Stands for a quoted empty text while a file is read, since the reader takes one that is "" for NULL.
+EMPTY = "\u0001empty\u0001"
+
+
+# Rows of one CSV file that this module writes.
+CSV_ROWS = 200_000
 
 
 def extension(path: str, allowed: list[str]) -> str:
@@ -30,7 +39,10 @@ def read_file(spark: SparkSession, path: str, schema: T.StructType | str | None
     reader = spark.read if schema is None or kind in ("txt", "log") else spark.read.schema(schema)
     try:
         if kind == "csv":
-            return reader.option("header", True).csv(path)
+            # A quoted text may hold line breaks, so a file is read by one task; ``write_file`` cuts its output by rows.
+            rows = reader.options(**{**CSV, "emptyValue": EMPTY}, multiLine=True).csv(path)
+            texts = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+            return rows.withColumns({c: F.when(F.col(f"`{c}`") == EMPTY, "").otherwise(F.col(f"`{c}`")) for c in texts})
         if kind in ("json", "jsonl"):
             return reader.json(path)
         return spark.read.text(path)
@@ -53,7 +65,7 @@ def write_file(df: DataFrame, path: str, mode: str = "append", stamp: bool = Fal
     kind = extension(path, TEXT_TYPES)
     writer = df.write.mode(mode)
     if kind == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV, maxRecordsPerFile=CSV_ROWS).csv(path)
     elif kind in ("json", "jsonl"):
         writer.json(path)
     else:

@@ -6,6 +6,8 @@ a failure leaves the same files and nothing twice.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,6 +36,20 @@ class RecordStore:
             rows = self.spark.createDataFrame([], RECORD_SCHEMA)
         return rows if before_batch is None else rows.where(F.col("batch_id") < before_batch)
 
+    def stamp(self, batch_id: int) -> int:
+        """The time of a batch in nanoseconds: the clock when the batch is first seen, and the same when it is repeated."""
+        path = f"{self.folder}/stamps/batch_id={batch_id}"
+        try:
+            known = self.spark.read.schema("ts_ns bigint").json(path).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            known = None
+        if known is None:
+            known = (time.time_ns(),)
+            self.spark.createDataFrame([known], "ts_ns bigint").coalesce(1).write.mode("overwrite").json(path)
+        return known[0]
+
     def add(self, items: DataFrame, batch_id: int, ts_ns: Column, scope: str = "global") -> DataFrame:
         """Store the new items of a batch and return them as stored. Replaying a batch gives the same result.
 
@@ -58,6 +74,8 @@ def write_outbox(rows: DataFrame, folder: str, name: str, batch_id: int) -> None
     rows.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}/batch_id={batch_id}")
 
 
-def write_debug(items: DataFrame, folder: str, batch_id: int) -> None:
-    """Items with their provenance, one folder per job."""
+def write_debug(items: DataFrame, folder: str, batch_id: int, pages: DataFrame | None = None) -> None:
+    """Items with their provenance, one folder per job, and the bodies of the pages that they come from."""
+    if pages is not None:
+        pages.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/debug_pages/batch_id={batch_id}")
     items.hint("rebalance", "job_id").write.mode("overwrite").partitionBy("job_id").json(f"{folder.rstrip('/')}/debug/batch_id={batch_id}")

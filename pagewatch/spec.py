@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewatch.functions.text import bound, strip
@@ -98,7 +99,7 @@ class JobSpec:
 
     @property
     def job_id(self) -> str:
-        letters = "".join(c.lower() if c.isalpha() or c.isnumeric() else "_" for c in self.name)
+        letters = "".join(c.lower() if kept_in_ids(c) else "_" for c in self.name)
         return letters.strip("_")
 
     @property
@@ -106,6 +107,11 @@ class JobSpec:
         return list(self.urls) if self.urls else [self.url]
 
 
+def kept_in_ids(sign: str) -> bool:
+    """The same letters and digits that the column form of the job id keeps, marks that count as alphabetic included."""
+    return regex.match(r"[\p{Alphabetic}\p{N}]", sign) is not None
+
+
 def load_specs(path: str | Path) -> list[JobSpec]:
     """Specifications from a TOML file: one job at the top level, or several under ``jobs``."""
     content = tomllib.loads(Path(path).read_text(encoding="utf-8"))
