@@ -291,12 +291,13 @@ def stage_summary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("s05_csv_read", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source, lang")
+@query("s05_csv_read", """SELECT doc_id, md5("text") AS text_md5, source, lang, n_chars FROM documents""")
 def csv_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts written to CSV and read back."""
     path = f"{scratch(spark)}/docs.csv"
-    files.write_file(scan(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars"), path, "overwrite")
-    rows = files.read_file(spark, path, "doc_id bigint, source string, lang string, n_chars bigint")
-    return rows.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    files.write_file(scan(spark, folder, "documents").select("doc_id", "text", "source", "lang", "n_chars"), path, "overwrite")
+    rows = files.read_file(spark, path, "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), "source", "lang", "n_chars")
 
 
 @query("s06_binary_read", "SELECT CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes FROM customer")

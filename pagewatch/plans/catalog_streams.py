@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.functions import text
 from pagewatch.operators import filters, signals
 from pagewatch.operators.extract import extract_items
+from pagewatch.operators.records import keyset_page, page_envelope
 from pagewatch.plans import sql
 from pagewatch.plans.catalog_pages import HAY, NAV
 from pagewatch.plans.catalog_signals import BREAKER_SQL, PRICE_ALERTS_SQL, PRICE_ORDER, RULES, breaker_input, priced_lines
@@ -210,6 +212,57 @@ def outbox_stages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("l02_page_to_the_end", f"WITH {KEPT} SELECT page_id, item_ord, text FROM first")
+def page_to_the_end(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of a run, which share one time, read page by page with the cursor of each page."""
+    cycle = Cycle(TEXT_ONLY, RecordStore(spark, scratch(spark)))
+    cycle.run(scan_pages(spark, folder), 1)
+    rows, cursor, pages, more = cycle.store.records(), (None, None, None), [], True
+    while more:
+        pages.append(keyset_page(rows, TEXT_ONLY.job_id, 100, *cursor))
+        end = page_envelope(rows, TEXT_ONLY.job_id, 100, *cursor).first()
+        more, cursor = end["has_more"], (end["next_after"], end["next_after_ord"], end["next_after_hash"])
+    return stored(reduce(DataFrame.unionByName, pages))
+
+
+STAGE_HOOKS = "before_fetch override_fetch after_fetch override_extract after_extract filter_item before_store before_notify before_webhook".split()
+
+
+@query("h_skip_stages", f"""
+    WITH {KEPT}, n AS (SELECT (SELECT count(*) FROM first) AS new, (SELECT count(*) FROM pages) AS pages),
+    hooks AS (SELECT unnest({STAGE_HOOKS}) AS hook)
+    SELECT hook, CASE WHEN hook IN ('before_fetch', 'after_fetch') THEN 0 ELSE pages END AS processed,
+           CASE WHEN hook = 'override_fetch' THEN pages ELSE 0 END AS failed,
+           CASE WHEN hook IN ('before_notify', 'before_webhook') THEN new ELSE 0 END AS new,
+           CASE WHEN hook = 'before_webhook' THEN new ELSE 0 END AS told, hook = 'before_notify' AS sent
+    FROM hooks, n
+""")
+def skip_stages(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of a run when one of its hooks answers with nothing."""
+    spec, found = replace(TEXT_ONLY, notification=Notification(), webhook={"url": "https://hook.example.com/"}), []
+    for number, hook in enumerate(STAGE_HOOKS):
+        cycle = Cycle(spec, RecordStore(spark, f"{scratch(spark)}/{hook}"), Hooks(**{hook: lambda rows: None}))
+        counts = cycle.run(scan_pages(spark, folder), number)
+        sent = F.exists("stages", lambda s: s["stage"] == "webhook")
+        notified = F.when(F.exists("stages", lambda s: s["stage"] == "notify"), F.col("notified")).otherwise(0)
+        found.append(counts.select(F.lit(hook).alias("hook"), "processed", "failed", F.col("new").cast("bigint").alias("new"), notified.cast("bigint").alias("told"), sent.alias("sent")))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("s03_nothing_vanishes", """
+    SELECT count(*) AS processed, count(*) FILTER (strlen(html) > 4000) AS failed, count(*) FILTER (strlen(html) > 4000) AS rejected FROM pages
+""")
+def nothing_vanishes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page of a run is either read or a row of the rejected outbox. Here those over 4,000 bytes fail to be fetched."""
+    base = scratch(spark)
+    error = F.when(F.octet_length("html") > 4000, "too much to fetch")
+    cycle = Cycle(TEXT_ONLY, RecordStore(spark, base), Hooks(override_fetch=lambda pages: pages.withColumn("error", error)))
+    counts = cycle.run(scan_pages(spark, folder), 1)
+    rows = spark.read.schema("page_id bigint, error string").json(f"{base}/rejected/batch_id=1").withColumn("job_id", F.lit(TEXT_ONLY.job_id))
+    rejected = rows.groupBy("job_id").agg(F.count("error").alias("rejected"))
+    return counts.join(rejected, "job_id").select("processed", "failed", "rejected")
+
+
 @query("h10_run_callbacks", f"WITH {KEPT} SELECT 'on_success' AS called, (SELECT count(*) FROM first) AS new UNION ALL SELECT 'on_finally', 0")
 def run_callbacks(spark: SparkSession, folder: str) -> DataFrame:
     """H10: the callbacks of a run get its counts."""

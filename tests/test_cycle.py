@@ -129,3 +129,48 @@ def test_preview_and_routing(spark):
     listed = JobSpec("L", "https://s.example.com/0", ".c", ["t:h2"], urls=["https://s.example.com/1"])
     assert [r["page_id"] for r in routed(rows, listed).collect()] == [1]
     assert [r["page_id"] for r in routed(rows, JobSpec("L", "https://s.example.com/0", ".c", ["t:h2"])).collect()] == [0]
+
+
+def test_keywords_come_before_hooks_and_hook_fields_are_searched(spark):
+    spec = JobSpec("K", "https://s/", ".c", ["t:h2"], keywords=["red"])
+    store = RecordStore(spark, scratch(spark))
+    hooks = Hooks(filter_item=lambda rows: rows)
+    Cycle(spec, store, hooks).run(pages(spark, page("red a", "blue b")), 0)
+    assert [(r["fields"]["t"], r["match_key"]) for r in store.records().collect()] == [("red a", ["red"])]
+    added = lambda rows: rows.withColumn("fields", F.map_concat("fields", F.create_map(F.lit("colour"), F.lit("Red"))))
+    made = lambda rows: rows.select("page_id", F.lit(0).alias("item_ord"), F.create_map(F.lit("own"), F.lit("so red")).alias("fields"))
+    for hooks in (Hooks(override_extract=made), Hooks(override_extract=lambda rows: added(made(rows)))):
+        store = RecordStore(spark, scratch(spark))
+        assert Cycle(spec, store, hooks).run(pages(spark, page("x")), 0).first()["new"] == 1
+
+
+def test_failing_filter_and_fetch(spark):
+    def boom(rows):
+        raise RuntimeError("boom")
+
+    spec = JobSpec("K", "https://s/", ".c", ["t:h2"], keywords=["red"])
+    store = RecordStore(spark, scratch(spark))
+    Cycle(spec, store, Hooks(filter_item=boom)).run(pages(spark, page("red a", "blue b")), 0)
+    assert [r["match_key"] for r in store.records().collect()] == [["red"]]
+    base = scratch(spark)
+    counts = Cycle(SPEC, RecordStore(spark, base), Hooks(override_fetch=boom)).run(pages(spark, page("a"), page("b")), 0).first()
+    assert (counts["processed"], counts["failed"], counts["new"]) == (2, 2, 0)
+    assert {r["error"] for r in spark.read.json(f"{base}/rejected/batch_id=0").collect()} == {"override_fetch failed: boom"}
+
+
+def test_record_times_are_the_clock_and_survive_a_repeat(spark):
+    import time
+
+    store, began = RecordStore(spark, scratch(spark)), time.time_ns()
+    Cycle(SPEC, store).run(pages(spark, page("a", "b")), 3)
+    first = {r["ts_ns"] for r in store.records().collect()}
+    Cycle(SPEC, store).run(pages(spark, page("a", "b")), 3)
+    assert {r["ts_ns"] for r in store.records().collect()} == first and len(first) == 1 and began <= first.pop() <= time.time_ns()
+
+
+def test_job_ids_are_equal_in_both_forms(spark):
+    from pagewatch.functions.text import job_id
+
+    names = ["हिन्दी समाचार", "Shop 24/7", "ÅÄÖ!", "__x__", "日本 ٣"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", job_id(F.col("name")).alias("id")).collect()
+    assert all(JobSpec(r["name"], "u", ".c", ["t:h2"]).job_id == r["id"] for r in rows)

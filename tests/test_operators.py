@@ -54,6 +54,25 @@ def test_keyset_paging_with_equal_times(stored):
     assert seen == [4, 3, 2, 1, 0]
 
 
+def test_cursor_goes_on_among_equal_times_and_places(spark):
+    rows = spark.createDataFrame([("c", {"t": "x"}, 5, i % 3, f"h{i:02}", []) for i in range(25)], "job_id string, fields map<string,string>, ts_ns bigint, ord int, hash string, match_key array<string>").cache()
+    seen, cursor, more = [], (None, None, None), True
+    while more:
+        page = records.page_envelope(rows, "c", 4, *cursor).first()
+        seen += [(r["ord"], r["hash"]) for r in page["records"]]
+        more, cursor = page["has_more"], (page["next_after"], page["next_after_ord"], page["next_after_hash"])
+    assert seen == sorted(((i % 3, f"h{i:02}") for i in range(25)), reverse=True)
+    assert not records.page_envelope(rows, "c", 0).first()["has_more"]
+
+
+def test_csv_gives_every_text_back(spark):
+    texts = [" pad ", "", None, 'a"b,c', "line\nbreak\r\nx", "back\\slash\\", '"', '\\"', "\t", "x\ry", "#c", '""']
+    rows = list(enumerate(texts))
+    path = f"{scratch(spark)}/a.csv"
+    files.write_file(spark.createDataFrame(rows, "i int, t string"), path, "overwrite")
+    assert sorted(tuple(r) for r in files.read_file(spark, path, "i int, t string").collect()) == rows
+
+
 def test_newest_per_job(stored):
     found = records.newest(stored, 2).collect()
     assert sorted((r["job_id"], r["ord"]) for r in found) == [("a", 8), ("a", 9), ("b", 3), ("b", 4)]
@@ -61,7 +80,7 @@ def test_newest_per_job(stored):
     assert records.newest(stored, records.RANK_LIMIT + 1).count() == 15
 
 
-@pytest.mark.parametrize(("asked", "size"), [(None, 30), ("x", 30), ("7", 7), (5000, 1000), ("-1", 30)])
+@pytest.mark.parametrize(("asked", "size"), [(None, 30), ("x", 30), ("7", 7), (5000, 1000), ("-1", 30), ("1_000", 30), (" 7", 30), (7.0, 30), ("+7", 7), ("٣", 30)])
 def test_page_size(asked, size):
     assert records.page_size(asked) == size
 
