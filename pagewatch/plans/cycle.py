@@ -205,6 +205,11 @@ class Cycle:
             {"job_name": F.lit(self.spec.name), "matches": F.col("match_key")}
         )
         since = measured("store", since)
+        if self.spec.debug:
+            bodies = attempts.where(F.col("error_kind").isNull()).select("page_id", "url", "html") if "html" in attempts.columns else None
+            write_debug(kept, self.store.folder, batch_id, bodies)
+        if new.isEmpty():  # nobody is told of nothing
+            return result(found, kept, new, None, processed, failed)
         order = ["ts_ns", "page_id", "ord"]
         told = applied(self.hooks.before_notify, new)
         if self.spec.notification is not None and told is not None:
@@ -216,7 +221,4 @@ class Cycle:
             if payloads is not None:
                 write_outbox(payloads, self.store.folder, "webhooks", batch_id)
                 measured("webhook", since)
-        if self.spec.debug:
-            bodies = attempts.where(F.col("error_kind").isNull()).select("page_id", "url", "html") if "html" in attempts.columns else None
-            write_debug(kept, self.store.folder, batch_id, bodies)
         return result(found, kept, new, told, processed, failed)
