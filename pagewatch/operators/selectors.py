@@ -27,6 +27,10 @@ TOKEN = re.compile(
     )""",
     re.VERBOSE,
 )
+# The literal grammar: steps with what joins them, and in a step the tag and the marked names.
+LITERAL = re.compile(r"\s*(?P<join>(?:>\s*)*)(?P<step>[^\s>]+)")
+NAMED = re.compile(r"(?P<tag>[^#.\[:]*)(?P<marks>(?:[#.][^#.\[:]*)*)")
+MARK = re.compile(r"[#.][^#.]*")
 ODD_TOKEN = re.compile(r"[+~*,]")
 NTH = re.compile(r"\s*(?:(?P<word>odd|even)|(?P<a>[+-]?\d*)n\s*(?P<b>[+-]\s*\d+)?|(?P<n>[+-]?\d+))\s*$")
 
@@ -115,22 +119,19 @@ def _single_compounds(text: str) -> list[Compound]:
 
 def read_path(text: str) -> list[Step] | None:
     """The literal grammar: tag#id.class steps with spaces and '>'. None when it cannot read the text."""
-    steps, join = [], " "
-    for part in text.replace(">", " > ").split():
-        if part == ">":
-            join = ">"
-            continue
-        if "[" in part or ":" in part:
-            return None
-        pieces = re.findall(r"([#.]?)([^#.]*)", part)
-        tags = [value.translate(FOLD) for mark, value in pieces if not mark and value]
-        ids = [value for mark, value in pieces if mark == "#" and value]
-        classes = tuple(value for mark, value in pieces if mark == "." and value)
-        if not (tags or ids or classes):
-            return None
-        steps.append(Step(join, Compound(tags[0] if tags else None, ids[-1] if ids else None, classes)))
-        join = " "
-    return steps or None
+    steps = [literal_step(found["step"], ">" if found["join"] else " ") for found in LITERAL.finditer(text)]
+    return steps if steps and None not in steps else None
+
+
+def literal_step(text: str, join: str) -> Step | None:
+    """A step that names something; the last of several ids counts, and a mark without a name says nothing."""
+    found = NAMED.fullmatch(text)
+    if found is None:
+        return None
+    marks = [(sign[0], sign[1:]) for sign in MARK.findall(found["marks"]) if len(sign) > 1]
+    named = {sign: tuple(name for mark, name in marks if mark == sign) for sign in "#."}
+    compound = Compound(found["tag"].translate(FOLD) or None, (None, *named["#"])[-1], named["."])
+    return None if compound == Compound() else Step(join, compound)
 
 
 def read_css(text: str) -> list[list[Step]]:
