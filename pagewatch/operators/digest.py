@@ -141,7 +141,8 @@ def webhook_payloads(
     """(job_id, job_name, part, parts, item_count, payload): every new item is in exactly one part, in order.
 
     A run of up to ``part_items`` items is one payload. A larger run is cut into parts, so that no row grows without
-    bound; ``item_count`` in the payload is the count of the whole run.
+    bound; ``item_count`` in the payload is the count of the whole run, and a payload that is a part carries its number
+    and that of all parts.
     """
     place = numbered(items, keys, order, "_place", group_rows)
     lines = place.select(
@@ -153,7 +154,10 @@ def webhook_payloads(
     body = F.array_join(F.transform("lines", lambda line: line["json"]), ",")
     payload = F.concat(
         F.lit('{"item_count":'), F.col("item_count").cast("string"), F.lit(',"items":['), body,
-        F.lit('],"job_name":'), json_text(F.col("job_name")), F.lit("}"),
+        F.lit('],"job_name":'), json_text(F.col("job_name")),
+        # Only a run in several parts says so, so that a receiver can tell the items it got from those of the run.
+        F.when(F.col("item_count") > part_items, F.concat(F.lit(',"part":'), F.col("part").cast("string"), F.lit(',"parts":'), F.ceil(F.col("item_count") / part_items).cast("string"))).otherwise(""),
+        F.lit("}"),
     )
     return parts.join(counts, list(keys)).select(
         *keys, "part", F.ceil(F.col("item_count") / part_items).cast("bigint").alias("parts"), "item_count", payload.alias("payload")

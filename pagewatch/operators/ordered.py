@@ -1,7 +1,7 @@
 """Running aggregates and numbering along an order, without one task ever owning a hot key.
 
 A window over a key puts all rows of that key into one task. Here the row counts are looked at first: while the
-largest key stays below ``group_rows`` the plain window is used (one shuffle). Above it the rows are range
+largest key stays below ``group_rows`` the plain window is used (one shuffle). Above it, and always without a key, rows are range
 partitioned by (key, order) into pieces of about ``group_rows`` rows, each piece is worked alone, and what a piece
 must know about the pieces before it (one row per piece) is added afterwards.
 """
@@ -71,7 +71,9 @@ def running(
     """
     biggest, total = sizes or largest_group(df, keys)
     last = 0 if through else -1
-    if biggest <= group_rows:
+    if not keys:  # without a key a window would be one task, so there are always pieces
+        group_rows = min(group_rows, max(1, -(-total // df.sparkSession.sparkContext.defaultParallelism)))
+    if keys and biggest <= group_rows:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return df.withColumns({name: _LOCAL[kind](value).over(window) for name, (kind, value) in columns.items()})
 
