@@ -183,6 +183,9 @@ def between_components(placed: DataFrame, sets: DataFrame, percent: int, block:
     Members outside a bucket's largest component meet all others. Both kinds are dealt out to blocks, and every pair of
     blocks of which one is outside is a group of its own.
     """
+    # Two members have met each other already, and buckets of the same members are compared once.
+    held = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")).where("n > 2")
+    placed = placed.join(held.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
     sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("members"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", "members").alias("main"), F.max("members").alias("inside"), (F.sum("members") - F.max("members")).alias("outside")).where("parts > 1")
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
