@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagewatch.session import durable
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Text that one step of a task works on at a time, and words that a task remembers.
 BATCH_BYTES = 4 << 20
 MEMO_WORDS = 200_000
@@ -43,6 +42,21 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def merged(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows in batches whose ``column`` has about ``limit`` bytes, small batches put together."""
+    held, size = [], 0
+    for whole in batches:
+        for batch in slices(whole, column, limit):
+            more = pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+            if held and size + more > limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(batch)
+            size += more
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits under which near inputs become unlike outputs."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -14,13 +14,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import mix, slices
+from pagewatch.llm.common import merged, mix
 
 SPACE = "▁"
 #: Segmentations of a document, and how sharply probable ones are preferred.
@@ -108,11 +109,11 @@ class Lattices:
     log_share: np.ndarray
     id_at: np.ndarray  # ids of each edge
     ids: np.ndarray
-    best_at: np.ndarray  # edges of each part's likeliest segmentation
+    best_at: np.ndarray  # edges of each part's leading segmentation, which takes the edge with the largest share everywhere
     best: np.ndarray
     log_best: np.ndarray
     log_rest: np.ndarray  # of all other segmentations together
-    parting: np.ndarray  # for each edge of a likeliest one: share of the others that part from it up to here
+    parting: np.ndarray  # for each edge of a leading one: share of the others that part from it up to here
 
 
 def edges_of(signs: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,10 +159,12 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     code = signs[node[raw]]
     scores = vocabulary.scores[piece]
     scores[raw] = vocabulary.byte_score * (1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF))
-    # Backward sums and maxima over all completions, for all places that are equally far from the end of their part.
-    sums, tops = np.zeros(total + 1), np.zeros(total + 1)
-    share, likeliest = np.empty(len(node)), np.empty(total, np.int64)
+    # Backward sums over all completions, for all places that are equally far from the end of their part; and the edge
+    # with the largest share at each place.
+    sums = np.zeros(total + 1)
+    share, leading = np.empty(len(node)), np.empty(total, np.int64)
     far = ends - np.arange(total, dtype=np.int32)
+    far = far.astype(np.int16) if total and lengths.max() < 1 << 15 else far  # short keys sort faster
     by_distance = np.argsort(far, kind="stable")
     for nodes in np.split(by_distance, np.flatnonzero(np.diff(far[by_distance])) + 1) if total else []:
         edges, many = gathered(edge_at, all_edges, nodes)
@@ -172,10 +175,7 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
         whole = np.add.reduceat(weight, starts)
         sums[nodes] = top + np.log(whole)
         share[edges] = weight / np.repeat(whole, many)
-        ahead = scores[edges] + tops[target[edges]]
-        tops[nodes] = np.maximum.reduceat(ahead, starts)
-        likeliest[nodes] = np.minimum.reduceat(np.where(ahead == np.repeat(tops[nodes], many), edges, len(node)), starts)
-    log_best = tops[first[:-1]] - sums[first[:-1]]
+        leading[nodes] = np.minimum.reduceat(np.where(weight == 1.0, edges, len(node)), starts)
     target[target == total] = -1
     summed = np.cumsum(share)
     above = summed - np.concatenate([[0.0], summed])[edge_at[node]]
@@ -189,17 +189,19 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     if len(encoded):
         at, _ = gathered(id_at, np.arange(len(ids)), np.flatnonzero(raw))
         ids[at] = np.frombuffer(b"".join(encoded), np.uint8).astype(np.int32) + vocabulary.first_byte
-    # The likeliest segmentation of every part, all parts step by step.
-    active, at, found = np.arange(len(parts)), first[:-1].copy(), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    # The leading segmentation of every part, all parts step by step.
+    active, at, found, steps = np.arange(len(parts)), first[:-1].copy(), [], np.zeros(len(parts), np.int64)
     while len(active):
-        edge = likeliest[at]
+        edge = leading[at]
         found.append((active, edge))
-        on = target[edge] >= 0
-        active, at = active[on], target[edge][on]
-    who, edges = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    order = np.argsort(who, kind="stable")
-    best, best_at = edges[order], offsets_of(np.bincount(who, minlength=len(parts)))
-    who = who[order]
+        steps[active] += 1
+        onward = target[edge]
+        on = onward >= 0
+        active, at = active[on], onward[on]
+    best_at = offsets_of(steps)
+    best, who = np.empty(int(best_at[-1]), np.int64), np.repeat(np.arange(len(parts)), steps)
+    for step_no, (active, edge) in enumerate(found):
+        best[best_at[active] + step_no] = edge
     log_share = np.log(np.maximum(share, 1e-300))
     others = np.maximum(1 - share[best], 0)
     others[np.diff(edge_at)[node[best]] == 1] = 0
@@ -208,6 +210,7 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     rest = np.add.reduceat(leave, best_at[:-1]) if len(leave) else leave
     sums = np.cumsum(leave)
     parting = (sums - np.concatenate([[0.0], sums])[best_at[:-1]][who]) / np.maximum(rest, 1e-300)[who]
+    log_best = np.add.reduceat(log_share[best], best_at[:-1]) if len(parts) else np.empty(0)
     with np.errstate(divide="ignore"):
         return Lattices(first[:-1], lengths, edge_at, target, share, above, log_share, id_at, ids, best_at, best, log_best, np.log(rest), parting)
 
@@ -227,9 +230,10 @@ class Sampler:
         self.rows = np.repeat(np.arange(len(keys)), np.diff(row_at))
         self.place = np.arange(len(words)) - row_at[:-1][self.rows]
         self.key, self.keys = keys[self.rows], keys
-        # Segmentations of parts: the likeliest of every part, then those that were drawn.
+        # Segmentations of parts: the leading one of every part, then those that were drawn.
         self.path_at, self.paths = lattice.best_at, lattice.best
         self.log_path = lattice.log_best
+        self.leads = np.exp(lattice.log_best)
         self.samples: list[dict] = []
 
     def add_paths(self, who: np.ndarray, edges: np.ndarray, many: int) -> int:
@@ -245,7 +249,7 @@ class Sampler:
         return start
 
     def others(self, words: np.ndarray, keys: np.ndarray, place: np.ndarray, use: int) -> int:
-        """Draw a segmentation other than the likeliest for every one of ``words``: where it parts, how, and how it goes on."""
+        """Draw a segmentation other than the leading one for every one of ``words``: where it parts, how, and how it goes on."""
         t = self.lattice
         many = len(words)
         if not many:
@@ -290,19 +294,21 @@ class Sampler:
         return np.clip(edge, self.lattice.edge_at[node], self.lattice.edge_at[node + 1] - 1)
 
     def drawn(self, fresh: np.ndarray, number: int) -> np.ndarray:
-        """Paths of the parts at ``fresh``: the likeliest, or another one, by their shares."""
+        """Paths of the parts at ``fresh``: the leading one, or another, by their shares."""
         words, key, place = self.words[fresh], self.key[fresh], self.place[fresh]
         path = words.copy()
-        other = np.flatnonzero(np.log(uniform(key, place, number * 8 + 1)) >= self.lattice.log_best[words])
+        other = np.flatnonzero(uniform(key, place, number * 8 + 1) >= self.leads[words])
         other = other[np.isfinite(self.lattice.log_rest[words[other]])]
         path[other] = self.others(words[other], key[other], place[other], number * 8 + 2) + np.arange(len(other))
         return path
 
     def rest(self, path: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Log share of all segmentations of a part but this one."""
-        log_path = self.log_path[path]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(path == words, self.lattice.log_rest[words], np.log(-np.expm1(np.minimum(log_path, 0))))
+        rest = self.lattice.log_rest[words]
+        drawn = np.flatnonzero(path != words)
+        with np.errstate(divide="ignore"):
+            rest[drawn] = np.log(-np.expm1(np.minimum(self.log_path[path[drawn]], 0)))
+        return rest
 
     def emit(self, path: np.ndarray, live: np.ndarray, top: np.ndarray, start: np.ndarray, excluded: dict, number: int) -> None:
         """A sample of every live row, and the sets that split what is left of the set it came from."""
@@ -405,13 +411,20 @@ def loaded(path: str, alpha: float = ALPHA) -> Vocabulary:
     return LOADED[path, alpha]
 
 
+class Numbers(dict):
+    """Parts by the order in which they are first asked for."""
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        return number
+
+
 def numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct parts of texts, the parts of all texts by number, and where each text's start."""
-    known: dict[str, int] = {}
-    words, lengths = [], []
+    known, words, lengths = Numbers(), [], []
     for text in texts:
         parts = parts_of(text or "")
-        words += [known.setdefault(p, len(known)) for p in parts]
+        words.extend(map(known.__getitem__, parts))
         lengths.append(len(parts))
     return list(known), np.array(words, np.int64), offsets_of(np.array(lengths, np.int64))
 
@@ -420,7 +433,7 @@ def encoded(vocabulary: Vocabulary, distinct: list[str], words: np.ndarray, row_
     """Ids of all rows as the library gives them, and where each row's start; every distinct part is encoded once."""
     lists = vocabulary.library.encode(distinct, num_threads=1) if distinct else []
     at = offsets_of(np.array([len(x) for x in lists], np.int64))
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(at[-1]))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(at[-1]))
     ids, lengths = gathered(at, flat, words)
     return ids, offsets_of(lengths)[row_at]
 
@@ -433,9 +446,8 @@ def runs(df: DataFrame, id_column: str, text_column: str, work, schema: str) ->
     read = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
-                yield work(batch.column("id"), batch.column("text").to_pylist())
+        for batch in merged(batches, "text"):
+            yield work(batch.column("id"), batch.column("text").to_pylist())
 
     return read.mapInArrow(run, f"id {dict(read.dtypes)['id']}, {schema}").withColumnRenamed("id", id_column)
 
