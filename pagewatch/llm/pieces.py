@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import merged, mix
+from pagewatch.llm.common import BATCH_BYTES, merged, mix
 
 SPACE = "▁"
 #: Segmentations of a document, and how sharply probable ones are preferred.
@@ -442,11 +442,11 @@ def row_keys(seed: int, ids: list, texts: list[str | None]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(f"{i}" if i is not None else f"text {t}", seed=seed) for i, t in zip(ids, texts)], np.uint64)
 
 
-def runs(df: DataFrame, id_column: str, text_column: str, work, schema: str) -> DataFrame:
+def runs(df: DataFrame, id_column: str, text_column: str, work, schema: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     read = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in merged(batches, "text"):
+        for batch in merged(batches, "text", batch_bytes):
             yield work(batch.column("id"), batch.column("text").to_pylist())
 
     return read.mapInArrow(run, f"id {dict(read.dtypes)['id']}, {schema}").withColumnRenamed("id", id_column)
@@ -515,12 +515,13 @@ def sampled(vocabulary: Vocabulary, keys: list, texts: list[str | None], samples
     return sampler, sampler.run(samples)
 
 
-def digests(df: DataFrame, path: str, samples: int = SAMPLES, seed: int = 1, alpha: float = ALPHA, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def digests(df: DataFrame, path: str, samples: int = SAMPLES, seed: int = 1, alpha: float = ALPHA, id_column: str = "doc_id", text_column: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Encoding, decoding and sampling of every whole text of ``df``, with checksums in place of ids.
 
     (id, n_pieces, ids_crc32, round_trip, n_samples, sample_pieces, sample_crc32, sample_log_prob, sample_log_inclusion):
     checksums are of ids as 32-bit little-endian integers, ``round_trip`` says that the decoded ids are the text (a null
-    text is empty), and lists are by rank. See ``segmentations`` for rows without id, repeated rows and empty texts.
+    text is empty), and lists are by rank. A task works on ``batch_bytes`` of text at a time, and takes about 70 times
+    as much memory for the lattices of their parts. See ``segmentations`` for rows without id, repeated rows and empty texts.
     """
 
     def work(keys: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
@@ -544,4 +545,4 @@ def digests(df: DataFrame, path: str, samples: int = SAMPLES, seed: int = 1, alp
             ["id", "n_pieces", "ids_crc32", "round_trip", "n_samples", "sample_pieces", "sample_crc32", "sample_log_prob", "sample_log_inclusion"],
         )
 
-    return runs(df, id_column, text_column, work, "n_pieces long, ids_crc32 long, round_trip boolean, n_samples int, sample_pieces array<int>, sample_crc32 array<long>, sample_log_prob array<double>, sample_log_inclusion array<double>")
+    return runs(df, id_column, text_column, work, "n_pieces long, ids_crc32 long, round_trip boolean, n_samples int, sample_pieces array<int>, sample_crc32 array<long>, sample_log_prob array<double>, sample_log_inclusion array<double>", batch_bytes)
