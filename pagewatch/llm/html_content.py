@@ -23,6 +23,8 @@ from pagewatch.llm.common import slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-label|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+QUOTED, UNQUOTED, FONT = re.compile(r"\"[^\"]*\"|'[^']*'"), re.compile(r"=\s*[^\s\"']\S*\Z"), re.compile(r"(?:^|[\s\"'/])(?:color|face|size)\s*=", re.I)
+WHITE = " \t\n\f\r"
 WORD = re.compile(r"[a-z]+|\d+")
 
 # Elements by kind.
@@ -30,10 +32,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("button datalist head iframe noscript object option script select style svg template textarea title".split())
 RAW = frozenset("iframe noscript script style template textarea title".split())
+#: Tags that may stand in a head.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of these, unless one of the second list lies between.
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "table tr"), "th": ("td th", "table tr"), "tr": ("tr", "table"), "option": ("option", "select")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
+#: An opening tag that ends an open silent element without its closing tag; and those that end an svg as browsers do,
+#: unless they stand in a part of it that holds HTML.
+ENDED_BY = {"button": frozenset({"button"}), "option": frozenset({"option", "optgroup"}), "select": frozenset("input keygen select textarea".split())}
+LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
+HOLDS_HTML = frozenset("desc foreignobject title".split())
 
 TAGS = ("article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header", "footer", "aside", "form fieldset", "table tbody tr td th", "figure figcaption", "blockquote pre", "dialog", "html body")
 TAGS = {tag: k for k, group in enumerate(TAGS) for tag in group.split()}
@@ -69,39 +78,25 @@ class Page:
 
 def read_page(source: str) -> Page:
     """The nodes of a page: elements that are no mere markup of words, or that have a name. Open ends are closed as
-    browsers do for paragraphs, items and cells; what the page never shows as text is left out."""
+    browsers do for paragraphs, items and cells; what the page never shows as text is left out, up to where it ends."""
     page = Page([-1], ["body"], [""], [0], [], [0])
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, inside a link
-    broken, at, silent_until = False, 0, None
+    broken, at, unclosed = False, 0, set()
 
     def say(text: str) -> None:
         nonlocal broken
-        if text and silent_until is None:
+        if text:
             page.texts.append((stack[-1][1], broken, html.unescape(text)))
             if stack[-1][2]:
                 page.in_links[stack[-1][1]] += len(text)
             broken = False
 
-    for m in TOKEN.finditer(source):
-        if m.start() < at:
-            continue
+    while m := TOKEN.search(source, at):
         say(source[at : m.start()])
         at = m.end()
-        closing, tag, rest = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
+        closing, tag, rest = tag_of(m)
         if tag is None:
             continue
-        tag = tag.lower()
-        if silent_until is not None:
-            if closing and tag == silent_until[0]:
-                del stack[silent_until[1] :]
-                silent_until = None
-            elif tag == "body" and silent_until[0] == "head":
-                del stack[silent_until[1] :]
-                silent_until = None
-            if silent_until is not None or closing:
-                if silent_until is not None and not closing and tag in RAW and not rest.endswith("/"):
-                    at = raw_end(source, at, tag)
-                continue
         inline = tag in INLINE
         broken = broken or not inline
         if closing:
@@ -119,10 +114,10 @@ def read_page(source: str) -> Page:
         if tag in IMPLIED:
             close(stack, *IMPLIED[tag])
         if tag in SILENT:
-            if tag in RAW:
+            if tag not in RAW:
+                at = silent_end(source, at, tag, rest, stack, unclosed)
+            elif not is_empty(rest) or raw_end(source, at, tag) < len(source):
                 at = raw_end(source, at, tag)
-            else:
-                silent_until = (tag, len(stack))
             continue
         found = NAMES.findall(rest) if rest else []
         names = " ".join((b or c or d) for a, b, c, d in found if a.lower() != "data-y").lower()
@@ -145,6 +140,98 @@ def read_page(source: str) -> Page:
     return page
 
 
+def tag_of(m: re.Match) -> tuple[str, str | None, str]:
+    """Whether it closes, the tag in lower case (None for comments and the like), and what follows the tag."""
+    closing, tag, rest = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
+    return closing, tag and tag.lower(), rest
+
+
+def is_empty(rest: str) -> bool:
+    """Whether a tag ends in a slash that is not the end of an unquoted value."""
+    return rest.endswith("/") and not UNQUOTED.search(QUOTED.sub('""', rest))
+
+
+def silent_end(source: str, at: int, tag: str, rest: str, stack: list[tuple[str, int, bool]], unclosed: set[int]) -> int:
+    """Where reading goes on after an element without shown text, whose opening tag ends at ``at``.
+
+    It ends behind its closing tag. Where something else ends it (the closing of an element of ``stack``, a tag or text
+    that cannot stand in it, the end of the page), its author has not closed it, and it reaches only to the first block
+    in it, so that it never hides what follows. ``unclosed`` keeps such elements by place, so that what lies in one is
+    not searched again for the end of each.
+    """
+    if tag == "svg" and is_empty(rest):
+        return at
+    known = at in unclosed or (tag != "head" and is_empty(rest))
+    inside = [(tag, at, tag != "svg")]  # tag, place, whether HTML stands in it
+    stop = None  # where it ends if it is not closed
+
+    def drop(k: int) -> None:
+        unclosed.update(place for _, place, _ in inside[k:])
+        del inside[k:]
+
+    while m := TOKEN.search(source, at):
+        if tag == "head" and source[at : m.start()].strip(WHITE):
+            return at
+        at = m.end()
+        closing, name, rest = tag_of(m)
+        if name is None:
+            continue
+        if closing:
+            k = len(inside) - 1
+            while k >= 0 and inside[k][0] != name:
+                k = -1 if name in INLINE and inside[k][2] and inside[k][0] not in INLINE else k - 1
+            if k >= 0:
+                drop(k + 1)
+                inside.pop()
+                if not inside:
+                    return at
+            elif name in ("body", "html") or is_open(stack, name):
+                stop = m.start() if stop is None else stop
+                if known or tag == "svg" or name not in INLINE:
+                    break
+            continue
+        in_html = inside[-1][2]
+        if tag == "head":
+            if name not in IN_HEAD:
+                return m.start()
+            if name in RAW and not is_empty(rest) or name == "noframes":
+                at = raw_end(source, at, name)
+            continue
+        if stop is None and in_html == (tag != "svg") and (name in ENDS_PARAGRAPH or name in IMPLIED and name != "option"):
+            stop = m.start()
+            if known:
+                break
+        if in_html and name in ENDED_BY.get(tag, ()):
+            stop = m.start() if stop is None else stop
+            break
+        if not in_html and (name in LEAVES_SVG or name == "font" and FONT.search(rest)):
+            while inside and not inside[-1][2]:
+                inside.pop()
+            if not inside:
+                return m.start() if stop is None else stop
+            in_html = True
+        if in_html and name in RAW and not is_empty(rest):
+            at = raw_end(source, at, name)
+        elif name not in VOID and not ((not in_html or name == "svg") and is_empty(rest)):
+            inside.append((name, at, name in HOLDS_HTML or in_html and name != "svg"))
+    else:
+        if tag == "head":
+            return at if source[at:].strip(WHITE) else len(source)
+        stop = len(source) if stop is None else stop
+    drop(1)
+    return stop
+
+
+def is_open(stack: list[tuple[str, int, bool]], tag: str) -> bool:
+    """Whether a closing ``tag`` ends an element of ``stack``."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k][0] == tag:
+            return True
+        if tag in INLINE and stack[k][0] not in INLINE:
+            return False
+    return False
+
+
 def raw_end(source: str, at: int, tag: str) -> int:
     """Where an element ends whose text is no markup."""
     m = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)

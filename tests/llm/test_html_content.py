@@ -61,6 +61,51 @@ def test_broken_markup_ends():
         assert isinstance(read_page(source), Page)
 
 
+#: Parts that show no text, each without its closing tag or in a form that has none; the article after them is shown.
+BEFORE = [
+    "<head><title>t</title>",
+    "<html><head><meta charset=utf-8><link rel=x><script src='a.js'></script>\n",
+    "<head><script src='a.js'/>",
+    "<svg viewBox='0 0 1 1'/>",
+    "<svg class=a /><svg/>",
+    "<div><svg><path d='M0'/></div>",
+    "<svg><svg></svg><path d='M0'><title>Icon</title></svg>",
+    "<div><button>Menu</div>",
+    "<div><object data=x><param name=y></div>",
+    "<div><button><div>Menu</div></button></div>",
+    "<div><button><b><div>Menu</b></div></button></div>",
+    "<a href=x><button>Menu</a>",
+    "<button>Menu",
+    "<button>One<button>Two</button>",
+    "<object data=x />",
+    "<select><option>One<option>Two</select>",
+    "<ul><li><select><option>One<option>Two</ul>",
+    "<select><option>One<input>",
+    "<svg><path d='M0'>",
+    "<svg><foreignObject><div>Label</div></foreignObject></svg>",
+]
+
+
+@pytest.mark.parametrize("before", BEFORE)
+def test_silent_elements_end(model, before):
+    article = "<article><h1>A title</h1><p>First line. Second line.</p></article>"
+    wanted = "A title First line. Second line."
+    assert " ".join("".join(" " * broken + text for _, broken, text in read_page(before + article).texts).split()) == wanted
+    assert main_text(before + article, model) == wanted
+    assert main_text(f"<body>{before}{article}</body></html>", model) == (wanted if not before.startswith(("<head", "<html")) else main_text(article, model))
+
+
+def test_texts_of_odd_pages():
+    shown = lambda source: " ".join("".join(" " * broken + text for _, broken, text in read_page(source).texts).split())
+    assert shown("<head><p>x") == "x" and shown("<head><title>t</title>x") == "x" and shown("<head> <style>p{}</style> <body>x") == "x"
+    assert shown("<div><button>a<article>b</article></div>c") == "b c"
+    assert shown("<svg class=a/>a</svg>b") == "b"  # the slash is a part of the value
+    assert shown("<button>a</button>b<object><object>c</object>d</object>e") == "b e"
+    assert shown("<script>if (a<b && c == ') x</script><p>it's</p><p>here") == "it's here"
+    assert shown("<svg><text>a</text><p>b") == "b"
+    assert shown("<object><p>" * 3000 + "x") == "x"
+
+
 def test_rows(spark, model):
     rows = [(i, f"u{i}", s, "x") for i, (s, _) in enumerate(PAGES)] + [(None, None, None, "x"), (0, "u0", PAGES[0][0], "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
