@@ -63,3 +63,21 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stage_texts(spark, folder, name, rows):
+    """(doc_id, text) that a stage leaves of such rows, which have equal other columns."""
+    docs = spark.createDataFrame([(*r, "aa", "s", 1) for r in rows], SCHEMA)
+    left = dict(corpus_pipeline.STAGES)[name](spark, docs, folder)
+    assert left.columns == corpus_pipeline.COLUMNS
+    return sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+
+
+def test_decontamination_is_by_own_text(spark, folder):
+    words = LEAK.split()
+    clean = [(None, "a clean text"), (None, " ".join(words[:6])), (None, " ".join(words[2:])), (None, None), (7, "the other text of this id"), (8, " ".join(words[:6])), (8, " ".join(words[2:])), (9, "alone"), (9, "alone")]
+    rows = [*clean, (None, f"x {LEAK} y"), (7, f"x {LEAK} y"), (7, LEAK)]
+    assert stage_texts(spark, folder, "decontamination", rows) == sorted(clean, key=str)
