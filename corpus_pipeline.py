@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.llm import decontaminate, language_ppm, minhash_dedup, pieces, secret_scans
 from pagewatch.llm.common import held_out, short_batches
-from pagewatch.session import shared_folder, small
+from pagewatch.session import scratch, shared_folder, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A sign of a word, as ``minhash_dedup`` takes words.
+WORD = r"[^ \t\n\x0b\f\r]"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -26,10 +28,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; repeated rows go, rows without id stay."""
+    """One row of each group of near copies: that with the smallest id, one without id where none has an id.
+
+    Every row is compared by its own text, under a number of its own, whatever its id. Texts without words are near to
+    nothing; of those, repeated rows go."""
     short_batches(spark)
-    kept = minhash_dedup.near_copies(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(COLUMNS).union(docs.where("doc_id IS NULL").select(COLUMNS))
+    folder = scratch(spark)
+    docs.select(COLUMNS).withColumns({"row": F.monotonically_increasing_id(), "tie": F.xxhash64(*COLUMNS)}).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    groups = minhash_dedup.near_copies(rows, id_column="row").where("n_shingles > 0").select("row", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie", "row")
+    kept = rows.select("row", "doc_id", "tie").join(groups, "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    wordless = rows.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(COLUMNS).dropDuplicates()
+    return rows.join(kept, "row", "left_semi").select(COLUMNS).union(wordless)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,10 @@ def test_decontamination_is_by_own_text(spark, folder):
     clean = [(None, "a clean text"), (None, " ".join(words[:6])), (None, " ".join(words[2:])), (None, None), (7, "the other text of this id"), (8, " ".join(words[:6])), (8, " ".join(words[2:])), (9, "alone"), (9, "alone")]
     rows = [*clean, (None, f"x {LEAK} y"), (7, f"x {LEAK} y"), (7, LEAK)]
     assert stage_texts(spark, folder, "decontamination", rows) == sorted(clean, key=str)
+
+
+def test_near_duplicates_compare_every_row(spark, folder):
+    long = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    kept = [(3, long("a")), (5, long("b")), (5, long("c")), (None, long("d")), (None, None), (4, ""), (None, " \t")]
+    copies = [(None, long("a")), (None, long("a") + " more"), (5, long("a") + " more"), (6, long("a")), (7, long("c") + " more"), (3, long("a")), (None, long("d")), (None, None), (4, "")]
+    assert stage_texts(spark, folder, "near_duplicates", [*copies, *kept]) == sorted(kept, key=str)
