@@ -96,3 +96,34 @@ listed AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
 FROM texts LEFT JOIN listed USING (n)
 """
+
+FILTER_AUDIT = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+first AS (SELECT t, min(doc_id) AS first FROM words GROUP BY t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT d.part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 5 * length(d.t),
+    regexp_matches(d.t, '[#$%&*|]'), coalesce(d.doc_id > f.first, false)] AS fails, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic
+  FROM words d LEFT JOIN first f ON f.t = d.t LEFT JOIN marks m ON m.doc_id = d.doc_id
+),
+counted AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT '' AS o UNION ALL SELECT o || x FROM orders, letters WHERE NOT contains(o, x)),
+steps AS (SELECT o, CAST(step AS INTEGER) AS step, o[step] AS own FROM orders, range(1, 6) AS s(step) WHERE length(o) = 5),
+seen AS (
+  SELECT part, o, step, own, n, n_good, n_toxic, fails[strpos('ABCDE', own)] AS fails_own,
+    len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[strpos('ABCDE', x)] AND strpos(o, x) < step)) AS earlier, len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[strpos('ABCDE', x)] AND x <> own)) AS others
+  FROM counted, steps
+),
+told AS (
+  SELECT part, o AS filter_order, step, own, coalesce(sum(n) FILTER (NOT fails_own AND earlier = 0), 0) AS kept, coalesce(sum(n) FILTER (fails_own AND earlier = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (fails_own AND earlier > 0), 0) AS redundant, coalesce(sum(n) FILTER (fails_own AND others = 0), 0) AS unique_fails,
+    coalesce(sum(n_good) FILTER (fails_own AND earlier = 0), 0) AS good_lost, coalesce(sum(n_toxic) FILTER (fails_own AND earlier = 0), 0) AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM told
+"""
