@@ -77,7 +77,7 @@ def masks(df: DataFrame, id_column: str, text_column: str, part_column: str) ->
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(part_column).cast("string"), F.lit("")).alias("part"), F.col(text_column).cast("string").cast("binary").alias("text"))
     rows = durable(rows.mapInArrow(run, "id long, part string, content binary, mask int"))
-    first = rows.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    first = durable(rows.groupBy("content").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
     late = F.coalesce(F.col("id") > F.col("first"), F.lit(False)).cast("int")
     return rows.join(first, "content", "left").select("id", "part", F.col("mask").bitwiseOR(F.shiftleft(late, 4)).alias("mask"))
 
@@ -124,11 +124,11 @@ def audit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     there are no parts. Other columns are not read.
 
     Hot texts and parts cost no more than others: minima and counts are combined before the shuffle, and the joins
-    back are ordinary skewed joins, which adaptive execution splits.
+    back are ordinary skewed joins, which adaptive execution splits, since their other sides are checkpointed.
     """
     marks = labels.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("marked"))
     marks = marks.agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")).where("good = 1 OR toxic = 1")
     rows = masks(df, id_column, text_column, part_column)
-    rows = rows.join(marks, F.col("id") == F.col("marked"), "left")
+    rows = rows.join(durable(marks), F.col("id") == F.col("marked"), "left")
     counted = rows.groupBy("part", "mask").agg(F.count("*").alias("n"), *[F.sum(F.coalesce(k, F.lit(0))).cast("long").alias(k) for k in ("good", "toxic")])
     return interactions(counted)
