@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagewatch.llm import conversation_repair, decontaminate, embedding_dedup, filter_audit, html_content, language_ppm, minhash_dedup, pieces, quality_mil, secret_scans, sharding, sql, token_counts
+from pagewatch.llm import conversation_repair, decontaminate, embedding_dedup, filter_audit, html_content, language_ppm, minhash_dedup, pieces, pii_crf, quality_mil, secret_scans, sharding, sql, token_counts
 from pagewatch.llm.common import held_out, short_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +64,13 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_crf.digests(pii_crf.personal_data(table(spark, folder, "documents")))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repaired(conversation_repair.damaged(table(spark, folder, "conversations")), copies_column="copies")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op6_embedding_dedup, op7_language, op8_main_text, op9_contained_items, op10_secret_scan, op11_filter_audit, op13_conversation_repair)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_pieces, op3_minhash_dedup, op4_token_counts, op5_stratified_shards, op6_embedding_dedup, op7_language, op8_main_text, op9_contained_items, op10_secret_scan, op11_filter_audit, op12_personal_data, op13_conversation_repair)}
 ORACLES: dict[str, str] = {"op3_minhash_dedup": sql.NEAR_COPIES, "op6_embedding_dedup": sql.NEAR_VECTORS, "op9_contained_items": sql.CONTAINED_ITEMS, "op10_secret_scan": sql.SECRETS, "op11_filter_audit": sql.FILTER_AUDIT}
