@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch.llm.common import WordHashes, by_group, components, joining, mix, slices
 from pagewatch.session import durable, small
@@ -89,7 +89,9 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(id, n_shingles, set_key, bands) for every row of ``df`` (id, text)."""
+    """The rows of ``df`` with n_shingles, set_key and bands in the place of ``text``."""
+    others = [c for c in df.columns if c != "text"]
+    kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -107,40 +109,53 @@ def fingerprints(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     start = end
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), lists],
-                    ["id", "n_shingles", "set_key", "bands"],
+                    [*(batch.column(c) for c in others), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), lists],
+                    [*others, "n_shingles", "set_key", "bands"],
                 )
 
-    return df.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>")
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in others), "n_shingles long, set_key binary, bands array<long>"])
+    return df.select(*others, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def whole_sets(df: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) for rows of ``df`` (id, text): the sorted set as bytes."""
+    """(v, shingles) for rows of ``df`` (v, text): the sorted set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = text_sets(batch.column("text").to_pylist(), memo, width)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "shingles"])
 
-    return df.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, shingles binary")
+    return df.select("v", F.col("text").cast("binary").alias("text")).mapInArrow(run, "v long, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have ``100 * intersection >= percent * union``."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have ``100 * intersection >= percent * union``.
+
+    A hub ``a`` is sent once to each block of its partners ``b``, in front of them, and kept while they pass by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, None
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                a, b = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            for a, b, shingles in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("shingles")):
+                other = np.frombuffer(shingles.as_buffer(), np.uint64)
+                if b is None:
+                    hub, own = a, other
+                    keep.append(False)
+                    continue
+                assert a == hub, "a block begins with its hub"
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                keep.append(100 * both >= percent * (len(own) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = durable(pairs.join(durable(blocks), "a").withColumn("part", F.pmod(F.xxhash64("b"), "blocks").cast("int")).drop("blocks"))
+    partners = dealt.join(sets.select(F.col("v").alias("b"), "shingles"), "b").select("a", "part", "b", "shingles")
+    hubs = dealt.select("a", "part").distinct().join(sets.select(F.col("v").alias("a"), "shingles"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = partners.union(hubs).repartition("a", "part").sortWithinPartitions("a", "part", "b")
+    return rows.select("a", "b", "shingles").mapInArrow(run, "a long, b long")
 
 
 def block_links(rows: pa.Table, percent: int) -> pa.RecordBatch:
@@ -150,23 +165,23 @@ def block_links(rows: pa.Table, percent: int) -> pa.RecordBatch:
     columns at a time.
     """
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
-    sizes = np.array([len(s) for s in sets], np.float32)
+    sizes = np.array([len(s) for s in sets], np.int64)
     v, c, side = (rows[name].to_numpy() for name in ("v", "c", "side"))
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not rows["crossed"][0].as_py():
         right = left
-    owner = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    owner = np.repeat(np.arange(len(sets)), sizes)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = times[column] > 1
     column, owner = (np.cumsum(times > 1) - 1)[column[several]], owner[several]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    both = np.zeros((len(left), len(right)), np.float32)
+    both = np.zeros((len(left), len(right)), np.int64)
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         part = slice(*np.searchsorted(column, [start, start + COLUMNS]))
         incidence = np.zeros((len(sets), COLUMNS), np.float32)
         incidence[owner[part], column[part] - start] = 1
-        both += incidence[left] @ incidence[right].T
+        both += (incidence[left] @ incidence[right].T).astype(np.int64)  # exact: a product counts to COLUMNS at most
     near = (100 * both >= percent * (sizes[left][:, None] + sizes[right] - both)) & (c[left][:, None] != c[right])
     a, b = np.nonzero(near)
     a, b = left[a], right[b]
@@ -197,38 +212,60 @@ def between_components(placed: DataFrame, sets: DataFrame, percent: int, block:
     grid = dealt.select(
         "bucket", "v", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("crossed")
     )
-    rows = grid.join(sets.select(F.col("id").alias("v"), "shingles"), "v").repartition(*[F.col(x) for x in GROUP]).sortWithinPartitions(*GROUP)
+    rows = grid.join(sets, "v").repartition(*[F.col(x) for x in GROUP]).sortWithinPartitions(*GROUP)
     return rows.mapInArrow(by_group(GROUP, lambda rows: block_links(rows, percent)), "a long, b long")
 
 
-def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``df``.
+def text_keys(text: str = "text") -> dict[str, Column]:
+    """128 bits that tell texts apart, as two columns."""
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(1), text)}
 
-    Rows with one set of shingles are one class, and only its smallest id is compared. In every bucket of a band the
-    members first meet the smallest of them, and components are formed; then members outside the bucket's largest
-    component meet all members of other components, so no candidate pair between components stays untested, while pairs
-    within a component, which cannot change it, are never made. Both passes confirm pairs on full sets.
 
-    Null or empty texts and texts without words have an empty set and are linked with nothing. Rows of one id are one
-    document. A row without id is compared with nothing and kept. Other columns are not read.
+def similar_sets(texts: DataFrame, prints: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(set_key, component) for every set of ``prints``: equal components are sets that near copies connect.
+
+    ``prints`` are the fingerprints of ``texts`` (k1, k2, text), with their keys. A set is one vertex however many texts
+    have it, and only one text of it is read again. In every bucket of a band the vertices first meet the smallest of
+    them, and components are formed; then those outside the bucket's largest component meet all of other components, so
+    no candidate pair between components stays untested, while pairs within a component, which cannot change it, are
+    never made. Both passes confirm pairs on full sets.
     """
-    texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    prints = durable(fingerprints(texts, width, bands, rows))
-    sound = prints.where("id IS NOT NULL AND set_key IS NOT NULL")
-    classes = sound.groupBy("set_key").agg(F.min("id").alias("v"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    key = F.struct("k1", "k2")
+    found = prints.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(key).alias("text_key"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = durable(found.withColumn("v", F.monotonically_increasing_id()))
     members = classes.select("v", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.min_by("n", "v").alias("low_n")).where("low < high")
-    buckets = durable(members.join(shared.drop("high"), "bucket"))
+    shared = durable(members.groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.min_by("n", "v").alias("low_n")).where("low < high").drop("high"))
+    buckets = durable(members.join(shared, "bucket"))
     alike = F.least("n", "low_n") * 100 >= F.greatest("n", "low_n") * percent
     first = buckets.where((F.col("v") != F.col("low")) & alike).select(F.col("low").alias("a"), F.col("v").alias("b")).distinct()
-    near = buckets.select(F.col("v").alias("id")).distinct()
-    sets = durable(whole_sets(texts.join(small(near), "id"), width).distinct())
-    links = durable(verified(first, sets, percent))
-    own = sound.join(classes.select("set_key", "v"), "set_key").where("id <> v").select(F.col("id").alias("a"), F.col("v").alias("b"))
-
-    found = components(links)
-    placed = buckets.join(found.withColumnRenamed("component", "c"), "v", "left").select("bucket", "v", F.coalesce("c", "v").alias("c"))
-    links = links.union(between_components(durable(placed), sets, percent, block)).union(own)
-    reached = components(links).select(F.col("v").alias("id"), F.col("component").alias("component_id"))
-    answer = prints.select("id", "n_shingles").join(reached, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    near = classes.join(buckets.select("v").distinct(), "v", "left_semi").select("v", "text_key.k1", "text_key.k2")
+    own = texts.join(small(near), ["k1", "k2"]).groupBy("v").agg(F.first("text").alias("text"))
+    sets = durable(whole_sets(own, width))
+    links = durable(verified(first, sets, percent, block))
+
+    placed = buckets.join(components(links).withColumnRenamed("component", "c"), "v", "left").select("bucket", "v", F.coalesce("c", "v").alias("c"))
+    links = links.union(between_components(durable(placed), sets, percent, block))
+    return classes.join(components(links), "v", "left").select("set_key", F.coalesce("component", "v").alias("component"))
+
+
+def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row of ``df``; see ``similar_sets``.
+
+    Null or empty texts and texts without words have an empty set and are linked with nothing. Texts of any length are
+    read whole; the sets of those that share a bucket move, 8 bytes a shingle. Rows of one id are one document, which is
+    near to all that one of its texts is near to. A row without id is compared with nothing and kept. Ids may have any
+    value of 64 bits. Other columns are not read.
+    """
+    texts = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).withColumns(text_keys())
+    prints = durable(fingerprints(texts, width, bands, rows))
+    sound = prints.where("id IS NOT NULL AND set_key IS NOT NULL")
+    groups = durable(similar_sets(texts.where("id IS NOT NULL").drop("id"), sound, width, percent, block))
+    member = durable(sound.select("id", "set_key").join(groups, "set_key").select("id", "component"))
+    # An id with several texts connects their components.
+    several = durable(member.groupBy("id").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high"))
+    more = components(member.join(several, "id").select(F.col("component").alias("a"), F.col("low").alias("b")))
+    member = member.join(durable(more).toDF("v", "joined"), F.col("component") == F.col("v"), "left").select("id", F.coalesce("joined", "component").alias("component"))
+    least = durable(member.groupBy("component").agg(F.min("id").alias("component_id")))
+    reached = durable(member.distinct().join(least, "component").select(F.col("id").alias("own"), "component_id"))
+    answer = prints.select("id", "n_shingles").join(reached, F.col("id") == F.col("own"), "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return answer.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

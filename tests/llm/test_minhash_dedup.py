@@ -61,6 +61,24 @@ def test_edges(spark):
     assert near_copies(df.limit(0)).collect() == []
 
 
+def test_large_ids_several_texts_of_an_id_and_long_texts(spark):
+    top = 2**63 - 1
+    long = [f"w{i}" for i in range(300_000)]
+    rows = [(top - k, "one two three four five six seven eight nine ten " + extra) for k, extra in enumerate(["", "", " ", "one two three"])]
+    rows += [(-(2**63), " ".join(long)), (5, " ".join(long[:-9])), (6, "other words of one id here and now"), (6, " ".join(long[9:])), (8, "other words of one id here and now"), (9, "w " * 200_000)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    low = top - 3 if shingles(rows[3][1], 4) == shingles(rows[0][1], 4) else top - 2
+    wanted = {top: low, top - 1: low, top - 2: low, top - 3: top - 3, -(2**63): -(2**63), 5: -(2**63), 6: -(2**63), 8: -(2**63), 9: 9}
+    assert got == {k: (c, k == c) for k, c in wanted.items()}
+
+
+def test_components_of_numbers_of_many_partitions(spark):
+    number = lambda k: (k % 5000 << 33) + k // 5000  # noqa: E731  as monotonically_increasing_id gives them
+    links = [(number(k), number(k + 1)) for k in range(0, 20_000) if k % 100 != 99]
+    got = {r.v: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[number(k)] == min(number(j) for j in range(k // 100 * 100, k // 100 * 100 + 100)) for k in range(0, 20_000, 37))
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
