@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.llm import decontaminate, language_ppm, minhash_dedup, pieces, secret_scans
 from pagewatch.llm.common import held_out, short_batches
-from pagewatch.session import scratch, shared_folder, small
+from pagewatch.session import durable, shared_folder, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A sign of a word, as ``minhash_dedup`` takes words.
-WORD = r"[^ \t\n\x0b\f\r]"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,17 +28,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the smallest id, one without id where none has an id.
 
-    Every row is compared by its own text, under a number of its own, whatever its id. Texts without words are near to
-    nothing; of those, repeated rows go."""
+    Every row is compared by its own text, whatever its id. Texts without words are near to nothing; of those, repeated
+    rows go. Rows are known by 128-bit hashes of their columns, so no copy of the texts is made."""
     short_batches(spark)
-    folder = scratch(spark)
-    docs.select(COLUMNS).withColumns({"row": F.monotonically_increasing_id(), "tie": F.xxhash64(*COLUMNS)}).write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    groups = minhash_dedup.near_copies(rows, id_column="row").where("n_shingles > 0").select("row", "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tie", "row")
-    kept = rows.select("row", "doc_id", "tie").join(groups, "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
-    wordless = rows.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))).select(COLUMNS).dropDuplicates()
-    return rows.join(kept, "row", "left_semi").select(COLUMNS).union(wordless)
+    whole = [x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]  # hashes pass over nulls, so these are told
+    rows = docs.select(COLUMNS).withColumns({**minhash_dedup.text_keys(), "t1": F.xxhash64(*whole), "t2": F.xxhash64(F.lit(1), *whole)})
+    prints = durable(minhash_dedup.fingerprints(rows.select("doc_id", "k1", "k2", "t1", "t2", "text"), 5, minhash_dedup.BANDS, minhash_dedup.ROWS))
+    groups = durable(minhash_dedup.similar_sets(rows.select("k1", "k2", "text"), prints, 5, 80))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t1", "t2")
+    first = prints.select("set_key", "doc_id", "t1", "t2").join(groups, "set_key").groupBy("component").agg(F.min(order).alias("first")).select("first.t1", "first.t2")
+    kept = durable(first.union(prints.where("set_key IS NULL").select("t1", "t2")).distinct())
+    # Rows that are equal in all columns are told apart by nothing: one of them stays.
+    repeated = durable(prints.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    once, several = kept.join(repeated, ["t1", "t2"], "left_anti"), kept.join(repeated, ["t1", "t2"], "left_semi")
+    left = rows.join(small(once), ["t1", "t2"], "left_semi").select(COLUMNS)
+    return left.union(rows.join(small(several), ["t1", "t2"], "left_semi").select(COLUMNS).dropDuplicates())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
