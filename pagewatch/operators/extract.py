@@ -12,13 +12,13 @@ from pagewatch.functions.matching import keeps, keyword_matches
 from pagewatch.functions.text import bound, clean
 from pagewatch.functions.urls import resolve
 from pagewatch.operators import selectors as css
-from pagewatch.operators.nodes import document
+from pagewatch.operators.nodes import document, repaired, second_reading
 from pagewatch.spec import FieldSpec, JobSpec
 
 
-def parse_pages(pages: DataFrame, body: str = "html", keep_body: bool = False) -> DataFrame:
-    """Add ``nodes`` and ``segments``; the body itself is dropped unless asked for."""
-    parsed = pages.withColumn("_document", document(F.col(body)))
+def parse_pages(pages: DataFrame, body: str = "html", keep_body: bool = False, repair: bool = False) -> DataFrame:
+    """Add ``nodes`` and ``segments``, as written or as a browser's tree; the body itself is dropped unless asked for."""
+    parsed = pages.withColumn("_document", (repaired if repair else document)(F.col(body)))
     parsed = parsed.withColumns({"nodes": F.col("_document.nodes"), "segments": F.col("_document.segments")})
     return parsed.drop("_document") if keep_body else parsed.drop("_document", body)
 
@@ -57,7 +57,11 @@ def outer_html(node: Column, body: Column) -> Column:
 
 @dataclass(frozen=True)
 class Plan:
-    """How the selectors of a specification are read: literally, or as CSS."""
+    """How the selectors of a specification are read: literally on the page as written, or as CSS on a browser's tree.
+
+    A page on which the literal form finds nothing is read again as CSS. A field that the literal form cannot read is
+    looked up as CSS in the item's own text, which becomes a tree of its own.
+    """
 
     spec: JobSpec
     strict_raw: bool = False
@@ -66,6 +70,15 @@ class Plan:
     def page_parser(self) -> str:
         return "raw" if css.literal_only(self.spec.selector) else "dom"
 
+    @property
+    def second_try(self) -> bool:
+        """Whether pages without a literal match can be read as CSS."""
+        try:
+            css.read_css(self.spec.selector)
+            return self.page_parser == "raw" and all(f.selector == "" or css.read_css(f.selector) for f in self.spec.fields)
+        except ValueError:
+            return False
+
     def field_parser(self, field: FieldSpec) -> str:
         if self.page_parser == "dom":
             return "dom"
@@ -73,42 +86,95 @@ class Plan:
             return "dom-fallback"
         return "raw" if self.strict_raw or css.literal_only(field.selector) else "dom-fallback"
 
+    @property
+    def in_fragments(self) -> bool:
+        return any(f.selector and self.field_parser(f) == "dom-fallback" for f in self.spec.fields)
+
     def containers(self, nodes: Column) -> Column:
-        if self.page_parser == "raw":
-            return css.select_path(nodes, css.read_path(self.spec.selector))
-        return css.select_css(nodes, css.read_css(self.spec.selector))
-
-    def field_node(self, field: FieldSpec, nodes: Column, root: Column) -> Column:
-        if field.selector == "":
-            return root
-        parser = self.field_parser(field)
-        if parser == "raw":
-            return css.select_first_within(nodes, root, css.read_path(field.selector))
-        return css.css_first_within(nodes, root, css.read_css(field.selector), whole_page=parser == "dom")
-
-
-def _page_items(plan: Plan, base: str, body: str, debug: bool) -> Column:
-    """The items of one page for one specification, before keyword filtering."""
-    nodes, segments = F.col("nodes"), F.col("segments")
+        """The literal matches."""
+        return css.select_path(nodes, css.read_path(self.spec.selector))
+
+
+def _read(pages: DataFrame, plans: Sequence[Plan], seen: Sequence[Column], body: str) -> DataFrame:
+    """The trees that the plans need of the pages they see: ``nodes`` and ``segments`` as written, and in ``_second`` the
+    tree that a browser makes, of pages on which some plan needs it, and the trees of items for plans that need those."""
+    literal = [(k, plan) for k, plan in enumerate(plans) if plan.page_parser == "raw"]
+    # With lambdas in the input of a Python step Spark may fail to recognise the step, and it may repeat a step whose
+    # output is the input of another, so trees, matches and texts are kept in columns of their own: the optimizer does
+    # not move what depends on a row number.
+    apart = F.monotonically_increasing_id() >= 0
+    if literal:
+        pages = parse_pages(pages, body, keep_body=True).withColumns({c: F.when(apart, F.col(c)) for c in ("nodes", "segments")})
+        pages = pages.withColumns({f"_found_{k}": F.when(apart & seen[k], plan.containers(F.col("nodes"))) for k, plan in literal})
+    inner = [k for k, plan in literal if plan.in_fragments]
+    pages = pages.withColumns({f"_texts_{k}": F.when(apart, F.transform(f"_found_{k}", lambda n: outer_html(n, F.col(body)))) for k in inner}) if inner else pages
+    wanted = [seen[k] for k, plan in enumerate(plans) if plan.page_parser == "dom"]
+    wanted += [F.size(f"_found_{k}") == 0 for k, plan in literal if plan.second_try]
+    if not wanted and not inner:
+        return pages
+    whole = F.when(reduce(lambda a, b: a | b, wanted), F.col(body)) if wanted else F.lit(None).cast("string")
+    return pages.withColumn("_second", second_reading(whole, [F.col(f"_texts_{k}") for k in inner])).drop(*[f"_texts_{k}" for k in inner])
+
+
+def _page_items(k: int, plans: Sequence[Plan], base: str, body: str, debug: bool) -> Column:
+    """The items of one page for the k-th specification, before keyword filtering."""
+    plan, found_here = plans[k], F.col(f"_found_{k}")
+    fragment = sum(p.page_parser == "raw" and p.in_fragments for p in plans[:k])
     origin = F.col("url") if base == "page" else F.lit(plan.spec.url)
     fields = {f.name: f for f in plan.spec.fields}
     names = F.array(*[F.lit(name) for name in fields])
 
-    def item(root: Column) -> Column:
-        found = [(f, plan.field_node(f, nodes, root)) for f in fields.values()]
-        columns = [F.map_from_arrays(names, field_values(found, segments, origin)).alias("fields")]
+    def item(root: Column, parser: str, found: list[tuple[str, Column, Column, Column]]) -> Column:
+        """``found`` holds the parser, the node, the segments it points into and the text it is a part of, field by field."""
+        same = all(segments is found[0][2] for _, _, segments, _ in found)
+        if same:
+            values = field_values([(f, x[1]) for f, x in zip(fields.values(), found)], found[0][2], origin)
+        else:
+            values = F.concat(*[field_values([(f, x[1])], x[2], origin) for f, x in zip(fields.values(), found)])
+        columns = [F.map_from_arrays(names, values).alias("fields")]
         if debug:
-            parsers = F.array(*[F.lit(plan.field_parser(f)) for f, _ in found])
-            matched = F.array(*[outer_html(n, F.col(body)) for _, n in found])
+            matched = F.array(*[outer_html(node, text) for _, node, _, text in found])
             columns += [
-                F.lit(plan.page_parser).alias("parser"),
-                F.map_from_arrays(names, parsers).alias("field_parsers"),
+                F.lit(parser).alias("parser"),
+                F.map_from_arrays(names, F.array(*[F.lit(x[0]) for x in found])).alias("field_parsers"),
                 outer_html(root, F.col(body)).alias("parent_html"),
                 F.map_from_arrays(names, matched).alias("field_match_html"),
             ]
         return F.struct(*columns)
 
-    return F.transform(plan.containers(nodes), item)
+    def as_css() -> Column:
+        nodes, segments = F.col("_second.tree.nodes"), F.col("_second.tree.segments")
+
+        def one(root: Column) -> Column:
+            own = [root if f.selector == "" else css.css_first_within(nodes, root, css.read_css(f.selector), whole_page=True) for f in fields.values()]
+            return item(root, "dom", [("dom", node, segments, F.col(body)) for node in own])
+
+        return F.transform(css.select_css(nodes, css.read_css(plan.spec.selector)), one)
+
+    def literally() -> Column:
+        nodes, segments = F.col("nodes"), F.col("segments")
+
+        def one(root: Column, at: Column) -> Column:
+            own = F.get(F.get(F.col("_second.items"), F.lit(fragment)), at) if plan.in_fragments else None
+            found = []
+            for f in fields.values():
+                parser = plan.field_parser(f)
+                if f.selector == "":
+                    found.append((parser, root, segments, F.col(body)))
+                elif parser == "raw":
+                    found.append((parser, css.select_first_within(nodes, root, css.read_path(f.selector)), segments, F.col(body)))
+                else:
+                    inside = css.css_first_within(own["nodes"], F.get(own["nodes"], F.lit(0)), css.read_css(f.selector), whole_page=False)
+                    found.append((parser, inside, own["segments"], outer_html(root, F.col(body))))
+            return item(root, "raw", found)
+
+        return F.transform(found_here, one)
+
+    if plan.page_parser == "dom":
+        return as_css()
+    if not plan.second_try:
+        return literally()
+    return F.when(F.size(found_here) > 0, literally()).otherwise(F.coalesce(as_css(), F.array()))
 
 
 def extract_pages(
@@ -119,9 +185,10 @@ def extract_pages(
     Fields are read inside the item array, so the node array is never copied per item. ``base`` names what relative
     links are resolved against: the page or the job address. The body stays only for debug specifications.
     """
-    parsed = parse_pages(pages, body, keep_body=spec.debug)
-    items = _page_items(Plan(spec, strict_raw), base, body, spec.debug)
-    return parsed.withColumn("items", items).drop("nodes", "segments").withColumn("selector_matches", F.size("items"))
+    plan = Plan(spec, strict_raw)
+    read = _read(pages, [plan], [F.lit(True)], body)
+    kept = [c for c in pages.columns if spec.debug or c != body]
+    return read.select(*kept, _page_items(0, [plan], base, body, spec.debug).alias("items")).withColumn("selector_matches", F.size("items"))
 
 
 def on_targets(spec: JobSpec) -> Column:
@@ -140,15 +207,16 @@ def extract_many(
     """
     if own:
         pages = pages.where(reduce(lambda a, b: a | b, [own(spec) for spec in specs]))
-    parsed = parse_pages(pages, body, keep_body=debug)
-    kept = [c for c in parsed.columns if c not in ("nodes", "segments")]
+    plans = [Plan(spec) for spec in specs]
+    parsed = _read(pages, plans, [own(spec) if own else F.lit(True) for spec in specs], body)
+    kept = [c for c in pages.columns if debug or c != body]
 
-    def of_job(spec: JobSpec) -> Column:
-        items = _page_items(Plan(spec), base, body, debug)
-        seen = F.when(own(spec), items) if own else items
-        return F.struct(F.lit(spec.job_id).alias("job_id"), seen.alias("items"))
+    def of_job(k: int, plan: Plan) -> Column:
+        items = _page_items(k, plans, base, body, debug)
+        seen = F.when(own(plan.spec), items) if own else items
+        return F.struct(F.lit(plan.spec.job_id).alias("job_id"), seen.alias("items"))
 
-    rows = parsed.select(*kept, F.inline_outer(F.array(*[of_job(spec) for spec in specs])))
+    rows = parsed.select(*kept, F.inline_outer(F.array(*[of_job(k, plan) for k, plan in enumerate(plans)])))
     items = _exploded(rows.where(F.col("items").isNotNull()).withColumn("selector_matches", F.size("items")))
     matches = keep = F
     for spec in specs:

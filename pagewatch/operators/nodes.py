@@ -80,7 +80,10 @@ class Page:
                 self._close(fold(name[0]) if name else "", start, at)
             else:
                 self._start(inner, start, at)
-        end = len(html)
+        self._ended()
+
+    def _ended(self) -> None:
+        end = len(self._html)
         self._flush(end)
         while self._open:
             self._finish(self._open.pop(), end, end)
@@ -97,16 +100,19 @@ class Page:
         if name is None:
             return
         self._flush(start)
+        tag = fold(name[0])
+        self._node(tag, attributes(body[name.end() :]) if name.end() < len(body) else NO_ATTRIBUTES, start, end, inner[-1] == "/")
+
+    def _node(self, tag: str, attrs: dict[str, str], start: int, end: int, closed: bool) -> None:
         node, parent, at = len(self.tags), self._open[-1] if self._open else -1, len(self.segments)
         # The last place counts the children of the page itself, whose number is -1.
         self._children[parent] += 1
-        tag = fold(name[0])
         self.rows.append([node, node, parent, self._children[parent], 0, start, end, end, end, at, at])
         self._children.insert(node, 0)
         self.tags.append(tag)
-        self.attrs.append(attributes(body[name.end() :]) if name.end() < len(body) else NO_ATTRIBUTES)
+        self.attrs.append(attrs)
         self._text_at = end
-        if inner[-1] != "/" and tag not in VOID_TAGS:
+        if not closed and tag not in VOID_TAGS:
             self._open.append(node)
             self._open_tags[tag] += 1
 
@@ -133,6 +139,129 @@ class Page:
 
 NO_ATTRIBUTES: dict[str, str] = {}
 
+# What a start tag ends (first), as far as no tag of the second set is open in between.
+ENDED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "td": ({"td", "th"}, {"table", "tr"}),
+    "th": ({"td", "th"}, {"table", "tr"}),
+    **dict.fromkeys(["thead", "tbody", "tfoot"], ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"})),
+}
+# Start tags that end an open paragraph, tags that end tags do not reach across, parts of a table, and
+# elements whose content is text whatever it looks like.
+AFTER_PARAGRAPH = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+    " header hgroup hr li dd dt main menu nav ol p pre search section summary table ul".split()
+)
+SCOPES = frozenset(["table", "td", "th", "caption", "template", "object", "marquee", "applet"])
+TABLE_PARTS = frozenset(["tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"])
+RAW_TEXT = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE) for tag in ["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"]}
+
+
+class RepairedPage(Page):
+    """The tree that a browser makes of a page: elements whose end tags are left out end where the next one of their kind
+    begins, rows of a table stand in a ``tbody`` and cells in a row, end tags do not reach out of a cell, and comments
+    and the content of scripts hold no elements. Formatting elements are not opened anew in the next paragraph, and
+    ``html``, ``head`` and ``body`` are there only if the page names them.
+
+    Work is linear in the page: for every tag the places of its open elements are kept.
+    """
+
+    def __init__(self, html: str) -> None:
+        self._places: dict[str, list[int]] = {}
+        super().__init__(html)
+
+    def _read(self) -> None:
+        html, at = self._html, 0
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                self._flush(at)
+                end = html.find("-->", at + 4)
+                self._text_at = at = len(html) if end < 0 else end + 3
+                continue
+            markup = MARKUP.match(html, at)
+            if markup is None:
+                break
+            start, at = at, markup.end()
+            inner = markup[1].strip(SPACES)
+            if not inner:
+                continue
+            if inner[0] in "!?":
+                self._flush(start)
+                self._text_at = at
+            elif inner[0] == "/":
+                name = NAME.match(inner[1:].lstrip(SPACES))
+                self._close(fold(name[0]) if name else "", start, at)
+            else:
+                known = len(self.tags)
+                self._start(inner, start, at)
+                if len(self.tags) > known and self._open and self.tags[self._open[-1]] in RAW_TEXT:
+                    close = RAW_TEXT[self.tags[self._open[-1]]].search(html, at)
+                    at = close.start() if close else len(html)
+        self._ended()
+
+    def _last(self, tags: set[str] | frozenset[str]) -> int:
+        """Place among the open elements of the innermost one of ``tags``, -1 without any."""
+        return max((places[-1] for tag in tags if (places := self._places.get(tag))), default=-1)
+
+    def _pop(self, start: int, end: int) -> None:
+        node = self._open.pop()
+        self._places[self.tags[node]].pop()
+        self._finish(node, start, end)
+
+    def _pop_to(self, place: int, start: int, end: int) -> None:
+        while len(self._open) > place:
+            self._pop(start, end if len(self._open) == place + 1 else start)
+
+    def _opened(self, tag: str, attrs: dict[str, str], start: int, end: int, closed: bool) -> None:
+        depth = len(self._open)
+        super()._node(tag, attrs, start, end, closed)
+        if len(self._open) > depth:
+            self._places.setdefault(tag, []).append(depth)
+
+    def _node(self, tag: str, attrs: dict[str, str], start: int, end: int, closed: bool) -> None:
+        if tag in AFTER_PARAGRAPH and (place := self._last({"p"})) > self._last(SCOPES | {"button"}):
+            self._pop_to(place, start, start)
+        if tag in ENDED:
+            ended, within = ENDED[tag]
+            outer = self._last(within)
+            while (place := self._last(ended)) > outer:
+                self._pop_to(place, start, start)
+        top = self.tags[self._open[-1]] if self._open else ""
+        if tag in ("tr", "td", "th") and top == "table":
+            self._opened("tbody", NO_ATTRIBUTES, start, start, False)
+            top = "tbody"
+        if tag in ("td", "th") and top in ("tbody", "thead", "tfoot"):
+            self._opened("tr", NO_ATTRIBUTES, start, start, False)
+        # Of a self-closing mark only elements without content take notice.
+        self._opened(tag, attrs, start, end, closed and tag not in RAW_TEXT and tag not in ENDED and tag not in AFTER_PARAGRAPH)
+
+    def _close(self, name: str, start: int, end: int) -> None:
+        place = self._last({name})
+        if name == "table":
+            bound = -1
+        elif name in TABLE_PARTS:
+            bound = self._last({"table"})
+        else:
+            bound = self._last((SCOPES | {"ul", "ol"} if name == "li" else SCOPES) - {name})
+        self._flush(start)
+        self._text_at = end
+        if place > bound:
+            self._pop_to(place, start, end)
+        elif name == "p":  # as browsers do, an end tag alone is an empty paragraph
+            self._opened(name, NO_ATTRIBUTES, start, end, True)
+
+    def _ended(self) -> None:
+        end = len(self._html)
+        self._flush(end)
+        while self._open:
+            self._pop(end, end)
+        super()._ended()
+
 
 def fold(name: str) -> str:
     return name.lower() if name.isascii() else name.translate(FOLD)
@@ -150,9 +279,9 @@ def _offsets(counts: list[int]) -> pa.Array:
     return pa.array(np.cumsum([0, *counts]), pa.int32())
 
 
-def read_pages(html: pa.Array) -> pa.Array:
+def read_pages(html: pa.Array, reader: type[Page] = Page) -> pa.Array:
     """One Arrow batch of pages to one batch of (nodes, segments), built column by column."""
-    pages = [Page(text or "") for text in html.to_pylist()]
+    pages = [reader(text or "") for text in html.to_pylist()]
     attrs = [a for page in pages for a in page.attrs]
     classes = [NAME.findall(a["class"]) if "class" in a else [] for a in attrs]
     numbers = np.array([row for page in pages for row in page.rows], dtype=np.int32).reshape(-1, len(INT_FIELDS))
@@ -185,3 +314,31 @@ def _document(html: pa.Array) -> pa.Array:
 def document(html: Column) -> Column:
     """``struct<nodes, segments>`` of a page body."""
     return _document(html)
+
+
+@F.arrow_udf(DOCUMENT_TYPE)
+def _repaired(html: pa.Array) -> pa.Array:
+    return read_pages(html, RepairedPage)
+
+
+def repaired(html: Column) -> Column:
+    """``struct<nodes, segments>`` of a page body as a browser's tree; no nodes where the body is NULL."""
+    return _repaired(html)
+
+
+READING_TYPE = T.StructType().add("tree", DOCUMENT_TYPE).add("items", T.ArrayType(T.ArrayType(DOCUMENT_TYPE)))
+
+
+@F.arrow_udf(READING_TYPE)
+def _second_reading(html: pa.Array, items: pa.Array) -> pa.Array:
+    texts = items.to_pylist()
+    outer, inner = [len(lists or ()) for lists in texts], [len(ts or ()) for lists in texts for ts in lists or ()]
+    flat = pa.array([t for lists in texts for ts in lists or () for t in ts or ()], pa.string())
+    lists = pa.ListArray.from_arrays(_offsets(inner), read_pages(flat, RepairedPage))
+    return pa.StructArray.from_arrays([read_pages(html, RepairedPage), pa.ListArray.from_arrays(_offsets(outer), lists)], names=["tree", "items"])
+
+
+def second_reading(html: Column, items: list[Column]) -> Column:
+    """``struct<tree, items>``: a page as a browser's tree, and each text of some arrays as a tree of its own; nothing
+    where they are NULL. One Python step makes both."""
+    return _second_reading(html, F.array(*items) if items else F.array().cast("array<array<string>>"))

@@ -22,7 +22,7 @@ Predicate = Callable[[Column], Column]
 TOKEN = re.compile(
     r"""\s*(?:
       (?P<comma>,)\s* | (?P<join>[>+~])\s* | (?P<any>\*) | (?P<tag>[A-Za-z_][\w-]*) | \#(?P<id>[\w-]+) | \.(?P<cls>[\w-]+)
-      | \[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*)?\]
+      | \[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:"(?P<dq>[^"]*)"|'(?P<sq>[^']*)'|(?P<bare>[^\]\s]+))\s*(?P<fold>[iI])?\s*)?\]
       | :(?P<pseudo>[a-z-]+)(?:\((?P<arg>(?:[^()]|\([^()]*\))*)\))?
     )""",
     re.VERBOSE,
@@ -32,6 +32,12 @@ LITERAL = re.compile(r"\s*(?P<join>(?:>\s*)*)(?P<step>[^\s>]+)")
 NAMED = re.compile(r"(?P<tag>[^#.\[:]*)(?P<marks>(?:[#.][^#.\[:]*)*)")
 MARK = re.compile(r"[#.][^#.]*")
 ODD_TOKEN = re.compile(r"[+~*,]")
+# Pseudo-classes of position: whether it is among siblings of the same tag, counted from the end, and which it is.
+POSITIONS = {
+    "nth-child": (False, False, ""), "first-child": (False, False, "1"), "last-child": (False, True, "1"), "nth-last-child": (False, True, ""),
+    "nth-of-type": (True, False, ""), "first-of-type": (True, False, "1"), "last-of-type": (True, True, "1"), "nth-last-of-type": (True, True, ""),
+}
+LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 NTH = re.compile(r"\s*(?:(?P<word>odd|even)|(?P<a>[+-]?\d*)n\s*(?P<b>[+-]\s*\d+)?|(?P<n>[+-]?\d+))\s*$")
 
 
@@ -42,7 +48,7 @@ class Compound:
     tag: str | None = None
     id: str | None = None
     classes: tuple[str, ...] = ()
-    attrs: tuple[tuple[str, str, str], ...] = ()
+    attrs: tuple[tuple[str, str, str, bool], ...] = ()
     pseudos: tuple[tuple[str, str], ...] = ()
 
     def test(self, node: Column, nodes: Column) -> Column:
@@ -63,13 +69,17 @@ class Step:
     compound: Compound
 
 
-def _attribute_check(node: Column, name: str, op: str, wanted: str) -> Column:
+def _attribute_check(node: Column, name: str, op: str, wanted: str, folded: bool) -> Column:
     value = F.element_at(node["attrs"], F.lit(name.translate(FOLD)))
     if op == "":
         return value.isNotNull()
     text = F.coalesce(value, F.lit(""))
+    if folded:
+        text, wanted = F.translate(text, *LETTERS), wanted.translate(FOLD)
     if op == "=":
         return value.isNotNull() & (text == wanted)
+    if op == "|=":
+        return value.isNotNull() & ((text == wanted) | F.startswith(text, F.lit(f"{wanted}-")))
     if wanted == "":
         return F.lit(False)
     return {
@@ -81,24 +91,37 @@ def _attribute_check(node: Column, name: str, op: str, wanted: str) -> Column:
 
 
 def _pseudo_check(node: Column, nodes: Column, name: str, arg: str) -> Column:
-    if name == "first-child":
-        return node["child_no"] == 1
-    if name == "last-child":
-        return node["child_no"] == node["siblings"]
-    if name == "nth-child":
-        return _nth_check(node["child_no"], arg)
-    inner = _single_compounds(arg)
-    if name == "not":
-        return ~reduce(lambda a, b: a | b, [c.test(node, nodes) for c in inner])
+    if name in POSITIONS:
+        of_type, from_end, fixed = POSITIONS[name]
+        position, count = _position_of_type(node, nodes) if of_type else (node["child_no"], node["siblings"])
+        return _nth_check(count - position + 1 if from_end else position, fixed or arg)
+    if name == "only-child":
+        return node["siblings"] == 1
+    if name == "only-of-type":
+        return _position_of_type(node, nodes)[1] == 1
+    if name == "root":
+        return node["parent"] == -1
+    if name == "empty":  # neither elements nor text
+        return (node["last"] == node["id"]) & (node["seg_from"] == node["seg_to"])
     if name == "has":
-        return F.exists(subtree(nodes, node), lambda d: reduce(lambda a, b: a | b, [c.test(d, nodes) for c in inner]))
-    raise ValueError(f"pseudo-class :{name} is not supported")
+        return reduce(lambda a, b: a | b, [F.size(reduce(lambda found, step: _expand(found, step, nodes), path, F.array(node))) > 0 for path in read_css(arg, relative=True)])
+    if name not in ("not", "is", "where"):
+        raise ValueError(f"pseudo-class :{name} is not supported")
+    inner = reduce(lambda a, b: a | b, [c.test(node, nodes) for c in _single_compounds(arg)])
+    return ~inner if name == "not" else inner
+
+
+def _position_of_type(node: Column, nodes: Column) -> tuple[Column, Column]:
+    """The place of a node among its siblings of the same tag, and how many there are."""
+    family = F.when(node["parent"] < 0, nodes).otherwise(F.slice(nodes, node["parent"] + 2, F.get(nodes, node["parent"])["last"] - node["parent"]))
+    alike = F.filter(family, lambda d: (d["parent"] == node["parent"]) & (d["tag"] == node["tag"]))
+    return F.size(F.filter(alike, lambda d: d["id"] <= node["id"])), F.size(alike)
 
 
 def _nth_check(position: Column, arg: str) -> Column:
     found = NTH.match(arg)
     if not found:
-        raise ValueError(f"cannot read :nth-child({arg})")
+        raise ValueError(f"cannot read the position {arg!r}")
     if found["word"]:
         return position % 2 == (1 if found["word"] == "odd" else 0)
     if found["n"]:
@@ -134,8 +157,9 @@ def literal_step(text: str, join: str) -> Step | None:
     return None if compound == Compound() else Step(join, compound)
 
 
-def read_css(text: str) -> list[list[Step]]:
-    """A selector list: one path per comma-separated part. Raises on anything that is not understood."""
+def read_css(text: str, relative: bool = False) -> list[list[Step]]:
+    """A selector list: one path per comma-separated part, which may start with a join if it is ``relative`` to a node.
+    Raises on anything that is not understood."""
     paths: list[list[Step]] = []
     steps: list[Step] = []
     compound, join, at = None, " ", 0
@@ -162,7 +186,7 @@ def read_css(text: str) -> list[list[Step]]:
             continue
         if token["join"]:
             end_step()
-            if not steps:
+            if not steps and not (relative and join == " "):
                 raise ValueError(f"selector {text!r} starts with {token['join']!r}")
             join = token["join"]
             continue
@@ -186,7 +210,7 @@ def _extend(compound: Compound, token: re.Match) -> Compound:
         return replace(compound, classes=(*compound.classes, token["cls"]))
     if token["attr"]:
         wanted = next((v for v in (token["dq"], token["sq"], token["bare"]) if v is not None), "")
-        return replace(compound, attrs=(*compound.attrs, (token["attr"], token["op"] or "", wanted)))
+        return replace(compound, attrs=(*compound.attrs, (token["attr"], token["op"] or "", wanted, bool(token["fold"]))))
     if token["pseudo"]:
         return replace(compound, pseudos=(*compound.pseudos, (token["pseudo"], token["arg"] or "")))
     return compound

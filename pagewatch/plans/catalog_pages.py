@@ -24,7 +24,7 @@ def counts_of(spark: SparkSession, folder: str, wanted: list[str], literal: bool
         return selectors.select_css(nodes, selectors.read_css(selector))
 
     pairs = F.array(*[F.struct(F.lit(s).alias("selector"), F.size(found(s)).cast("bigint").alias("n")) for s in wanted])
-    return extract.parse_pages(scan_pages(spark, folder)).select("page_id", F.inline_outer(pairs))
+    return extract.parse_pages(scan_pages(spark, folder), repair=not literal).select("page_id", F.inline_outer(pairs))
 
 
 @query("s01_page_scan", "SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS size, CAST(length(html) AS BIGINT) AS chars FROM pages")
@@ -128,6 +128,7 @@ def attribute_values(spark: SparkSession, folder: str) -> DataFrame:
 COMPLEX = [
     'a[href^="/T"]', "li:first-child > a", "li:last-child", "li:nth-child(2n+1)", "li:not(:first-child)", "ul:has(a)",
     "h1 ~ p", "li + li", "title, h1", 'div[class~="ad"]', "meta[charset]", "a[href$='.']",
+    "li:nth-last-of-type(2)", "ul:has(> li + li)", "body > :is(nav, article):not(:empty)", "article > p:first-of-type", "html[lang|=en]", "li:only-child, ul:only-of-type",
 ]
 
 
@@ -140,11 +141,17 @@ COMPLEX = [
         WHEN {sql.quoted(COMPLEX[3])} THEN (SELECT count(*) FROM li WHERE li.page_id = p.page_id AND item_ord % 2 = 0)
         WHEN {sql.quoted(COMPLEX[4])} THEN (SELECT count(*) FROM li WHERE li.page_id = p.page_id AND item_ord > 0)
         WHEN {sql.quoted(COMPLEX[5])} THEN least(1, (SELECT count(*) FROM li WHERE li.page_id = p.page_id))
-        WHEN {sql.quoted(COMPLEX[6])} THEN (SELECT count(*) FROM nodes n WHERE n.page_id = p.page_id AND tag = 'p' AND above_tags[len(above_tags)] = 'article')
+        WHEN {sql.quoted(COMPLEX[6])} THEN len(regexp_extract_all(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<p>', 0))
         WHEN {sql.quoted(COMPLEX[7])} THEN (SELECT count(*) FROM li WHERE li.page_id = p.page_id AND item_ord > 0)
         WHEN {sql.quoted(COMPLEX[8])} THEN 2
         WHEN {sql.quoted(COMPLEX[9])} THEN 1
         WHEN {sql.quoted(COMPLEX[10])} THEN 1
+        WHEN {sql.quoted(COMPLEX[12])} THEN (SELECT count(*) FROM li WHERE li.page_id = p.page_id HAVING count(*) > 1) // greatest((SELECT count(*) FROM li WHERE li.page_id = p.page_id), 1)
+        WHEN {sql.quoted(COMPLEX[13])} THEN CAST((SELECT count(*) FROM li WHERE li.page_id = p.page_id) > 1 AS BIGINT)
+        WHEN {sql.quoted(COMPLEX[14])} THEN CASE WHEN contains(html, '<body>') THEN 2 ELSE 0 END
+        WHEN {sql.quoted(COMPLEX[15])} THEN least(1, len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>', 0)))
+        WHEN {sql.quoted(COMPLEX[16])} THEN CAST(regexp_matches(html, '<html lang="en["-]') AS BIGINT)
+        WHEN {sql.quoted(COMPLEX[17])} THEN CAST((SELECT count(*) FROM li WHERE li.page_id = p.page_id) = 1 AS BIGINT) + len(regexp_extract_all(html, '<ul>', 0))
         ELSE (SELECT count(*) FROM li WHERE li.page_id = p.page_id AND ends_with(href, '.')) END AS BIGINT) AS n
     FROM pages p, (SELECT unnest([{', '.join(sql.quoted(c) for c in COMPLEX)}]) AS selector) AS s
 """)

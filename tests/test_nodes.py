@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from pagewatch.operators.nodes import Page, attributes
+from pagewatch.operators.nodes import Page, RepairedPage, attributes
 
 VOID = {"br", "img"}
 
@@ -85,3 +87,29 @@ def test_nesting_against_a_plain_stack(parts):
 def test_many_unclosed_tags_stay_linear():
     page = Page("<p>" * 50_000 + "</div>" * 50_000)
     assert len(page.tags) == 50_000
+
+
+@pytest.mark.parametrize(("html", "expected"), [
+    ("<ul><li>a<ul><li>b</ul><li>c</ul>", "ul(li(ul(li)) li)"), ("<table><tr><td>a<td>b<tr><th>c<tfoot><tr><td></table><b>", "table(tbody(tr(td td) tr(th)) tfoot(tr(td))) b"),
+    ("<table><td>x<table><tr><td>y</table>z<td>w</table>", "table(tbody(tr(td(table(tbody(tr(td)))) td)))"), ("<p>a<div>b</p></div>", "p div(p)"), ("<p><b>a<p>b", "p(b) p"),
+    ("<div><table><tr><td></div><i></table></div><u>", "div(table(tbody(tr(td(i))))) u"), ("<dl><dt>a<dd>b<dl><dt>c</dl><dt>d</dl>", "dl(dt dd(dl(dt)) dt)"),
+    ("<select><option>1<optgroup><option>2<option>3</select>", "select(option optgroup(option option))"), ("<!-- <b> --><script>'<i>'</SCRIPT ><u>", "script u"), ("<li/>x<br/></br><p/>y", "li(br p)"), ("<td><tr>", "td tr"),
+])
+def test_repaired_trees(html, expected):
+    page = RepairedPage(html)
+
+    def shown(parent):
+        below = [at for at, row in enumerate(page.rows) if row[2] == parent]
+        return " ".join(page.tags[at] + (f"({inner})" if (inner := shown(at)) else "") for at in below)
+
+    assert shown(-1) == expected
+    for at, row in enumerate(page.rows):
+        own = [k for k, other in enumerate(page.rows) if other[2] == row[2]]
+        assert row[0] == at and row[3] == own.index(at) + 1 and row[4] == len(own) and row[5] <= row[6] and row[7] <= row[8] and row[9] <= row[10]
+
+
+@pytest.mark.parametrize("part", ["<div>", "</p>", "<li>", "<p><b>", "<table><td>", "<div></section>", "<td><tr>", "<ul><li>", "<!-- x -->", "<script>x</script>", "</b><i>"])
+def test_repair_is_linear(part):
+    began = time.perf_counter()
+    RepairedPage(part * (400_000 // len(part)))
+    assert time.perf_counter() - began < 4
