@@ -14,7 +14,7 @@ from pagewatch.session import durable
 
 #: Text that one step of a task works on at a time, and words that a task remembers.
 BATCH_BYTES = 4 << 20
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Rows that Spark hands to a Python worker at a time; its own default, 10,000, is meant for short rows.
 BATCH_ROWS = 1024
 
@@ -29,6 +29,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def released(run):
+    """``run``, with the memory that Arrow keeps for later given back at the end of a task: a worker that then waits idle
+    beside other stages takes room that those need."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of rows whose ``column`` has about ``limit`` bytes; one longer row is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

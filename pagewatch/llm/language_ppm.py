@@ -7,15 +7,15 @@ in every context of the tree is worked out once, so a text is scored by two look
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pagewatch.llm.common import held_out, slices
+from pagewatch.llm.common import held_out, released, slices
 from pagewatch.session import durable
 
 DEPTH = 3
@@ -25,7 +25,7 @@ LEAST_SHARE = 2e-5
 #: Byte values fall into classes: letters regardless of ASCII case, digits, marks and white space as one class each.
 SIGNS = 160
 PAD = 3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def byte_classes() -> np.ndarray:
@@ -216,7 +216,7 @@ def predict(df: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], ["id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     read = df.select(F.col(id_column).alias("id"), held_out(F.col(id_column)).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    scored = read.mapInArrow(run, f"id {dict(read.dtypes)['id']}, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    scored = read.mapInArrow(released(run), f"id {dict(read.dtypes)['id']}, held_out boolean, lang_pred string, score double, bits_per_byte double")
     return scored.withColumnRenamed("id", id_column)
 
 
@@ -235,4 +235,4 @@ def kept(df: DataFrame, model: Model, text_column: str = "text", unknown: str =
                 out = batch.append_column("lang_pred", pa.array(names, pa.string()))
                 yield out.filter(pa.array([n != unknown for n in names], pa.bool_()))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType())]))
+    return df.mapInArrow(released(run), T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType())]))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagewatch.llm.common import WordHashes, by_group, components, joining, mix, slices
+from pagewatch.llm.common import by_group, components, joining, mix, released, slices, WordHashes
 from pagewatch.session import durable, small
 
 #: Bands and rows: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26, 3 in 100,000.
@@ -114,7 +114,7 @@ def fingerprints(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 )
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in others), "n_shingles long, set_key binary, bands array<long>"])
-    return df.select(*others, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return df.select(*others, F.col("text").cast("binary").alias("text")).mapInArrow(released(run), schema)
 
 
 def whole_sets(df: DataFrame, width: int) -> DataFrame:
@@ -127,7 +127,7 @@ def whole_sets(df: DataFrame, width: int) -> DataFrame:
                 sets = text_sets(batch.column("text").to_pylist(), memo, width)
                 yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "shingles"])
 
-    return df.select("v", F.col("text").cast("binary").alias("text")).mapInArrow(run, "v long, shingles binary")
+    return df.select("v", F.col("text").cast("binary").alias("text")).mapInArrow(released(run), "v long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -155,7 +155,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> Dat
     partners = dealt.join(sets.select(F.col("v").alias("b"), "shingles"), "b").select("a", "part", "b", "shingles")
     hubs = dealt.select("a", "part").distinct().join(sets.select(F.col("v").alias("a"), "shingles"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
     rows = partners.union(hubs).repartition("a", "part").sortWithinPartitions("a", "part", "b")
-    return rows.select("a", "b", "shingles").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "shingles").mapInArrow(released(run), "a long, b long")
 
 
 def block_links(rows: pa.Table, percent: int) -> pa.RecordBatch:

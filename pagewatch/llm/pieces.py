@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import BATCH_BYTES, merged, mix
+from pagewatch.llm.common import BATCH_BYTES, merged, mix, released
 
 SPACE = "▁"
 #: Segmentations of a document, and how sharply probable ones are preferred.
@@ -374,7 +374,6 @@ class Sampler:
         """Edges of a drawn segmentation of a part that is none of the paths ``gone``."""
         t = self.lattice
         left = [self.paths[self.path_at[p] : self.path_at[p + 1]].tolist() for p in gone]
-        draws = uniform(np.full(64, key), np.arange(64) * 1_000_003 + place, number * 8 + 6)
         node, steps = int(t.first_node[word]), []
         while node >= 0:
             low, high = int(t.edge_at[node]), int(t.edge_at[node + 1])
@@ -387,6 +386,8 @@ class Sampler:
                     weights = np.array([float(sum(p[len(steps)] == e for p in left) == 0 or t.target[e] >= 0) for e in range(low, high)])
             else:
                 weights = t.share[low:high]
+            if len(steps) % 64 == 0:
+                draws = uniform(np.full(64, key), (np.arange(64) + len(steps)) * 1_000_003 + place, number * 8 + 6)
             u = draws[len(steps) % 64] * weights.sum()
             edge = low + min(int(np.searchsorted(np.cumsum(weights), u, side="right")), high - low - 1)
             left = [p for p in left if p[len(steps)] == edge]
@@ -449,7 +450,7 @@ def runs(df: DataFrame, id_column: str, text_column: str, work, schema: str, bat
         for batch in merged(batches, "text", batch_bytes):
             yield work(batch.column("id"), batch.column("text").to_pylist())
 
-    return read.mapInArrow(run, f"id {dict(read.dtypes)['id']}, {schema}").withColumnRenamed("id", id_column)
+    return read.mapInArrow(released(run), f"id {dict(read.dtypes)['id']}, {schema}").withColumnRenamed("id", id_column)
 
 
 def lists_of(ids: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -475,7 +476,7 @@ def decode(df: DataFrame, path: str, id_column: str = "doc_id", ids_column: str
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([library.decode(x) if x else "" for x in batch.column("ids").to_pylist()], pa.string())], ["id", "text"])
 
-    return read.mapInArrow(run, f"id {dict(read.dtypes)['id']}, text string").withColumnRenamed("id", id_column)
+    return read.mapInArrow(released(run), f"id {dict(read.dtypes)['id']}, text string").withColumnRenamed("id", id_column)
 
 
 def log_inclusion(log_prob: np.ndarray, bound: np.ndarray) -> np.ndarray:

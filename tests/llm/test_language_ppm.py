@@ -65,9 +65,9 @@ def test_code_lengths_and_accuracy(spark):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(1, None, "aa"), (2, "", "aa"), (3, "123 ... !?", None), (None, "thaing", None), (5, "thaing", "aa"), (5, "thaing", "aa"), (6, "elque", None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([(1, None, "aa"), (2, "", "aa"), (3, "123 ... !?", None), (None, "thaing", None), (5, "thaing", "aa"), (5, "thaing", "aa"), (6, "elque", None), (7, "½ ² ① Ⅷ _", "aa")], "doc_id long, text string, lang string")
     model = learn(df)
     got = sorted(((r.doc_id or 0, r.lang_pred, r.held_out) for r in predict(df.withColumnRenamed("lang", "lang_pred"), model).collect()))
-    assert [x[:2] for x in got] == [(0, "aa"), (1, "und"), (2, "und"), (3, "und"), (5, "aa"), (5, "aa"), (6, "aa")] and got[0][2]
+    assert [x[:2] for x in got] == [(0, "aa"), (1, "und"), (2, "und"), (3, "und"), (5, "aa"), (5, "aa"), (6, "aa"), (7, "und")] and got[0][2]
     assert predict(df.limit(0), model).collect() == []
     assert {r.lang_pred for r in predict(df, learn(df.limit(0))).collect()} == {"und"}
