@@ -182,14 +182,14 @@ def url_parameters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("c09_json_intake", """
-    SELECT CASE WHEN strlen(props) > 8 THEN 'input exceeds 8 bytes' WHEN event_type = 'error' THEN 'not valid JSON' END AS problem, count(*) AS n,
-           CAST(sum(CASE WHEN strlen(props) > 8 OR event_type = 'error' THEN 0 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS BIGINT) AS k
+    SELECT CASE WHEN event_type = 'error' THEN 'not valid JSON' END AS problem, count(*) AS n,
+           CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END) AS BIGINT) AS k
     FROM events GROUP BY problem
 """)
 def json_intake(spark: SparkSession, folder: str) -> DataFrame:
     broken = F.replace("props", F.lit("}"), F.lit("]"))
     given = scan(spark, folder, "events").select(F.when(F.col("event_type") == "error", broken).otherwise(F.col("props")).alias("props"))
-    taken = files.json_intake(given, "props", limit=8)
+    taken = files.json_intake(given, "props")
     k = F.coalesce(F.try_variant_get("parsed", "$.k", "bigint"), F.lit(0))
     return taken.groupBy("problem").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
 
