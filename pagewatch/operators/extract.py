@@ -101,8 +101,8 @@ def _read(pages: DataFrame, plans: Sequence[Plan], seen: Sequence[Column], body:
     literal = [(k, plan) for k, plan in enumerate(plans) if plan.page_parser == "raw"]
     # With lambdas in the input of a Python step Spark may fail to recognise the step, and it may repeat a step whose
     # output is the input of another, so trees, matches and texts are kept in columns of their own: the optimizer does
-    # not move what depends on a random number, which here is always large enough.
-    apart = F.rand(0) >= 0
+    # not move what depends on a random number; its whole part is always 0, which Spark does not know.
+    apart = F.floor(F.rand(0)) == 0
     if literal:
         pages = parse_pages(pages, body, keep_body=True).withColumns({c: F.when(apart, F.col(c)) for c in ("nodes", "segments")})
         pages = pages.withColumns({f"_found_{k}": F.when(apart & seen[k], plan.containers(F.col("nodes"))) for k, plan in literal})
