@@ -12,7 +12,7 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -76,19 +76,63 @@ class Page:
     in_links: list[int] = field(default_factory=list)
 
 
+class Open:
+    """Open elements, innermost last, and where those of each tag are, so that no lookup walks through all of them."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple] = []  # tag first
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []  # places that the end of a mere markup of words does not reach through
+
+    def push(self, element: tuple, wall: bool) -> None:
+        self.places.setdefault(element[0], []).append(len(self.elements))
+        if wall:
+            self.walls.append(len(self.elements))
+        self.elements.append(element)
+
+    def cut(self, k: int) -> list[tuple]:
+        """Take away the elements from place ``k`` on, innermost first."""
+        gone = []
+        while len(self.elements) > k:
+            gone.append(self.elements.pop())
+            self.places[gone[-1][0]].pop()
+            if self.walls and self.walls[-1] == len(self.elements):
+                self.walls.pop()
+        return gone
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element with one of these tags; -1 without any."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=-1)
+
+    def ended_by(self, tag: str) -> int:
+        """The place of the element that a closing ``tag`` ends; -1 if it ends none."""
+        k = self.last((tag,))
+        return -1 if tag in INLINE and self.walls and self.walls[-1] > k else k
+
+    def close(self, tags: frozenset, fence: frozenset) -> None:
+        """End the innermost element of ``tags`` unless one of ``fence`` lies in it."""
+        k = self.last(tags)
+        if k >= 0 and k > self.last(fence):
+            self.cut(k)
+
+
 def read_page(source: str) -> Page:
     """The nodes of a page: elements that are no mere markup of words, or that have a name. Open ends are closed as
     browsers do for paragraphs, items and cells; what the page never shows as text is left out, up to where it ends."""
     page = Page([-1], ["body"], [""], [0], [], [0])
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, inside a link
-    broken, at, unclosed = False, 0, set()
+    stack = Open()  # tag, node, inside a link
+    broken, at, unclosed, endless = False, 0, set(), set()
+
+    def here() -> tuple[int, bool]:
+        return stack.elements[-1][1:] if stack.elements else (0, False)
 
     def say(text: str) -> None:
         nonlocal broken
         if text:
-            page.texts.append((stack[-1][1], broken, html.unescape(text)))
-            if stack[-1][2]:
-                page.in_links[stack[-1][1]] += len(text)
+            node, link = here()
+            page.texts.append((node, broken, html.unescape(text)))
+            if link:
+                page.in_links[node] += len(text)
             broken = False
 
     while m := TOKEN.search(source, at):
@@ -100,42 +144,44 @@ def read_page(source: str) -> Page:
         inline = tag in INLINE
         broken = broken or not inline
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+            k = stack.ended_by(tag)
+            if k >= 0:
+                stack.cut(k)
             continue
         if tag in VOID:
             continue
         if tag in ENDS_PARAGRAPH:
-            close(stack, frozenset({"p"}), frozenset({"article", "aside", "blockquote", "div", "li", "main", "section", "table", "td", "body"}))
+            stack.close(frozenset({"p"}), frozenset({"article", "aside", "blockquote", "div", "li", "main", "section", "table", "td", "body"}))
         if tag in IMPLIED:
-            close(stack, *IMPLIED[tag])
+            stack.close(*IMPLIED[tag])
         if tag in SILENT:
             if tag not in RAW:
                 at = silent_end(source, at, tag, rest, stack, unclosed)
-            elif not is_empty(rest) or raw_end(source, at, tag) < len(source):
-                at = raw_end(source, at, tag)
+            elif not is_empty(rest) or tag not in endless:
+                end = raw_end(source, at, tag)
+                if end == len(source):
+                    endless.add(tag)
+                at = at if is_empty(rest) and end == len(source) else end
             continue
         found = NAMES.findall(rest) if rest else []
         names = " ".join((b or c or d) for a, b, c, d in found if a.lower() != "data-y").lower()
         mark = next((int((b or c or d) == "1") for a, b, c, d in found if a.lower() == "data-y"), None)
-        link = tag == "a" or (inline and stack[-1][2])
+        up, within = here()
+        link = tag == "a" or (inline and within)
         if inline and not names:
-            stack.append((tag, stack[-1][1], link))
+            stack.push((tag, up, link), False)
             continue
         if tag in ("html", "body"):
             page.names[0] = names or page.names[0]
+            page.marked[0] = mark or page.marked[0]
             continue
-        node, up = len(page.parent), stack[-1][1]
+        node = len(page.parent)
         page.parent.append(up)
         page.tag.append(tag)
         page.names.append(names)
         page.marked.append(page.marked[up] if mark is None else mark)
         page.in_links.append(0)
-        stack.append((tag, node, link))
+        stack.push((tag, node, link), not inline)
     say(source[at:])
     return page
 
@@ -151,7 +197,7 @@ def is_empty(rest: str) -> bool:
     return rest.endswith("/") and not UNQUOTED.search(QUOTED.sub('""', rest))
 
 
-def silent_end(source: str, at: int, tag: str, rest: str, stack: list[tuple[str, int, bool]], unclosed: set[int]) -> int:
+def silent_end(source: str, at: int, tag: str, rest: str, stack: Open, unclosed: set[int]) -> int:
     """Where reading goes on after an element without shown text, whose opening tag ends at ``at``.
 
     It ends behind its closing tag. Where something else ends it (the closing of an element of ``stack``, a tag or text
@@ -162,12 +208,12 @@ def silent_end(source: str, at: int, tag: str, rest: str, stack: list[tuple[str,
     if tag == "svg" and is_empty(rest):
         return at
     known = at in unclosed or (tag != "head" and is_empty(rest))
-    inside = [(tag, at, tag != "svg")]  # tag, place, whether HTML stands in it
+    inside = Open()  # tag, place, whether HTML stands in it
+    inside.push((tag, at, tag != "svg"), tag != "svg" and tag not in INLINE)
     stop = None  # where it ends if it is not closed
 
     def drop(k: int) -> None:
-        unclosed.update(place for _, place, _ in inside[k:])
-        del inside[k:]
+        unclosed.update(place for _, place, _ in inside.cut(k))
 
     while m := TOKEN.search(source, at):
         if tag == "head" and source[at : m.start()].strip(WHITE):
@@ -177,20 +223,18 @@ def silent_end(source: str, at: int, tag: str, rest: str, stack: list[tuple[str,
         if name is None:
             continue
         if closing:
-            k = len(inside) - 1
-            while k >= 0 and inside[k][0] != name:
-                k = -1 if name in INLINE and inside[k][2] and inside[k][0] not in INLINE else k - 1
+            k = inside.ended_by(name)
             if k >= 0:
                 drop(k + 1)
-                inside.pop()
-                if not inside:
+                inside.cut(k)
+                if not inside.elements:
                     return at
-            elif name in ("body", "html") or is_open(stack, name):
+            elif name in ("body", "html") or stack.ended_by(name) >= 0:
                 stop = m.start() if stop is None else stop
                 if known or tag == "svg" or name not in INLINE:
                     break
             continue
-        in_html = inside[-1][2]
+        in_html = inside.elements[-1][2]
         if tag == "head":
             if name not in IN_HEAD:
                 return m.start()
@@ -205,15 +249,16 @@ def silent_end(source: str, at: int, tag: str, rest: str, stack: list[tuple[str,
             stop = m.start() if stop is None else stop
             break
         if not in_html and (name in LEAVES_SVG or name == "font" and FONT.search(rest)):
-            while inside and not inside[-1][2]:
-                inside.pop()
-            if not inside:
+            while inside.elements and not inside.elements[-1][2]:
+                inside.cut(len(inside.elements) - 1)
+            if not inside.elements:
                 return m.start() if stop is None else stop
             in_html = True
         if in_html and name in RAW and not is_empty(rest):
             at = raw_end(source, at, name)
         elif name not in VOID and not ((not in_html or name == "svg") and is_empty(rest)):
-            inside.append((name, at, name in HOLDS_HTML or in_html and name != "svg"))
+            html_inside = name in HOLDS_HTML or in_html and name != "svg"
+            inside.push((name, at, html_inside), html_inside and name not in INLINE)
     else:
         if tag == "head":
             return at if source[at:].strip(WHITE) else len(source)
@@ -222,31 +267,12 @@ def silent_end(source: str, at: int, tag: str, rest: str, stack: list[tuple[str,
     return stop
 
 
-def is_open(stack: list[tuple[str, int, bool]], tag: str) -> bool:
-    """Whether a closing ``tag`` ends an element of ``stack``."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] == tag:
-            return True
-        if tag in INLINE and stack[k][0] not in INLINE:
-            return False
-    return False
-
-
 def raw_end(source: str, at: int, tag: str) -> int:
     """Where an element ends whose text is no markup."""
     m = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
     return m.end() if m else len(source)
 
 
-def close(stack: list[tuple[str, int, bool]], tags: frozenset, fence: frozenset) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] in tags:
-            del stack[k:]
-            return
-        if stack[k][0] in fence:
-            return
-
-
 def describe(page: Page) -> tuple[np.ndarray, list[int]]:
     """Features of the nodes, and the kind of the edge above each: 1 where the node stands apart by tag or name."""
     n = len(page.parent)
