@@ -8,6 +8,7 @@ pages whose content is marked, by following the gradient of their likelihood, wh
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import random
@@ -60,6 +61,8 @@ HINTS = (
 )
 HINTS = {word: k for k, group in enumerate(HINTS) for word in group.split()}
 FEATURES = 18 + 10 + 8
+#: Tags whose texts read on in what they lie in.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure".split())
 #: Tags whose text is set apart from what surrounds it.
 APART = frozenset({7, 8, 9, 10, 11, 15})
 
@@ -303,12 +306,23 @@ def describe(page: Page) -> tuple[np.ndarray, list[int]]:
     return x, kinds
 
 
+def is_bare(page: Page) -> bool:
+    """Whether running text straight under the body is more than half of the page's text."""
+    straight = [not up and tag in RUNNING for up, tag in zip(page.parent, page.tag)]
+    straight[0] = True
+    for k in range(1, len(straight)):
+        straight[k] = straight[k] or (page.parent[k] > 0 and straight[page.parent[k]])
+    return 2 * sum(len(text.strip()) for node, _, text in page.texts if straight[node]) > sum(len(text.strip()) for _, _, text in page.texts)
+
+
 @dataclass
 class Model:
-    """``unary`` speaks for content; ``pair[kind, parent, child]`` are the potentials of edges."""
+    """``unary`` speaks for content; ``pair[kind, parent, child]`` are the potentials of edges. ``bare`` is the model of
+    pages that have their content straight under the body, where being the root speaks for content, not against it."""
 
     unary: np.ndarray
     pair: np.ndarray
+    bare: Model | None = None
 
     def pass_messages(self, parent: list[int], kinds: list[int], odds: list[float]) -> tuple[list[float], list[float], list[float]]:
         """Log odds of every node under the whole tree; of it and what hangs below it; and of its parent without it."""
@@ -329,6 +343,8 @@ class Model:
         return whole, below, outside
 
     def marginals(self, page: Page) -> list[float]:
+        if self.bare and is_bare(page):
+            return self.bare.marginals(page)
         x, kinds = describe(page)
         whole, _, _ = self.pass_messages(page.parent, kinds, (x @ self.unary).tolist())
         return [1 / (1 + math.exp(-min(max(v, -30.0), 30.0))) for v in whole]
@@ -357,8 +373,9 @@ def learn(pages: list[Page], steps: int = 80, rate: float = 0.15) -> Model:
     return model
 
 
-def labelled_pages(number: int = 160, seed: int = 11) -> list[str]:
-    """Pages of common layouts whose content is marked by ``data-y``, made of drawn words: what the model learns from."""
+def labelled_pages(number: int = 160, seed: int = 11, bare: bool = False) -> list[str]:
+    """Pages of common layouts whose content is marked by ``data-y``, made of drawn words: what the model learns from.
+    ``bare`` pages have it straight under the body."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice(("ba", "ro", "ti", "en", "sol", "ka", "mu", "ver")) for _ in range(rng.randrange(1, 4)))
     line = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b)))
@@ -378,7 +395,7 @@ def labelled_pages(number: int = 160, seed: int = 11) -> list[str]:
     def extras(names: list[str], tags: list[str], body) -> str:
         name = rng.choice([*names, ""]) if len(tags) > 1 else rng.choice(names)
         tag = rng.choice(tags) if name else tags[-1]
-        return f'<{tag} class="{name}">{body()}</{tag}>' if name else f"<{tag}>{body()}</{tag}>"
+        return f'<{tag} class="{name}" data-y="0">{body()}</{tag}>' if name else f'<{tag} data-y="0">{body()}</{tag}>'
 
     out = []
     for _ in range(number):
@@ -400,7 +417,9 @@ def labelled_pages(number: int = 160, seed: int = 11) -> list[str]:
         ]
         inner = content()
         kind = rng.randrange(6)
-        if kind < 2:
+        if bare:
+            body = f"{inner}<p>{text()}</p>"
+        elif kind < 2:
             body = f'<article data-y="1">{inner}</article>'
         elif kind == 2:
             body = f'<main data-y="1">{inner}</main>'
@@ -412,12 +431,16 @@ def labelled_pages(number: int = 160, seed: int = 11) -> list[str]:
             body = f'<main data-y="1"><article>{inner}</article></main>'
         pick = lambda parts: "".join(p() for p in rng.sample(parts, rng.randrange(0, len(parts) + 1)))
         body = pick(before) + body + pick(after)
-        out.append(f"<!DOCTYPE html><html><head><title>{line(2, 6)}</title></head><body>{f'<div class={chr(34)}wrapper{chr(34)}>{body}</div>' if rng.random() < 0.4 else body}</body></html>")
+        out.append(f"<!DOCTYPE html><html><head><title>{line(2, 6)}</title></head><body data-y={bare:d}>{f'<div class={chr(34)}wrapper{chr(34)}>{body}</div>' if rng.random() < 0.4 and not bare else body}</body></html>")
     return out
 
 
+@functools.cache
 def trained() -> Model:
-    return learn([read_page(source) for source in labelled_pages()])
+    """The models of ``labelled_pages``, learned once a process."""
+    model = learn([read_page(source) for source in labelled_pages()])
+    model.bare = learn([read_page(source) for source in labelled_pages(80, bare=True)])
+    return model
 
 
 def main_text(source: str | None, model: Model, least: float = 0.5) -> str:

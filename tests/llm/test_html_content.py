@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -20,6 +21,9 @@ PAGES = [
     ('<div class="menu"><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div id="content"><p>Some<b>thing</b> here, it is long enough.</p><script>var a="</p>";</script><p>More.</p></div><div class="comments"><div class="comment"><p>Nice one. I like it.</p></div></div>', "Something here, it is long enough. More."),
     ('<main><p>Only text. And more of it.</p><!-- <p>not this</p> --><form><p>Your name</p><input></form></main><aside><h3>Also</h3><p>Other things. Many.</p></aside>', "Only text. And more of it."),
     ("<style>p{}</style><article><p>Cut &amp", "Cut &"),
+    ("<body><h1>Recipe</h1><p>Mix the flour. Add water and salt. Knead it well.</p><p>Serve warm.</p><footer>&copy; 2020 Us</footer>", "Recipe Mix the flour. Add water and salt. Knead it well. Serve warm."),
+    ("<body><nav><a href=x>Home</a> <a href=y>News</a></nav><h1>Recipe</h1><p>Mix the flour. Add water and salt.</p><p>Serve warm.</p>", "Recipe Mix the flour. Add water and salt. Serve warm."),
+    ("<body><div><div><div><h1>T</h1><p>One line here. Another line there.</p><p>And a third one.</p></div></div></div><footer><p>Contact us. Or not.</p></footer>", "T One line here. Another line there. And a third one."),
     ("", ""),
     ("<div class='cookie-notice'><p>We use cookies. Do you agree?</p></div>", ""),
 ]
@@ -61,6 +65,20 @@ def test_broken_markup_ends():
         assert isinstance(read_page(source), Page)
 
 
+@pytest.mark.parametrize("part", ["<div>;</section>", "<select>;</b>", "<p><li>;<b>;<h2></h2>", "<select>;<b>;</i>", ";<script/>", "<i><div>;<b>;</i>"])
+def test_reading_is_linear(part):
+    """Eight times the markup takes about eight times as long, not sixty-four: unmatched tags walk through no open elements."""
+
+    def seconds(n: int) -> float:
+        began = time.process_time()
+        read_page("".join(x * n for x in part.split(";")))
+        return time.process_time() - began
+
+    seconds(100)
+    small, large = min(seconds(4000) for _ in range(3)), seconds(32000)
+    assert large < 24 * small + 0.2
+
+
 #: Parts that show no text, each without its closing tag or in a form that has none; the article after them is shown.
 BEFORE = [
     "<head><title>t</title>",
