@@ -92,6 +92,24 @@ def seed_batch(
     return computed.select("url")
 
 
+def admitted(pushed: DataFrame, known: DataFrame) -> DataFrame:
+    """What becomes of pushed urls: (url, times, fresh) per url, ``fresh`` unless ``known(url)`` has it.
+
+    Of the pushes of a fresh url the first is admitted and the others are duplicates; of a known url all are duplicates.
+    A null url is no push.
+    """
+    asked = pushed.where(F.col("url").isNotNull()).groupBy("url").agg(F.count(F.lit(1)).alias("times"))
+    listed = known.select("url").distinct().withColumn("_known", F.lit(True))
+    return asked.join(listed, "url", "left").select("url", "times", F.col("_known").isNull().alias("fresh"))
+
+
+def push_counts(admitted: DataFrame) -> DataFrame:
+    """One row: urls ``pushed``, and pushes that were ``duplicates``."""
+    return admitted.agg(
+        F.count_if("fresh").alias("pushed"), F.coalesce(F.sum(F.col("times") - F.col("fresh").cast("bigint")), F.lit(0)).alias("duplicates")
+    )
+
+
 def lanes(batch: DataFrame, count: int, order: Sequence[str], group_rows: int = GROUP_ROWS) -> DataFrame:
     """Deal a batch over ``count`` lanes, numbered from 1, one row after another."""
     placed = numbered(batch, [], order, "_place", group_rows)

@@ -177,6 +177,21 @@ def diagnosis() -> Column:
     )
 
 
+def page_outcomes(pages: DataFrame, kept: DataFrame, new: DataFrame, keys: list[str], page: str = "page_id") -> DataFrame:
+    """Per key and outcome how many pages ended so (``keys, outcome, pages``); every row of ``pages`` has one outcome.
+
+    The outcome is the diagnosis of the page, so a page that failed is seen beside others that were answered. An attempt
+    that has an ``error_kind`` ended with that and is not judged further.
+    """
+    counts = pages
+    for name, rows in (("kept", kept), ("new", new)):
+        found = rows.groupBy(*keys, page).agg(F.count(F.lit(1)).alias(name))
+        counts = counts.join(found, [*keys, page], "left")
+    failed = F.col("error_kind") if "error_kind" in pages.columns else F.lit(None).cast("string")
+    outcome = F.coalesce(failed, diagnosis()).alias("outcome")
+    return counts.fillna(0, ["kept", "new"]).groupBy(*keys, outcome).agg(F.count(F.lit(1)).alias("pages"))
+
+
 def cycle_stats(attempts: DataFrame, failed: Column, keys: list[str] | None = None) -> DataFrame:
     return attempts.groupBy(*(keys or [])).agg(
         F.count(F.lit(1)).alias("processed"), F.count_if(failed).alias("failed"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.functions import text, urls
-from pagewatch.operators import extract, selectors
+from pagewatch.operators import extract, frontier, selectors
 from pagewatch.plans import sql
 from pagewatch.plans.registry import query
 from pagewatch.sources.pages import guarded, scan, scan_pages
@@ -290,6 +290,16 @@ def link_table(spark: SparkSession, folder: str) -> DataFrame:
     return extract.page_links(scan_pages(spark, folder), "a")
 
 
+@query("x16_pushed_links", f"""
+    WITH pushes AS (SELECT {sql.ORIGIN} || {sql.clean('href')} AS url, count(*) AS times FROM ({sql.LIST_ITEMS}) GROUP BY 1)
+    SELECT url, times, url NOT IN (SELECT url FROM pages) AS fresh FROM pushes
+""")
+def pushed_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Every link of every page pushed to the frontier, where the pages themselves are known."""
+    rows = scan_pages(spark, folder)
+    return frontier.admitted(extract.page_links(rows, "a").select(F.col("dst").alias("url")), rows)
+
+
 @query("x13_job_address_base", f"""
     SELECT page_id, item_ord, 'https://monitor.example.com' || {sql.clean('href')} AS link FROM ({sql.LIST_ITEMS})
 """)

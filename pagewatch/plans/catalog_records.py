@@ -201,13 +201,19 @@ def webhook_parts(spark: SparkSession, folder: str) -> DataFrame:
 HOST = "regexp_extract(url, '://([^/]*)', 1)"
 
 
-def page_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    """Funnel per page: list items selected, with keywords, and on the first half of the corpus already stored."""
+def funnel_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages with their list items counted; items with keywords; and those not already stored from the http pages."""
     pages = scan_pages(spark, folder)
     rows = durable(extract_pages(pages, NAV).withColumn("status", F.when(F.contains("url", F.lit("?")), 404).otherwise(200)))
     kept = hashed(items_of(rows, NAV), ["text"])
     https = F.startswith("url", F.lit("https:"))
     new = new_items(kept.where(https), kept.where(~https), ["page_id", "item_ord"])
+    return rows, kept, new
+
+
+def page_funnel(spark: SparkSession, folder: str) -> DataFrame:
+    """Funnel per page: list items selected, with keywords, and on the first half of the corpus already stored."""
+    rows, kept, new = funnel_parts(spark, folder)
     told = digest.first_items(new, ["page_id"], ["item_ord"], 1)
     return signals.funnel(rows, kept, new, told, ["page_id"])
 
@@ -243,6 +249,19 @@ def run_diagnosis(spark: SparkSession, folder: str) -> DataFrame:
     return page_funnel(spark, folder).select("page_id", signals.diagnosis().alias("diagnosis"))
 
 
+@query("a04_page_outcomes", f"""
+    WITH {FUNNEL}, judged AS (
+        SELECT {HOST} AS host, CASE WHEN status >= 400 THEN 'http_error' WHEN kept = 0 AND selector_matches = 0 THEN 'selector_matched_nothing'
+            WHEN kept = 0 THEN 'no_keyword_hit' WHEN new = 0 THEN 'nothing_new' ELSE 'ok' END AS outcome
+        FROM funnel JOIN pages USING (page_id))
+    SELECT host, outcome, count(*) AS pages FROM judged GROUP BY ALL
+""")
+def page_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of all pages, counted per host as a job."""
+    host = F.regexp_extract("url", "://([^/]*)", 1)
+    return signals.page_outcomes(*[rows.withColumn("host", host) for rows in funnel_parts(spark, folder)], ["host"])
+
+
 @query("a05_header_flatten", f"""
     SELECT page_id, {HOST} || ', a=1, ' || page_id AS cookie, 'text/html' AS content_type, CAST(2 AS INTEGER) AS names FROM pages
 """)

@@ -13,8 +13,8 @@ from pagewatch.operators.dedup import hash_items
 from pagewatch.operators.digest import digests, webhook_payloads
 from pagewatch.operators.extract import extract_pages, items_of
 from pagewatch.operators.filters import filtered
-from pagewatch.operators.frontier import seed_batch
-from pagewatch.operators.signals import diagnosis, funnel
+from pagewatch.operators.frontier import admitted, push_counts, seed_batch
+from pagewatch.operators.signals import diagnosis, funnel, page_outcomes
 from pagewatch.session import durable, small
 from pagewatch.sources.pages import guarded
 from pagewatch.sources.sinks import RecordStore, write_debug, write_outbox
@@ -33,8 +33,11 @@ class Hooks:
     as failed, ``override_extract``, ``after_extract`` and ``filter_item`` leave no items, ``before_store`` stores
     nothing and tells nobody, ``before_notify`` and ``before_webhook`` send nothing of their kind.
 
+    ``push`` is given the items that the extraction found and answers with a ``url`` column of pages to visit as well.
+    Those that are new to the batch become rows of the ``pushed`` outbox, each once; the others count as duplicates.
+
     A function that raises leaves its input as it was, except that a failing ``override_fetch`` is a failed attempt for
-    every page, and a failing ``override_extract`` yields no items. That is seen while the plan is built; an error in
+    every page, a failing ``override_extract`` yields no items, and a failing ``push`` pushes nothing. That is seen while the plan is built; an error in
     a hook's expressions comes up while rows are computed, and fails the batch.
     """
 
@@ -47,6 +50,7 @@ class Hooks:
     before_store: Stage | None = None
     before_notify: Stage | None = None
     before_webhook: Stage | None = None
+    push: Stage | None = None
     on_start: Callable[[SparkSession], DataFrame | None] | None = None
     on_success: Callable[[DataFrame], None] | None = None
     on_error: Callable[[Exception], None] | None = None
@@ -65,6 +69,11 @@ def applied(stage: Stage | None, rows: DataFrame) -> DataFrame | None:
         return rows
 
 
+def ended_as(counts: dict[str, int]) -> Column:
+    pairs = [part for name, n in sorted(counts.items()) for part in (F.lit(name), F.lit(n).cast("bigint"))]
+    return (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,bigint>")
+
+
 NO_ITEMS = "page_id bigint, item_ord int, fields map<string,string>, job_id string, matches array<string>"
 MEASURED = "array<struct<stage:string,status:string,duration_ms:double>>"
 
@@ -145,11 +154,25 @@ class Cycle:
         items = applied(self.hooks.before_store, items.limit(0) if given is None else given)
         return None if items is None else hash_items(items, self.spec)
 
+    def pushed(self, attempts: DataFrame, items: DataFrame, batch_id: int) -> tuple[int, int]:
+        """Urls that the ``push`` hook adds to the work, and its pushes of urls already known."""
+        try:
+            given = None if self.hooks.push is None else self.hooks.push(items)
+        except Exception:
+            log.exception("push failed; nothing is pushed")
+            given = None
+        if given is None:
+            return 0, 0
+        seen = durable(admitted(given, attempts))
+        write_outbox(seen.where("fresh").select("url"), self.store.folder, "pushed", batch_id)
+        return tuple(push_counts(seen).first())
+
     def run(self, pages: DataFrame, batch_id: int, ts_ns: Column | None = None) -> DataFrame | None:
         """Run one batch; returns its counts and diagnosis, or None when a hook failed and took the error.
 
         The counts are those of the items (``selector_matches``, ``kept``, ``new``, ``notified``), those of the attempts
-        (``processed``, ``failed``, ``pushed``, ``duplicates``), and the measured ``stages`` with ``total_ms``. Pages
+        (``processed``, ``failed``, ``pushed``, ``duplicates``, and in ``outcomes`` how many ended how, which together are the
+        processed ones), and the measured ``stages`` with ``total_ms``. Pages
         that failed, are too large or not UTF-8 are no items but rows of the ``rejected`` outbox.
         """
         try:
@@ -168,6 +191,7 @@ class Cycle:
 
     def _run(self, pages: DataFrame, batch_id: int, ts_ns: Column | None) -> DataFrame:
         spark, stages, began = pages.sparkSession, [], time.perf_counter()
+        pushes = (0, 0)
 
         def measured(stage: str, since: float) -> float:
             now = time.perf_counter()
@@ -180,10 +204,14 @@ class Cycle:
             counts = funnel(none if found is None else found.withColumn("job_id", job), *rows, ["job_id"])
             if found is None or not processed - failed:  # a batch without pages has a line as well
                 counts = spark.range(1).select(job.alias("job_id")).join(counts, "job_id", "left").fillna(0, ["selector_matches", "kept", "new", "notified"])
-            numbers = {"processed": processed, "failed": failed, "pushed": 0, "duplicates": 0}
+            numbers = {"processed": processed, "failed": failed, "pushed": pushes[0], "duplicates": pushes[1]}
+            ended = dict(attempts.where("error_kind IS NOT NULL").groupBy("error_kind").count().collect()) if failed else {}
+            if found is not None:  # one row per outcome, of which there are few
+                empty = spark.createDataFrame([], "page_id bigint")
+                ended |= dict(page_outcomes(found, *[empty if r is None else r for r in (kept, new)], []).collect())
             timed = F.array(*[F.struct(F.lit(a).alias("stage"), F.lit(b).alias("status"), F.lit(c).alias("duration_ms")) for a, b, c in stages])
             return counts.withColumns(
-                {**{name: F.lit(n).cast("bigint") for name, n in numbers.items()}, "diagnosis": diagnosis(), "stages": timed.cast(MEASURED), "total_ms": F.lit(1000 * (time.perf_counter() - began))}
+                {**{name: F.lit(n).cast("bigint") for name, n in numbers.items()}, "diagnosis": diagnosis(), "outcomes": ended_as(ended), "stages": timed.cast(MEASURED), "total_ms": F.lit(1000 * (time.perf_counter() - began))}
             )
 
         attempts = self.fetched(pages)
@@ -194,6 +222,7 @@ class Cycle:
         if failed:
             write_outbox(attempts.where(F.col("error_kind").isNotNull()).drop("html"), self.store.folder, "rejected", batch_id)
         found, items = self.extracted(attempts.where(F.col("error_kind").isNull()).drop("error_kind", "error"))
+        pushes = self.pushed(attempts, items, batch_id)
         since = measured("extract", since)
         kept = self.kept(items)
         if kept is None:

@@ -36,6 +36,33 @@ def test_only_new_items_are_stored(spark):
     assert titles(store) == [(0, "a", 0), (0, "b", 0), (0, "c", 1), (2, "d", 0)]
 
 
+def test_outcomes_and_pushes_are_counted(spark):
+    """One page answered with 200 and nine with 503, one whose fetch failed, one without items; pushes of each kind."""
+    rows = pages(spark, page("a", "b"), *["<p>busy</p>"] * 9, "", "<p>x</p>").withColumns({
+        "status": F.when(F.col("page_id").between(1, 9), 503).otherwise(200),
+        "error": F.when(F.col("page_id") == 10, "timed out"),
+    })
+    base = scratch(spark)
+
+    def push(items):
+        titles = F.element_at("fields", F.lit("t"))  # a and b
+        links = items.select(F.concat(F.lit("https://s.example.com/"), titles).alias("url"))
+        others = spark.createDataFrame([("https://s.example.com/a",), ("https://s.example.com/0",), (None,)], "url string")
+        return links.union(others)
+
+    counts = Cycle(SPEC, RecordStore(spark, base), Hooks(push=push)).run(rows, 0).first()
+    assert counts["outcomes"] == {"ok": 1, "http_error": 9, "fetch": 1, "selector_matched_nothing": 1}
+    assert sum(counts["outcomes"].values()) == counts["processed"] == 12 and counts["failed"] == 1
+    assert (counts["pushed"], counts["duplicates"]) == (2, 2)
+    assert sorted(r["url"] for r in spark.read.json(f"{base}/pushed/batch_id=0").collect()) == ["https://s.example.com/a", "https://s.example.com/b"]
+
+    def boom(items):
+        raise RuntimeError("boom")
+
+    counts = Cycle(SPEC, RecordStore(spark, scratch(spark)), Hooks(push=boom)).run(pages(spark, page("a")), 0).first()
+    assert (counts["pushed"], counts["duplicates"], counts["new"], counts["outcomes"]) == (0, 0, 1, {"ok": 1})
+
+
 def test_permuted_input_gives_the_same_hashes(spark):
     stores = [RecordStore(spark, scratch(spark)) for _ in range(2)]
     bodies = [page("a", "b"), page("b", "c"), page("c", "a")]
