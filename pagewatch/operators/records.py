@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pagewatch.functions.text import nanos_to_utc
-from pagewatch.operators.ordered import numbered
+from pagewatch.operators.ordered import GROUP_ROWS, numbered
+from pagewatch.session import small
 
 # Page size when none or a bad one is asked for, and the largest page size.
 PAGE_SIZE, MAX_PAGE_SIZE = 30, 1000
@@ -75,6 +76,37 @@ def page_envelope(
     )
 
 
+def paged(records: DataFrame, asked: str | int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """All records with the ``page`` of their job they stand on, from 1, newest first: what reading with cursors gives.
+
+    Records are numbered in one pass, a large job in pieces, so the plan does not grow with the pages."""
+    limit = page_size(asked)
+    if not limit:  # a page of no rows never ends
+        records, limit = records.limit(0), 1
+    order = ["ts_ns", "ord", "hash"]
+    totals = small(records.groupBy("job_id").agg(F.count(F.lit(1)).alias("_total")))
+    placed = numbered(records, ["job_id"], order, "_place", group_rows).join(totals, "job_id")
+    return placed.withColumn("page", F.floor((F.col("_total") - F.col("_place")) / limit) + 1).drop("_place", "_total")
+
+
+def page_index(records: DataFrame, asked: str | int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The pages of every job: (job_id, page, rows, after, after_ord, after_hash), the cursor being that which
+    ``keyset_page`` needs for the page; the first page has none. Any page can be read alone with it."""
+    pages = paged(records, asked, group_rows).groupBy("job_id", "page").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.struct("ts_ns", "ord", "hash")).alias("_last")
+    )
+    # There are as many rows here as pages. A page and the next meet as one group; a join would read everything twice.
+    here = F.struct("rows", F.lit(None).cast(dict(pages.dtypes)["_last"]).alias("last"))
+    after = F.struct(F.lit(None).cast("bigint").alias("rows"), F.col("_last").alias("last"))
+    both = pages.select("job_id", F.inline(F.array(
+        F.struct(F.col("page"), here.alias("part")), F.struct((F.col("page") + 1).alias("page"), after.alias("part"))
+    )))
+    met = both.groupBy("job_id", "page").agg(F.max("part.rows").alias("rows"), F.max("part.last").alias("_last"))
+    return met.where(F.col("rows").isNotNull()).select(
+        "job_id", "page", "rows", F.col("_last.ts_ns").alias("after"), F.col("_last.ord").alias("after_ord"), F.col("_last.hash").alias("after_hash")
+    )
+
+
 def merged(records: DataFrame, limit: int | None) -> DataFrame:
     """The newest records of all jobs in one list, newest first."""
     return newest(records, limit).orderBy(F.desc("ts_ns"), F.desc("ord"))

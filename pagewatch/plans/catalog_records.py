@@ -262,6 +262,16 @@ def page_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return signals.page_outcomes(*[rows.withColumn("host", host) for rows in funnel_parts(spark, folder)], ["host"])
 
 
+@query("l02_page_index", f"""
+    WITH placed AS (SELECT job_id, ts_ns, ord, row_number() OVER (PARTITION BY job_id ORDER BY ts_ns DESC, ord DESC) AS place FROM ({RECORDS_SQL})),
+    pages AS (SELECT job_id, (place - 1) // 20 + 1 AS page, count(*) AS rows FROM placed GROUP BY ALL)
+    SELECT p.job_id, page, rows, ts_ns AS after, ord AS after_ord
+    FROM pages p LEFT JOIN placed q ON q.job_id = p.job_id AND q.place = (page - 1) * 20
+""")
+def page_index(spark: SparkSession, folder: str) -> DataFrame:
+    return records.page_index(document_records(spark, folder), 20).drop("after_hash")
+
+
 @query("a05_header_flatten", f"""
     SELECT page_id, {HOST} || ', a=1, ' || page_id AS cookie, 'text/html' AS content_type, CAST(2 AS INTEGER) AS names FROM pages
 """)

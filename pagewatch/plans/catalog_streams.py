@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagewatch.functions import text
 from pagewatch.operators import filters, signals
 from pagewatch.operators.extract import extract_items
-from pagewatch.operators.records import keyset_page, page_envelope
+from pagewatch.operators.records import paged
 from pagewatch.plans import sql
 from pagewatch.plans.catalog_pages import HAY, NAV
 from pagewatch.plans.catalog_signals import BREAKER_SQL, PRICE_ALERTS_SQL, PRICE_ORDER, RULES, breaker_input, priced_lines
@@ -214,15 +214,10 @@ def outbox_stages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("l02_page_to_the_end", f"WITH {KEPT} SELECT page_id, item_ord, text FROM first")
 def page_to_the_end(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of a run, which share one time, read page by page with the cursor of each page."""
+    """All records of a run, which share one time, page by page; the pages are numbered in one pass."""
     cycle = Cycle(TEXT_ONLY, RecordStore(spark, scratch(spark)))
     cycle.run(scan_pages(spark, folder), 1)
-    rows, cursor, pages, more = cycle.store.records(), (None, None, None), [], True
-    while more:
-        pages.append(keyset_page(rows, TEXT_ONLY.job_id, 100, *cursor))
-        end = page_envelope(rows, TEXT_ONLY.job_id, 100, *cursor).first()
-        more, cursor = end["has_more"], (end["next_after"], end["next_after_ord"], end["next_after_hash"])
-    return stored(reduce(DataFrame.unionByName, pages))
+    return stored(paged(cycle.store.records(), 100))
 
 
 STAGE_HOOKS = "before_fetch override_fetch after_fetch override_extract after_extract filter_item before_store before_notify before_webhook".split()

@@ -65,6 +65,26 @@ def test_cursor_goes_on_among_equal_times_and_places(spark):
     assert not records.page_envelope(rows, "c", 0).first()["has_more"]
 
 
+@pytest.mark.parametrize("group_rows", [1_000_000, 7])
+def test_page_index_equals_reading_with_cursors(spark, group_rows):
+    """Jobs of several sizes with equal times and places; every page read alone is the page that the cursors lead to."""
+    rows = spark.createDataFrame(
+        [(job, {}, 5 + i // 11, 0, i % 3, f"h{i * 7 % 41:02}", []) for job, n in (("a", 41), ("b", 12), ("c", 1)) for i in range(n)],
+        "job_id string, fields map<string,string>, ts_ns bigint, page_id bigint, ord bigint, hash string, match_key array<string>",
+    )
+    index = {(r["job_id"], r["page"]): r for r in records.page_index(rows, 6, group_rows).collect()}
+    shown = {}
+    for r in records.paged(rows, 6, group_rows).collect():
+        shown.setdefault((r["job_id"], r["page"]), set()).add(r["hash"])
+    assert {k: len(v) for k, v in shown.items()} == {k: r["rows"] for k, r in index.items()}
+    assert {job: max(p for j, p in index if j == job) for job in "abc"} == {"a": 7, "b": 2, "c": 1}
+    for (job, page), r in index.items():
+        if job != "a" or page in (1, 2, 7):
+            alone = records.keyset_page(rows, job, 6, r["after"], r["after_ord"], r["after_hash"]).collect()
+            assert {x["hash"] for x in alone} == shown[job, page]
+    assert records.page_index(rows, 0).collect() == [] and records.page_index(rows.limit(0), 6).collect() == []
+
+
 def test_csv_gives_every_text_back(spark):
     texts = [" pad ", "", None, 'a"b,c', "line\nbreak\r\nx", "back\\slash\\", '"', '\\"', "\t", "x\ry", "#c", '""']
     rows = list(enumerate(texts))
