@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from pagewatch.functions.text import ascii_lower, bound
+from pagewatch.functions.text import ascii_lower, bound, strip
 
 
 def lowered(keywords: Sequence[str] | None) -> list[str]:
@@ -49,6 +49,23 @@ def keyword_matches(
     return bound(fold(text), lambda hay: F.filter(F.array(*[F.lit(w) for w in words]), lambda word: F.contains(hay, word)))
 
 
+def lowered_words(keywords: Column) -> Column:
+    """``lowered`` for a column of keyword lists; a missing list is empty."""
+    words = F.transform(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: ascii_lower(strip(k)))
+    return F.filter(words, lambda w: w != "")
+
+
+def keyword_matches_by(fields: Column, words: Column, names: Column, searched: Column) -> Column:
+    """``keyword_matches`` where every row brings its own ``lowered_words``, declared field names and searched fields."""
+    declared = F.array_distinct(names)
+    added = F.array_sort(F.array_except(F.map_keys(fields), declared))
+    places = F.when(searched.isNull(), F.concat(declared, added)).otherwise(searched)
+    text = F.concat_ws(" ", F.transform(places, lambda name: F.element_at(fields, name)))
+    plain = ~F.exists(words, lambda w: F.rlike(w, F.lit("[^\\x00-\\x7f]")))
+    hay = F.when(F.size(words) == 0, "").when(plain, _folded_for_ascii(text)).otherwise(ascii_lower(text))
+    return bound(hay, lambda hay: F.filter(words, lambda word: F.contains(hay, word)))
+
+
 def keeps(keywords: Sequence[str] | None, matches: Column) -> Column:
     """No keywords keep everything; otherwise at least one must match."""
     return F.size(matches) > 0 if keywords else F.lit(True)

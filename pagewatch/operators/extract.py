@@ -227,6 +227,28 @@ def extract_many(
     return matched.where(keep | (F.size("matches") > 0)).drop(body)
 
 
+def extract_layouts(pages: DataFrame, specs: Sequence[JobSpec], layouts: str, body: str = "html") -> DataFrame:
+    """One row per page and layout that it is read by: ``layout`` (the place in ``specs``), ``items`` and ``selector_matches``.
+
+    The array column ``layouts`` of a page tells which; a page is parsed once for all. Links are resolved against the page.
+    """
+    plans = [Plan(spec) for spec in specs]
+    asked = [F.array_contains(layouts, F.lit(k)) for k in range(len(specs))]
+    read = _read(pages, plans, asked, body)
+    rows = [
+        F.struct(F.lit(k).alias("layout"), F.when(asked[k], _page_items(k, plans, "page", body, False)).alias("items"))
+        for k in range(len(specs))
+    ]
+    kept = [c for c in pages.columns if c not in (body, layouts)]
+    found = read.select(*kept, F.inline_outer(F.array(*rows))).where(F.col("items").isNotNull())
+    return found.withColumn("selector_matches", F.size("items"))
+
+
+def exploded(extracted: DataFrame) -> DataFrame:
+    """One row per item of ``items``, with its place ``item_ord``."""
+    return _exploded(extracted)
+
+
 def _exploded(extracted: DataFrame) -> DataFrame:
     # The outer form keeps Spark from placing a size(items) filter below the parse, which would run it twice.
     rows = extracted.select(

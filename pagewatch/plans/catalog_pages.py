@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.functions import text, urls
 from pagewatch.operators import extract, frontier, selectors
+from pagewatch.operators.jobs import extract_jobs
 from pagewatch.plans import sql
 from pagewatch.plans.registry import query
 from pagewatch.sources.pages import guarded, scan, scan_pages
@@ -226,6 +227,59 @@ def jobs_over_own_pages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("job_id", "page_id", "item_ord", F.col("fields")["text"].alias("text"))
 
 
+# Two jobs per host of the pages, and one for each scheme that wants all its pages; the jobs of some hosts are switched off.
+HOST_OF = "regexp_extract(url, '://([^/]*)', 1)"
+JOBS_SQL = f"""
+    hosts AS (SELECT {HOST_OF} AS host, list(url) AS urls FROM pages GROUP BY 1),
+    schemes AS (SELECT 'all ' || regexp_extract(url, '^[a-z]*', 0) AS host, list(url) AS urls FROM pages GROUP BY 1),
+    jobs AS (
+        SELECT 'Links ' || host AS name, 'links' AS layout, urls, CASE length(host) % 3 WHEN 0 THEN ['The', ' les '] WHEN 1 THEN ['und'] END AS words
+        FROM hosts WHERE length(host) % 7 <> 0
+        UNION ALL SELECT 'Head ' || host, 'head', urls, NULL FROM hosts
+        UNION ALL SELECT 'Links ' || host, 'links', urls, ['und'] FROM schemes),
+    routed AS (
+        SELECT regexp_replace(lower(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]', '_', 'g')), '^_+|_+$', '', 'g') AS job_id, layout, words, p.*
+        FROM (SELECT name, layout, words, unnest(list_distinct(urls)) AS url FROM jobs) JOIN pages p USING (url)),
+    found AS (
+        SELECT job_id, words, r.page_id, i.item_ord, {sql.clean('txt')} AS text, {sql.ORIGIN.replace('url', 'r.url')} || {sql.clean('href')} AS link
+        FROM routed r JOIN ({sql.LIST_ITEMS}) i ON i.page_id = r.page_id WHERE layout = 'links'
+        UNION ALL SELECT job_id, NULL, page_id, 0, {sql.clean("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")}, '' FROM routed WHERE layout = 'head'),
+    kept AS (
+        SELECT * FROM found WHERE words IS NULL
+            OR len(list_filter(words, lambda w: contains({sql.ascii_lower('text')}, {sql.ascii_lower('trim(w)')}))) > 0)
+"""
+
+
+def host_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    """The specification table of these jobs."""
+    pages = scan(spark, folder, "pages").select("url", F.regexp_extract("url", "://([^/]*)", 1).alias("host"), F.regexp_extract("url", "^[a-z]*", 0).alias("scheme"))
+    hosts = pages.groupBy("host").agg(F.collect_list("url").alias("urls"))
+    schemes = pages.groupBy(F.concat(F.lit("all "), "scheme").alias("host")).agg(F.collect_list("url").alias("urls"))
+    no_words, rest = F.lit(None).cast("array<string>"), F.length("host") % 3
+    words = F.when(rest == 0, F.array(F.lit("The"), F.lit(" les "))).when(rest == 1, F.array(F.lit("und"))).otherwise(no_words)
+
+    def jobs(rows: DataFrame, kind: str, selector: str, fields: list[FieldSpec], words, enabled) -> DataFrame:
+        read = F.array(*[F.struct(F.lit(f.name).alias("name"), F.lit(f.selector).alias("selector"), F.lit(f.attr).alias("attr")) for f in fields])
+        return rows.select(
+            F.concat(F.lit(kind), "host").alias("name"), F.lit("https://monitor.example.com").alias("url"), F.lit(selector).alias("selector"), read.alias("fields"),
+            words.alias("keywords"), F.array(F.lit("text")).alias("search_fields"), F.array(F.lit("text")).alias("hash_fields"), "urls", enabled.alias("enabled"),
+            F.lit(None).cast("struct<enabled:boolean,url:string,headers:map<string,string>>").alias("webhook"),
+        )
+
+    links = [FieldSpec("text", "a"), FieldSpec("link", "a", "href")]
+    listed = jobs(hosts, "Links ", "nav li", links, words, F.length("host") % 7 != 0)
+    heads = jobs(hosts, "Head ", "article", [FieldSpec("text", "h1")], no_words, F.lit(True))
+    return listed.union(heads).union(jobs(schemes, "Links ", "nav li", links, F.array(F.lit("und")), F.lit(True)))
+
+
+@query("j03_many_jobs_one_parse", f"WITH {JOBS_SQL} SELECT job_id, page_id, CAST(item_ord AS INTEGER) AS item_ord, text, link FROM kept")
+def many_jobs_one_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """All jobs of a specification table over one reading of the pages."""
+    rows = extract_jobs(scan_pages(spark, folder), host_jobs(spark, folder))
+    text, link = [F.coalesce(F.element_at("fields", F.lit(name)), F.lit("")).alias(name) for name in ("text", "link")]
+    return rows.select("job_id", "page_id", "item_ord", text, link)
+
+
 @query("x11_whitespace", f"""
     SELECT doc_id, sha256({sql.squeeze("'  ' || replace(text, ' ', chr(160) || chr(9)) || chr(10)")}) AS digest FROM documents
 """)

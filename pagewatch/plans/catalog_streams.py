@@ -12,9 +12,10 @@ from pagewatch.operators import filters, signals
 from pagewatch.operators.extract import extract_items
 from pagewatch.operators.records import paged
 from pagewatch.plans import sql
-from pagewatch.plans.catalog_pages import HAY, NAV
+from pagewatch.plans.catalog_pages import HAY, JOBS_SQL, NAV, host_jobs
 from pagewatch.plans.catalog_signals import BREAKER_SQL, PRICE_ALERTS_SQL, PRICE_ORDER, RULES, breaker_input, priced_lines
 from pagewatch.plans.cycle import Cycle, Hooks
+from pagewatch.plans.many_jobs import ManyJobs
 from pagewatch.plans.registry import query
 from pagewatch.session import scratch
 from pagewatch.sources.pages import scan, scan_pages
@@ -104,6 +105,25 @@ def heartbeat_stream(spark: SparkSession, folder: str) -> DataFrame:
     return state.outcomes(spark).where("beat").groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("due"))
 
 
+@query("t01_many_jobs_batches", f"""
+    WITH {JOBS_SQL}, batches AS (SELECT *, page_id % 2 AS batch_id FROM kept),
+    new AS (SELECT * FROM batches QUALIFY row_number() OVER (PARTITION BY text ORDER BY batch_id, page_id, item_ord, job_id) = 1),
+    per_job AS (SELECT job_id, page_id % 2 AS batch_id, count(*) AS pages FROM routed GROUP BY ALL)
+    SELECT j.job_id, b.batch_id, coalesce(p.pages, 0) AS pages, CAST(0 AS BIGINT) AS failed,
+           (SELECT count(*) FROM found f WHERE f.job_id = j.job_id AND f.page_id % 2 = b.batch_id) AS selector_matches,
+           (SELECT count(*) FROM batches k WHERE k.job_id = j.job_id AND k.batch_id = b.batch_id) AS kept,
+           (SELECT count(*) FROM new n WHERE n.job_id = j.job_id AND n.batch_id = b.batch_id) AS new
+    FROM (SELECT DISTINCT job_id FROM routed) j, (VALUES (0), (1)) AS b(batch_id)
+    LEFT JOIN per_job p ON p.job_id = j.job_id AND p.batch_id = b.batch_id
+""")
+def many_jobs_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """All jobs of a specification table over two batches of pages, with one dedup over all of them."""
+    many = ManyJobs(host_jobs(spark, folder), RecordStore(spark, scratch(spark)))
+    pages = scan_pages(spark, folder)
+    runs = [many.run(pages.where(F.pmod("page_id", F.lit(2)) == n), n, F.lit(n)).withColumn("batch_id", F.lit(n)) for n in (0, 1)]
+    return runs[0].unionByName(runs[1]).drop("diagnosis")
+
+
 @query("d02_two_runs_nothing_new", f"WITH {KEPT} SELECT 0 AS run, count(*) AS new FROM first UNION ALL SELECT 1, 0")
 def two_runs_nothing_new(spark: SparkSession, folder: str) -> DataFrame:
     """D2 and S8 over the cycle: the same pages again bring nothing new."""

@@ -58,7 +58,7 @@ class RecordStore:
         """
         keys = ["hash"] if scope == "global" else ["job_id", "hash"]
         seen = seen_among(seen_of(self.records(batch_id), scope), items, keys)
-        new = new_items(items, seen, ["page_id", "item_ord"], scope)
+        new = new_items(items, seen, ["page_id", "item_ord", "job_id"], scope)
         target = f"{self.folder}/records/batch_id={batch_id}"
         # Rebalancing puts a job's records together but splits a job that is too large for one task.
         records = as_records(new, ts_ns, extra=["page_id"]).hint("rebalance", "job_id")
