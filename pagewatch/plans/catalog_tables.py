@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pagewatch.operators import quality, tables
 from pagewatch.plans.registry import query
 from pagewatch.plans.samples import TARGETS_SQL, targets
+from pagewatch.session import scratch
 from pagewatch.sources.pages import scan
+from pagewatch.sources.stored import StoredTable
 
 STAR = ("customer", "orders", "lineitem")
 
@@ -69,6 +71,51 @@ def update_and_delete(spark: SparkSession, folder: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+# The same five changes of one stored table, as tables of rows after each.
+CHANGES_SQL = f"""
+    base AS (SELECT id, interval_sec, segment FROM ({TARGETS_SQL})),
+    added AS (SELECT * FROM base UNION ALL SELECT 's' || s_suppkey, 60, NULL FROM supplier),
+    latest AS (SELECT CAST(o_custkey AS VARCHAR) AS id, max(o_orderkey) AS last FROM orders GROUP BY o_custkey),
+    upserted AS (SELECT coalesce(a.id, l.id) AS id, coalesce(l.last, a.interval_sec) AS interval_sec, a.segment FROM added a FULL JOIN latest l ON l.id = a.id),
+    updated AS (SELECT id, CASE WHEN segment = 'BUILDING' THEN interval_sec * 2 ELSE interval_sec END AS interval_sec, segment FROM upserted),
+    remaining AS (SELECT * FROM updated WHERE interval_sec % 3 <> 0)
+"""
+
+
+def changed_targets(spark: SparkSession, folder: str) -> StoredTable:
+    """Targets in a stored table, after an insert, an insert or ignore, an upsert, an update and a delete."""
+    table = StoredTable(spark, scratch(spark), "id string, interval_sec bigint, segment string", ["id"])
+    base = targets(spark, folder).select("id", "interval_sec", "segment")
+    table.insert(base)
+    suppliers = scan(spark, folder, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.lit(60).cast("bigint").alias("interval_sec"))
+    table.insert_or_ignore(tables.insert(suppliers, base.select("id", F.lit(1).cast("bigint").alias("interval_sec"))), ["interval_sec"])
+    key = F.col("o_orderkey")
+    table.upsert(scan(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("id"), key.alias("interval_sec"), key.alias("at")), "at")
+    table.update(F.col("segment") == "BUILDING", {"interval_sec": F.col("interval_sec") * 2})
+    table.delete(F.col("interval_sec") % 3 == 0)
+    return table
+
+
+@query("q02_stored_changes", f"""
+    WITH {CHANGES_SQL}
+    SELECT 0 AS version, 'insert' AS action, (SELECT count(*) FROM base) AS affected
+    UNION ALL SELECT 1, 'insert or ignore', (SELECT count(*) FROM supplier)
+    UNION ALL SELECT 2, 'upsert', (SELECT count(*) FROM orders)
+    UNION ALL SELECT 3, 'update', (SELECT count(*) FROM upserted WHERE segment = 'BUILDING')
+    UNION ALL SELECT 4, 'delete', (SELECT count(*) FROM updated WHERE interval_sec % 3 = 0)
+""")
+def stored_changes(spark: SparkSession, folder: str) -> DataFrame:
+    return changed_targets(spark, folder).history().select("version", "action", "affected")
+
+
+@query("q04_stored_rows", f"WITH {CHANGES_SQL} SELECT 'last' AS which, * FROM remaining UNION ALL SELECT 'before', * FROM updated")
+def stored_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored table after all changes, and as it was before the last."""
+    table = changed_targets(spark, folder)
+    last, before = [rows.select(F.lit(name).alias("which"), "*") for name, rows in (("last", table.rows()), ("before", table.rows(3)))]
+    return last.unionByName(before)
+
+
 @query("q05_task_status_rollup", """
     SELECT CASE o_orderstatus WHEN 'F' THEN CASE WHEN o_totalprice < 250000 THEN 'completed' ELSE 'failed' END WHEN 'O' THEN 'processing' ELSE 'pending' END AS status,
            o_orderpriority AS queue, count(*) AS tasks FROM orders GROUP BY ALL
