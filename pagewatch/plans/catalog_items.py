@@ -256,13 +256,13 @@ def target_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("j03_job_page_routing", """
-    WITH jobs AS (SELECT host AS job, list(url) AS urls FROM (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, url FROM pages WHERE contains(url, '?')) GROUP BY host),
+    WITH jobs AS (SELECT host AS job, list(url) AS urls FROM (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, url FROM pages) GROUP BY host),
     wanted AS (SELECT job, unnest(urls) AS url FROM jobs)
     SELECT w.job, p.page_id FROM wanted w JOIN pages p ON p.url = w.url
 """)
 def job_page_routing(spark: SparkSession, folder: str) -> DataFrame:
     pages = scan(spark, folder, "pages").select("page_id", "url")
-    listed = pages.where(F.contains("url", F.lit("?"))).select(F.regexp_extract("url", "://([^/]*)", 1).alias("job"), F.array("url").alias("urls"))
+    listed = pages.select(F.regexp_extract("url", "://([^/]*)", 1).alias("job"), F.array("url").alias("urls"))
     return frontier.route(listed, pages, "job").select("job", "page_id")
 
 
@@ -286,11 +286,14 @@ def visited_anti_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("s02_crawl_log", f"""
-    SELECT attempt_id, error IS NULL AND status BETWEEN 200 AND 299 AS ok, error IS NULL AS answered, status, error FROM ({ATTEMPTS_SQL})
+    SELECT attempt_id, error IS NULL AND status BETWEEN 200 AND 299 AS ok, error IS NULL AS answered, status, error,
+           CASE WHEN error IS NOT NULL THEN error WHEN status NOT BETWEEN 200 AND 299 THEN 'http status: ' || status END AS failure,
+           CASE WHEN error IS NULL AND status NOT BETWEEN 200 AND 299 THEN 'http' END AS answer_kind FROM ({ATTEMPTS_SQL})
 """)
 def crawl_log(spark: SparkSession, folder: str) -> DataFrame:
     log = attempts(event_attempts(spark, folder))
-    return log.select("attempt_id", "ok", F.col("response").isNotNull().alias("answered"), F.col("response.status").alias("status"), "error")
+    return log.select("attempt_id", "ok", F.col("response").isNotNull().alias("answered"), F.col("response.status").alias("status"), "error",
+                      F.col("failure.message").alias("failure"), F.when(F.col("response").isNotNull(), F.col("failure.kind")).alias("answer_kind"))
 
 
 @query("c13_price_parse", f"""

@@ -146,14 +146,17 @@ RUNS = f"""
 """
 
 
-@query("n01_default_digest", f"""
+DIGEST_SQL = f"""
     WITH {RUNS}
     SELECT CAST(conv_id AS VARCHAR) AS job_id, 'Talk ' || conv_id AS job_name, max(n) AS item_count,
            CASE WHEN max(n) = 1 THEN 'New match from Talk ' || conv_id ELSE max(n) || ' new matches from Talk ' || conv_id END AS title,
            string_agg({DEFAULT_ITEM}, chr(10) || '---' || chr(10) ORDER BY turn) FILTER (WHERE place <= 3)
              || CASE WHEN max(n) > 3 THEN chr(10) || '---' || chr(10) || '+ ' || (max(n) - 3) || ' more' ELSE '' END AS body
     FROM turns GROUP BY conv_id
-""")
+"""
+
+
+@query("n01_default_digest", DIGEST_SQL)
 def default_digest(spark: SparkSession, folder: str) -> DataFrame:
     return digest.digests(turn_items(spark, folder), ["turn"], ["role", "text", "role", "empty_field", "absent"])
 
@@ -329,12 +332,13 @@ def csv_read(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.md5("text").alias("text_md5"), "source", "lang", "n_chars")
 
 
-@query("s06_binary_read", "SELECT CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes FROM customer")
+@query("s06_binary_read", "SELECT c_custkey || '|' || c_name || '|' || c_nationkey || '|' || c_mktsegment AS line FROM customer")
 def binary_read(spark: SparkSession, folder: str) -> DataFrame:
     base = scratch(spark)
-    files.write_file(scan(spark, folder, "customer").select("c_name"), f"{base}/names.txt", "overwrite")
+    files.write_file(scan(spark, folder, "customer").select(F.concat_ws("|", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")), f"{base}/names.txt", "overwrite")
     parts = files.read_binary(spark, f"{base}/names.txt", ["txt"])
-    return parts.agg(F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+    # Every line ends with a line feed, so what comes after the last one is empty.
+    return parts.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
 
 
 @query("s07_append_and_overwrite", """
@@ -377,23 +381,23 @@ def webhook_outbox(spark: SparkSession, folder: str) -> DataFrame:
     return sent.select("job_id", "item_count", F.size(F.from_json("payload", "items array<struct<role:string>>")["items"]).cast("bigint").alias("items"))
 
 
-@query("s10_notification_outbox", """
-    SELECT CAST(conv_id AS VARCHAR) AS job_id, 'Talk ' || conv_id AS job_name, CASE WHEN count(*) = 1 THEN 'New match from Talk ' || conv_id ELSE count(*) || ' new matches from Talk ' || conv_id END AS title
-    FROM conversations GROUP BY conv_id
-""")
+@query("s10_notification_outbox", f"SELECT job_id, job_name, title, body FROM ({DIGEST_SQL})")
 def notification_outbox(spark: SparkSession, folder: str) -> DataFrame:
     base = scratch(spark)
     write_outbox(digest.digests(turn_items(spark, folder), ["turn"], ["role", "text"]), base, "notifications", 1)
-    return spark.read.schema("job_id string, job_name string, title string").json(f"{base}/notifications/batch_id=1")
+    return spark.read.schema("job_id string, job_name string, title string, body string").json(f"{base}/notifications/batch_id=1")
 
 
 @query("s11_debug_artefacts", f"""
-    SELECT page_id, item_ord, '<li><a href="' || href || '">' || txt || '</a></li>' AS parent_html FROM ({sql.LIST_ITEMS})
+    SELECT i.page_id, item_ord, '<li><a href="' || href || '">' || txt || '</a></li>' AS parent_html, md5(html) AS page_md5
+    FROM ({sql.LIST_ITEMS}) i JOIN pages p ON p.page_id = i.page_id
 """)
 def debug_artefacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Items with their provenance and the whole bodies of their pages, written and read back."""
     base = scratch(spark)
     spec = JobSpec("Debug", "https://monitor.example.com", "nav li", ["text:a", "link:a@href"], debug=True)
-    write_debug(extract_items(scan_pages(spark, folder), spec), base, 1)
-    return spark.read.schema("page_id bigint, item_ord int, parent_html string").json(f"{base}/debug/batch_id=1").select(
-        "page_id", "item_ord", "parent_html"
-    )
+    pages = scan_pages(spark, folder)
+    write_debug(extract_items(pages, spec), base, 1, pages.select("page_id", "url", "html"))
+    items = spark.read.schema("page_id bigint, item_ord int, parent_html string").json(f"{base}/debug/batch_id=1")
+    bodies = spark.read.schema("page_id bigint, html string").parquet(f"{base}/debug_pages/batch_id=1")
+    return items.join(bodies.select("page_id", F.md5("html").alias("page_md5")), "page_id").select("page_id", "item_ord", "parent_html", "page_md5")

@@ -104,7 +104,7 @@ def circuit_breaker(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("attempt_id", "action", "alerts", F.col("fail_count").cast("bigint").alias("fail_count"))
 
 
-@query("t05_heartbeats", """
+HEARTBEATS_SQL = """
     WITH RECURSIVE a AS (
         SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS time, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     walk AS (
@@ -113,7 +113,10 @@ def circuit_breaker(spark: SparkSession, folder: str) -> DataFrame:
         SELECT a.user_id, a.n, a.event_id, CASE WHEN a.time - w.last >= 86400 THEN a.time ELSE w.last END, a.time - w.last >= 86400
         FROM walk w JOIN a ON a.user_id = w.user_id AND a.n = w.n + 1)
     SELECT event_id, user_id FROM walk WHERE beat
-""")
+"""
+
+
+@query("t05_heartbeats", HEARTBEATS_SQL)
 def heartbeats(spark: SparkSession, folder: str) -> DataFrame:
     ticks = scan(spark, folder, "events").select("event_id", "user_id", text.wall_seconds(F.col("ts")).alias("time"))
     return signals.heartbeats(ticks, "user_id", ["time", "event_id"], "time").where("beat").select("event_id", "user_id")

@@ -13,7 +13,7 @@ from pagewatch.operators.extract import extract_items
 from pagewatch.operators.records import paged
 from pagewatch.plans import sql
 from pagewatch.plans.catalog_pages import HAY, JOBS_SQL, NAV, host_jobs
-from pagewatch.plans.catalog_signals import BREAKER_SQL, PRICE_ALERTS_SQL, PRICE_ORDER, RULES, breaker_input, priced_lines
+from pagewatch.plans.catalog_signals import BREAKER_SQL, HEARTBEATS_SQL, PRICE_ALERTS_SQL, PRICE_ORDER, RULES, breaker_input, priced_lines
 from pagewatch.plans.cycle import Cycle, Hooks
 from pagewatch.plans.many_jobs import ManyJobs
 from pagewatch.plans.registry import query
@@ -92,17 +92,17 @@ def minimum_stream(spark: SparkSession, folder: str) -> DataFrame:
     return state.outcomes(spark).select("l_partkey", "l_orderkey", "l_linenumber", "price", "prior_min", "alert")
 
 
-@query("t05_heartbeat_stream", "SELECT user_id, 1 AS due FROM events GROUP BY user_id")
+@query("t05_heartbeat_stream", HEARTBEATS_SQL)
 def heartbeat_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Every user is alive: the first tick of each is a beat, also when it comes in a later batch."""
+    """One beat a day for every user, whichever batch its ticks come in."""
     base = scratch(spark)
     rows = scan(spark, folder, "events").select("event_id", "user_id", text.wall_seconds(F.col("ts")).alias("time"))
     middle = rows.agg(F.avg("time")).first()[0]
     stream = in_time_slices(rows, F.when(F.col("time") <= middle, 0).otherwise(1), base, 2)
     state = keyed.KeyedTables(base, "user_id bigint, last_beat double")
-    step = keyed.heartbeat_step("user_id", ["time", "event_id"], "time", 400 * signals.DAY)
+    step = keyed.heartbeat_step("user_id", ["time", "event_id"], "time", signals.DAY)
     keyed.keyed_stream(stream, state, step, f"{base}/progress").awaitTermination()
-    return state.outcomes(spark).where("beat").groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("due"))
+    return state.outcomes(spark).where("beat").select("event_id", "user_id")
 
 
 @query("t01_many_jobs_batches", f"""

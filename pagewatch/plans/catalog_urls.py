@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagewatch.functions import text
 from pagewatch.operators import filters, frontier
-from pagewatch.operators.extract import page_titles
+from pagewatch.operators.extract import page_links, page_titles
 from pagewatch.operators.ordered import numbered
 from pagewatch.operators.quality import union_specs
 from pagewatch.plans import sql
 from pagewatch.plans.registry import query
 from pagewatch.plans.samples import ATTEMPTS_SQL, TARGETS_SQL, event_attempts, string_map, targets
 from pagewatch.sources import files
-from pagewatch.sources.pages import scan
+from pagewatch.sources.pages import scan, scan_pages
 
 
 def page_graph(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +62,21 @@ def frontier_stats(spark: SparkSession, folder: str) -> DataFrame:
     return counts
 
 
+@query("g01_parsed_links", f"""
+    WITH RECURSIVE links AS (SELECT url AS src, {sql.ORIGIN} || {sql.clean('href')} AS dst FROM ({sql.LIST_ITEMS})),
+    reach AS (
+        SELECT DISTINCT url, 0 AS wave FROM pages
+        UNION
+        SELECT l.dst, r.wave + 1 FROM reach r JOIN links l ON l.src = r.url WHERE r.wave < 40)
+    SELECT url, CAST(min(wave) AS INTEGER) AS wave FROM reach GROUP BY url
+""")
+def parsed_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The frontier over the links of the parsed pages, from the pages themselves."""
+    pages = scan_pages(spark, folder)
+    visited, _ = frontier.expand(pages.select("url"), page_links(pages, "a"))
+    return visited.select("url", F.col("wave").cast("int").alias("wave"))
+
+
 @query("g02_dynamic_batch", f"""
     SELECT 'computed' AS how, url FROM ({TARGETS_SQL}) WHERE 2100 - last_check >= interval_sec
     UNION ALL SELECT 'seed kept', 'https://t.example.com/' || c_custkey FROM customer
@@ -223,10 +238,10 @@ def spec_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("u02_seed_and_pushed", """
-    WITH w AS (SELECT o_custkey AS url, 'seed' AS how FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT c_custkey, 'pushed' FROM customer WHERE c_nationkey < 3)
+    WITH w AS (SELECT o_custkey AS url, 'seed' AS how FROM orders UNION ALL SELECT c_custkey, 'pushed' FROM customer)
     SELECT (SELECT count(*) FROM w) AS work, (SELECT count(DISTINCT url) FROM w) AS visited
 """)
 def seed_and_pushed(spark: SparkSession, folder: str) -> DataFrame:
-    seeds = scan(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("url"))
-    pushed = scan(spark, folder, "customer").where("c_nationkey < 3").select(F.col("c_custkey").alias("url"))
+    seeds = scan(spark, folder, "orders").select(F.col("o_custkey").alias("url"))
+    pushed = scan(spark, folder, "customer").select(F.col("c_custkey").alias("url"))
     return seeds.union(pushed).agg(F.count(F.lit(1)).alias("work"), F.count_distinct("url").alias("visited"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pagewatch.functions.text import failure_kind
+
 # Fixed value: the largest page body that is accepted, in bytes.
 BODY_LIMIT = 10 * 1024 * 1024
 
@@ -24,13 +26,15 @@ def is_success(status: Column) -> Column:
 
 
 def attempts(log: DataFrame) -> DataFrame:
-    """Fetch attempts in one shape: a response or an error text, never both, and an ``ok`` flag."""
+    """Fetch attempts in one shape: a response or an error text, never both, an ``ok`` flag, and for those that are not ok a
+    ``failure`` with message and kind, which is ``http`` where an answer has another status than 200 to 299."""
     answered = F.col("error").isNull()
     response = F.struct(*[c for c in ("url", "status", "headers", "body", "proxy", "time_ms", "size") if c in log.columns])
-    return log.withColumns({
-        "response": F.when(answered, response),
-        "ok": F.coalesce(answered & is_success(F.col("status")), F.lit(False)),
-    })
+    ok = F.coalesce(answered & is_success(F.col("status")), F.lit(False))
+    told = F.struct(F.col("error").alias("message"), failure_kind(F.col("error")).alias("kind"))
+    status = F.coalesce(F.col("status").cast("string"), F.lit("none"))
+    refused = F.struct(F.concat(F.lit("http status: "), status).alias("message"), F.lit("http").alias("kind"))
+    return log.withColumns({"response": F.when(answered, response), "ok": ok, "failure": F.when(~answered, told).when(~ok, refused)})
 
 
 def guarded(pages: DataFrame, body: str = "html", limit: int = BODY_LIMIT) -> DataFrame:

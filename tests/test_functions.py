@@ -117,3 +117,14 @@ def test_long_texts_with_many_entities(spark, count):
     body = "&#65;b" * count
     got = spark.createDataFrame([(body,)], "t string").select(text.decode_entities(F.col("t"))).first()[0]
     assert got == "Ab" * count
+
+
+def test_answers_that_are_no_success_fail_as_http(spark):
+    from pagewatch.sources.pages import attempts
+
+    log = spark.createDataFrame(
+        [(1, "u", 200, None), (2, "u", 503, None), (3, "u", None, "DNS lookup failed"), (4, "u", None, None)], "id int, url string, status int, error string"
+    )
+    told = {r["id"]: r["failure"] for r in attempts(log).collect()}
+    assert told[1] is None and tuple(told[2]) == ("http status: 503", "http") and tuple(told[3]) == ("DNS lookup failed", "dns")
+    assert told[4]["kind"] == "http"
