@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import time
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from pagewatch.operators import nodes
 from pagewatch.operators.nodes import Page, RepairedPage, attributes
 
 VOID = {"br", "img"}
@@ -113,3 +115,17 @@ def test_repair_is_linear(part):
     began = time.perf_counter()
     RepairedPage(part * (400_000 // len(part)))
     assert time.perf_counter() - began < 4
+
+
+def test_a_batch_of_pages_is_read_in_bounded_runs(monkeypatch):
+    monkeypatch.setattr(nodes, "READ_BYTES", 1000)
+    texts = ["<p class=a>" + "x" * n + "</p>" for n in (300, 400, 500, 5000, 1, 2)] + [None]
+    html = pa.array(texts, pa.string())
+    for udf, reader in ((nodes._document, nodes.Page), (nodes._repaired, nodes.RepairedPage)):
+        runs = list(udf.func(iter([html])))
+        assert [len(run) for run in runs] == [2, 1, 1, 3]
+        assert pa.concat_arrays(runs).to_pylist() == nodes.read_pages(html, reader).to_pylist()
+    items = pa.array([[["<b>" + "y" * 600, None], []], [], None, [None, ["<i>z"]], [["<u>" + "w" * 700]], [], [["<b>"]]], pa.list_(pa.list_(pa.string())))
+    runs = list(nodes._second_reading.func(iter([(html, items)])))
+    assert [len(run) for run in runs] == [1, 2, 1, 3]
+    assert pa.concat_arrays(runs).to_pylist() == nodes._read_twice(html, items).to_pylist()
