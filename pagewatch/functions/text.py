@@ -65,13 +65,20 @@ def decode_entities(value: Column) -> Column:
         named,
         lambda text: F.when(~F.contains(text, F.lit("&#")), text)
         .when(text.rlike(REVIVING), _decode_again_and_again(text))
-        .otherwise(_decode_in_one_pass(text)),
+        .when(text.rlike(BROKEN), _decode_in_one_pass(text))
+        .otherwise(_decode_by_kind(text)),
     )
 
 
 # Texts where a decoded '&' or '#' makes a new entity together with its neighbour.
 AMPERSAND, HASH = r"&#(?:\+?0*38|[xX]\+?0*26);", r"&#(?:\+?0*35|[xX]\+?0*23);"
 REVIVING = f"{AMPERSAND}(?:#|{HASH})|&{HASH}"
+# A numeric entity that may be valid, a mark that begins none, and one with a line break before its end.
+NUMERIC = r"&#(?:[xX]\+?0*[0-9a-fA-F]{1,8}|\+?0*[0-9]{1,8});"
+NO_ENTITY = f"&#(?!{NUMERIC[2:]})"
+BROKEN = r"&#[xX+0-9a-fA-F]+[\n\r\u0085\u2028\u2029]+;"
+# Texts with more kinds of numeric entities than this are decoded one entity after the other.
+ENTITY_KINDS = 32
 
 
 def _entity_letter(body: Column) -> Column:
@@ -87,6 +94,27 @@ def _entity_letter(body: Column) -> Column:
     )
 
 
+def _decode_by_kind(text: Column) -> Column:
+    """Each kind of entity is decoded once and replaced wherever it stands, up to the first mark that begins no entity."""
+
+    def kinds(parts: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(parts[0], F.lit(NUMERIC), F.lit(0)))
+        letters = F.transform(
+            F.when(F.size(found) <= ENTITY_KINDS, found),
+            lambda e: F.struct(e.alias("entity"), _entity_letter(F.substring(e, F.lit(3), F.length(e) - 3)).alias("letter")),
+        )
+        return F.struct(parts.alias("parts"), letters.alias("letters"))
+
+    def put_together(work: Column) -> Column:
+        parts, letters = work["parts"], work["letters"]
+        head = F.aggregate(letters, parts[0], lambda t, e: F.replace(t, e["entity"], e["letter"]))
+        whole = F.when(F.size(parts) > 1, F.concat(head, F.lit("&#"), parts[1])).otherwise(head)
+        some_bad = letters.isNull() | F.exists(letters, lambda e: e["letter"].isNull())
+        return F.when(some_bad, _decode_in_one_pass(text)).otherwise(whole)
+
+    return bound(bound(F.split(text, NO_ENTITY, 2), kinds), put_together)
+
+
 def _decode_in_one_pass(text: Column) -> Column:
     def decoded(part: Column) -> Column:
         def entity(end: Column) -> Column:
