@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pagewatch.session import durable
 
 GROUP_ROWS = 5_000_000
+# Pieces that rows are cut into at most, as long as one holds no more than GROUP_ROWS: the driver hears of every piece, and
+# of a hundred sampled rows for each.
+PIECES = 512
 CHUNK = "_chunk"
 
 _FOLD = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -28,12 +31,18 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return int(top[0] or 0), int(top[1] or 0)
 
 
+def piece_count(total: int, rows: int, cores: int) -> int:
+    """Pieces of about ``rows`` rows, but not ever more of them the more rows there are."""
+    return max(1, min(-(-total // rows), max(PIECES, cores, -(-total // GROUP_ROWS))))
+
+
 def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, total: int) -> DataFrame:
     """Rows cut into pieces contiguous in (keys, order); the piece number is stored in the ``_chunk`` column.
 
-    ``order`` must be unique within a key, so that no piece can outgrow its share.
+    ``order`` must be unique within a key, so that no piece can outgrow its share. Pieces are larger than ``rows`` where
+    there would be too many of them.
     """
-    pieces = max(1, -(-total // rows))
+    pieces = piece_count(total, rows, df.sparkSession.sparkContext.defaultParallelism)
     ranged = df.repartitionByRange(pieces, *keys, *order).sortWithinPartitions(*keys, *order)
     return durable(ranged.withColumn(CHUNK, F.spark_partition_id()))
 

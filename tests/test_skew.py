@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewatch.operators import digest, frontier, signals, state
 from pagewatch.operators.folding import keyed_fold
-from pagewatch.operators.ordered import numbered, running
+from pagewatch.operators.ordered import GROUP_ROWS, PIECES, numbered, piece_count, running
 
 RNG = random.Random(5)
 
@@ -137,3 +137,9 @@ def test_webhook_parts_of_a_hot_job(spark):
 def test_lanes_cover_the_batch(spark):
     dealt = frontier.lanes(spark.range(100), 7, ["id"], group_rows=20)
     assert {r["id"]: r["lane"] for r in dealt.collect()} == {i: i % 7 + 1 for i in range(100)}
+
+
+def test_pieces_do_not_grow_with_the_rows():
+    assert piece_count(1000, 50, 8) == 20 and piece_count(0, 50, 8) == 1
+    assert piece_count(36_000_000, 2000, 8) == piece_count(72_000_000, 2000, 8) == PIECES
+    assert piece_count(1000 * GROUP_ROWS, 50, 8) == 1000
