@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pagewatch.functions import text
 from pagewatch.operators import filters, signals
@@ -56,12 +58,12 @@ def streaming_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("text string").parquet(f"{base}/items")
 
 
-def in_time_slices(rows: DataFrame, slice_no, base: str, slices: int) -> DataFrame:
-    """The rows as a folder of files that a stream reads slice by slice, in order."""
+def in_time_slices(rows: DataFrame, slice_no, base: str, slices: int, run: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Run a stream slice by slice, in order: the files of a slice, as many as the tasks that write them, are all there is new
+    when the stream goes on from its progress, so they are one micro-batch."""
     for number in range(slices):
-        part = rows.where(slice_no == number)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/slices")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/slices")
+        rows.where(slice_no == number).write.mode("append").parquet(f"{base}/slices")
+        run(rows.sparkSession.readStream.schema(rows.schema).parquet(f"{base}/slices")).awaitTermination()
 
 
 @query("t03_breaker_stream", BREAKER_SQL)
@@ -71,9 +73,9 @@ def breaker_stream(spark: SparkSession, folder: str) -> DataFrame:
     rows = breaker_input(spark, folder)
     ends = rows.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()
     slice_no = F.least(F.floor((F.col("time") - ends["low"]) * 3 / (ends["high"] - ends["low"] + 1)), F.lit(2))
-    stream = in_time_slices(rows, slice_no, base, 3)
     state = keyed.KeyedTables(base, "job_id bigint, fail_count double, stop_time double")
-    keyed.keyed_stream(stream, state, keyed.breaker_step("job_id", ["time", "attempt_id"], RULES), f"{base}/progress").awaitTermination()
+    step = keyed.breaker_step("job_id", ["time", "attempt_id"], RULES)
+    in_time_slices(rows, slice_no, base, 3, lambda stream: keyed.keyed_stream(stream, state, step, f"{base}/progress"))
     outcomes = state.outcomes(spark)
     return outcomes.select("attempt_id", "action", "alerts", F.col("fail_count").cast("bigint").alias("fail_count"))
 
@@ -85,10 +87,9 @@ def minimum_stream(spark: SparkSession, folder: str) -> DataFrame:
     at = text.wall_seconds(F.col("l_shipdate"))
     bounds = rows.agg(F.percentile_approx(at, [0.33, 0.66])).first()[0]
     slice_no = F.when(at <= bounds[0], 0).when(at <= bounds[1], 1).otherwise(2)
-    stream = in_time_slices(rows, slice_no, base, 3)
     state = keyed.KeyedTables(base, "l_partkey bigint, min_price double")
     step = keyed.minima_step("l_partkey", PRICE_ORDER, F.col("price"), F.col("title"))
-    keyed.keyed_stream(stream, state, step, f"{base}/progress").awaitTermination()
+    in_time_slices(rows, slice_no, base, 3, lambda stream: keyed.keyed_stream(stream, state, step, f"{base}/progress"))
     return state.outcomes(spark).select("l_partkey", "l_orderkey", "l_linenumber", "price", "prior_min", "alert")
 
 
@@ -98,10 +99,10 @@ def heartbeat_stream(spark: SparkSession, folder: str) -> DataFrame:
     base = scratch(spark)
     rows = scan(spark, folder, "events").select("event_id", "user_id", text.wall_seconds(F.col("ts")).alias("time"))
     middle = rows.agg(F.avg("time")).first()[0]
-    stream = in_time_slices(rows, F.when(F.col("time") <= middle, 0).otherwise(1), base, 2)
+    slice_no = F.when(F.col("time") <= middle, 0).otherwise(1)
     state = keyed.KeyedTables(base, "user_id bigint, last_beat double")
     step = keyed.heartbeat_step("user_id", ["time", "event_id"], "time", signals.DAY)
-    keyed.keyed_stream(stream, state, step, f"{base}/progress").awaitTermination()
+    in_time_slices(rows, slice_no, base, 2, lambda stream: keyed.keyed_stream(stream, state, step, f"{base}/progress"))
     return state.outcomes(spark).where("beat").select("event_id", "user_id")
 
 

@@ -282,3 +282,19 @@ def test_item_filters(spark):
     prices = spark.createDataFrame([("$50,001",), ("50000",), ("call",), ("",)], "p string")
     assert [r["p"] for r in prices.where(filters.under_ceiling(F.col("p"), 50000)).collect()] == ["50000", "call", ""]
     assert [r["p"] for r in prices.where(filters.first_number_under(F.col("p"), 1000)).collect()] == ["$50,001", "call", ""]
+
+
+def test_slices_are_written_by_many_tasks_and_read_as_one_batch_each(spark, tmp_path):
+    from pagewatch.plans.catalog_streams import in_time_slices
+
+    rows, seen = spark.range(0, 90, 1, 6), {}
+
+    def run(stream):
+        def step(batch, batch_id):
+            seen[batch_id] = sorted(r["id"] for r in batch.collect())
+
+        return stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start()
+
+    in_time_slices(rows, F.col("id") % 3, str(tmp_path), 3, run)
+    assert seen == {n: list(range(n, 90, 3)) for n in range(3)}
+    assert len(list((tmp_path / "slices").glob("*.parquet"))) == 18
