@@ -100,7 +100,7 @@ def _decode_by_kind(text: Column) -> Column:
     def kinds(parts: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(parts[0], F.lit(NUMERIC), F.lit(0)))
         letters = F.transform(
-            F.when(F.size(found) <= ENTITY_KINDS, found),
+            bound(found, lambda few: F.when(F.size(few) <= ENTITY_KINDS, few)),
             lambda e: F.struct(e.alias("entity"), _entity_letter(F.substring(e, F.lit(3), F.length(e) - 3)).alias("letter")),
         )
         return F.struct(parts.alias("parts"), letters.alias("letters"))
