@@ -14,12 +14,17 @@ from pagewatch.session import BROADCAST_ROWS, durable, small
 CYCLE_LIMIT = 10_000
 # Waves kept apart before they are written together again, so that plans stay short.
 WAVES_KEPT = 8
+# Waves followed one by one before what lies farther is followed by paths; and rows of paths for each link, with a floor.
+NEAR_WAVES, PATHS_A_LINK, LEAST_PATHS = 8, 32, 2_000_000
 
 
-def expand(seeds: DataFrame, links: DataFrame, limit: int | None = None, stored: bool = False) -> tuple[DataFrame, DataFrame]:
+def expand(
+    seeds: DataFrame, links: DataFrame, limit: int | None = None, stored: bool = False, near_waves: int = NEAR_WAVES
+) -> tuple[DataFrame, DataFrame]:
     """Follow ``links(src, dst, pos)`` from ``seeds(url)`` until nothing new turns up.
 
     Every wave reads the links once more; unless they come from a stored table (``stored``) they are written out first.
+    What lies more than ``near_waves`` away is followed several waves at a time (``beyond``), unless there is a limit.
     Returns ``visited(url, wave)`` and one row of counts (processed, failed, pushed, duplicates, rejected). Urls are
     the same when their text is. A seed listed twice is processed twice. With ``limit``, seeds and accepted pushes
     stop there, in (src, pos) order within the wave.
@@ -33,6 +38,11 @@ def expand(seeds: DataFrame, links: DataFrame, limit: int | None = None, stored:
     pushed = duplicates = rejected = 0
     known, wave = size, 0
     while size:
+        if limit is None and wave >= max(near_waves, 1):
+            far, fresh, total = beyond(links, _union(waves), wave)
+            waves.append(far)
+            processed, pushed, duplicates = processed + fresh, pushed + fresh, duplicates + total - fresh
+            break
         wave += 1
         todo = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
         pushes = links.join(todo, links["src"] == todo["url"]).select("dst", "times", "src", "pos")
@@ -69,6 +79,71 @@ def expand(seeds: DataFrame, links: DataFrame, limit: int | None = None, stored:
     return _union(waves), counts
 
 
+def beyond(links: DataFrame, visited: DataFrame, wave: int) -> tuple[DataFrame, int, int]:
+    """What the urls of the last ``wave`` of ``visited(url, wave)`` lead to, with how many rows and pushes that makes.
+
+    A url that is first reached ``d`` waves after a wave is the end of a shortest path of ``d`` links from some url of it. So
+    with all shortest paths of up to ``k`` links (``paths``) ``k`` waves are one step. Paths are made of what is still
+    unvisited and anew when half of that is done, so few urls have long ones. A null target is in each wave that a link to it
+    makes, and leads nowhere.
+    """
+    ends = links.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    last = visited.where(F.col("wave") == wave).select("url").where("url IS NOT NULL")
+    before = visited.where(F.col("wave") < wave).select("url")
+    ends = ends.join(visited.select(F.col("url").alias("dst")), "dst", "left_anti").join(before.withColumnRenamed("url", "src"), "src", "left_anti")
+    ends = durable(ends)
+    urls = ends.select(F.col("src").alias("url")).union(ends.select("dst")).distinct()
+    # Paths are told by numbers, which are shorter than urls.
+    urls = durable(urls.withColumn("id", F.monotonically_increasing_id()))
+    edges = durable(ends.join(urls.toDF("src", "s"), "src").join(urls.toDF("dst", "t"), "dst").select("s", "t"))
+    frontier = durable(last.join(urls, "url").select("id"))
+    found, size, at = [frontier.select("id", F.lit(wave).alias("wave"))], frontier.count(), wave
+    while size:
+        reach, length = paths(edges)
+        built = left = edges.select("t").distinct().count()
+        while size and left * 2 >= built:
+            todo = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
+            ahead = reach.join(todo, F.col("s") == F.col("id")).groupBy("t").agg(F.min("d").alias("d"))
+            known = _union(found).select(F.col("id").alias("t"))
+            new = durable(ahead.join(known, "t", "left_anti").select(F.col("t").alias("id"), (F.col("d") + at).alias("wave")))
+            at += length
+            fresh, size = new.agg(F.count(F.lit(1)), F.count_if(F.col("wave") == at)).first()
+            left -= fresh
+            if fresh:
+                found.append(new)
+            frontier = new.where(F.col("wave") == at).select("id")
+            if len(found) > WAVES_KEPT:
+                found = [durable(_union(found).repartition("id"))]
+        if size:
+            done = durable(_union(found))
+            ended = done.where(F.col("wave") < at).select(F.col("id").alias("s"))
+            edges = durable(edges.join(done.select(F.col("id").alias("t")), "t", "left_anti").join(ended, "s", "left_anti").select("s", "t"))
+    far = durable(_union(found).where(F.col("wave") > wave).join(urls, "id").select("url", "wave"))
+    # The pushes of the last wave known and of all farther ones.
+    pushing = far.unionByName(visited.where(F.col("wave") == wave)).select(F.col("url").alias("src"), "wave")
+    nowhere = durable(links.where("dst IS NULL").join(pushing, "src").select(F.lit(None).cast("string").alias("url"), (F.col("wave") + 1).alias("wave")).distinct())
+    far = far.unionByName(nowhere)
+    return far, far.count(), links.join(pushing, "src").count()
+
+
+def paths(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
+    """(s, t, d) for every shortest path of ``edges(s, t)`` of up to some length, and that length.
+
+    The length is doubled as long as the paths that this puts together, which are counted first, are at most ``rows``.
+    """
+    reach, length = durable(edges.where("s <> t").select("s", "t", F.lit(1).alias("d"))), 1
+    rows = rows or max(LEAST_PATHS, PATHS_A_LINK * reach.count())
+    while True:
+        longest = reach.where(F.col("d") == length)
+        into, out = longest.groupBy(F.col("t").alias("m")).agg(F.count("*").alias("into")), reach.groupBy(F.col("s").alias("m")).agg(F.count("*").alias("out"))
+        longer = into.join(out, "m").agg(F.sum(F.col("into") * F.col("out"))).first()[0]
+        if not longer or longer > rows:
+            return reach, length
+        on = longest.select("s", F.col("t").alias("m")).join(reach.select(F.col("s").alias("m"), "t", (F.col("d") + length).alias("d")), "m")
+        reach = durable(reach.union(on.where("s <> t").select("s", "t", "d")).groupBy("s", "t").agg(F.min("d").alias("d")))
+        length *= 2
+
+
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:

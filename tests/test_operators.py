@@ -167,6 +167,29 @@ def test_frontier_seed_listed_twice_and_long_chain(spark):
     assert tuple(counts.first()) == (14, 0, 12, 1, 0)
 
 
+def test_frontier_far_waves_like_near_ones(spark):
+    grid = [(f"g{x},{y}", to) for x in range(6) for y in range(6) for to in (f"g{x + 1},{y}", f"g{x},{y + 1}", f"g{x // 2},{y}")]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(24)] + [("c24", "c0"), ("c7", "g3,3"), ("c20", "c20"), ("c23", "away"), ("lost", "c10")]
+    nulls = [("c5", None), ("c5", None), ("c21", None), (None, "c3"), ("g8,8", None), ("c2", "c3")]
+    links = edges(spark, *grid, *chain, *nulls)
+    plain, known = frontier.expand(seeds(spark, "c0", "g0,0", "g0,0"), links, near_waves=10**6)
+    for near in (1, 5):
+        visited, counts = frontier.expand(seeds(spark, "c0", "g0,0", "g0,0"), links, near_waves=near)
+        assert visited.dtypes == plain.dtypes
+        assert sorted(map(repr, visited.collect())) == sorted(map(repr, plain.collect()))
+        assert counts.collect() == known.collect()
+
+
+def test_frontier_takes_fewer_steps_than_waves(spark):
+    context, chain = spark.sparkContext, [(f"p{i}", f"p{i + 1}") for i in range(150)]
+    context.setJobGroup("long chain", "long chain")
+    visited, _ = frontier.expand(seeds(spark, "p0"), edges(spark, *chain))
+    assert {r["url"]: r["wave"] for r in visited.collect()} == {f"p{i}": i for i in range(151)}
+    # A wave takes several jobs.
+    assert len(context.statusTracker().getJobIdsForGroup("long chain")) < 250
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_frontier_limit(spark):
     star = [("a", f"b{i}") for i in range(9)]
     visited, counts = frontier.expand(seeds(spark, "a"), edges(spark, *star), limit=4)
