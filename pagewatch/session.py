@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -27,6 +29,14 @@ def build_session(app: str = "pagewatch", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
+def give_back() -> None:
+    """Return the memory that Arrow and the C library keep for later: a worker that waits idle takes room that others need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` at a reliable checkpoint in the folder the session names.
 

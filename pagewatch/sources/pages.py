@@ -14,8 +14,22 @@ def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+# Pages that Spark hands to a Python worker at a time, by rows and by bytes. Its own default, 10,000 rows, is meant for short rows.
+PAGE_ROWS, PAGE_BYTES = 256, 4 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of pages takes, in the session of the caller; what is set lower stays."""
+    for name, most in (("maxRecordsPerBatch", PAGE_ROWS), ("maxBytesPerBatch", PAGE_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def scan_pages(spark: SparkSession, folder: str, table: str = "pages", key: str = "page_id") -> DataFrame:
     """Pages for parsing. A table with fewer file splits than cores is spread, since parsing is the costly part."""
+    short_batches(spark)
     pages = scan(spark, folder, table)
     cores = spark.sparkContext.defaultParallelism
     return pages.repartition(cores, key) if pages.rdd.getNumPartitions() < cores else pages

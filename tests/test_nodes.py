@@ -129,3 +129,27 @@ def test_a_batch_of_pages_is_read_in_bounded_runs(monkeypatch):
     runs = list(nodes._second_reading.func(iter([(html, items)])))
     assert [len(run) for run in runs] == [1, 2, 1, 3]
     assert pa.concat_arrays(runs).to_pylist() == nodes._read_twice(html, items).to_pylist()
+
+
+def test_pages_reach_a_worker_in_short_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    from pagewatch.sources.pages import scan_pages
+
+    spark.createDataFrame([(i, "x" * 200_000) for i in range(60)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    names = [f"spark.sql.execution.arrow.max{kind}PerBatch" for kind in ("Records", "Bytes")]
+    before = [spark.conf.get(name) for name in names]
+    try:
+        spark.conf.set(names[0], "10000")
+        pages = scan_pages(spark, str(tmp_path)).coalesce(1)
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+        taken = [r["n"] for r in pages.mapInArrow(sizes, "n long").collect()]
+        assert sum(taken) > 60 * 200_000 and max(taken) < 5 << 20
+        assert 0 < int(spark.conf.get(names[0])) <= 256
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
