@@ -10,11 +10,13 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pagewatch.session import durable
+from pagewatch.session import durable, give_back
 
 #: Text that one step of a task works on at a time, and words that a task remembers.
 BATCH_BYTES = 4 << 20
 MEMO_WORDS = 100_000
+#: Links that one task joins to components; more are joined in rounds of joins.
+FEW_LINKS = 100_000
 #: Rows that Spark hands to a Python worker at a time; its own default, 10,000, is meant for short rows.
 BATCH_ROWS = 1024
 
@@ -30,14 +32,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def released(run):
-    """``run``, with the memory that Arrow keeps for later given back at the end of a task: a worker that then waits idle
+    """``run``, with the memory kept for later given back at the end of a task: a worker that then waits idle
     beside other stages takes room that those need."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return task
 
@@ -151,17 +153,27 @@ def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array([find(v) for v in linked], pa.int64())], ["a", "b"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links of a task as one batch of ``forests``."""
+    held = list(batches)
+    if held:
+        yield from forests(iter(pa.Table.from_batches(held).combine_chunks().to_batches()))
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(v, component) for every vertex of ``links`` (a, b): the smallest vertex that it reaches, itself included.
 
     Each round hangs a vertex's larger neighbours, then its smaller ones, below its smallest neighbour, until every
     vertex hangs below the smallest of its component. Minima are combined before the shuffle and joined back, so a
-    vertex with very many links is an ordinary skewed join. Self links keep lone vertices.
+    vertex with very many links is an ordinary skewed join. Self links keep lone vertices. At most ``few`` links are
+    joined in one step, since rounds write many small files.
     """
     ends = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     edges = durable(ends.where("a <> b").mapInArrow(forests, "a long, b long").distinct())
-    before = None
-    while True:
+    before, many = None, edges.count()
+    if many <= few:
+        edges = durable(edges.coalesce(1).mapInArrow(released(forest), "a long, b long"))
+    while many > few:
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
             break

@@ -95,3 +95,18 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(300, 400)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(0, i) for i in range(500, 900)] + [(950, 950)]
     got = {r.v: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == smallest_reached({v for link in links for v in link}, links)
+
+
+def test_few_links_are_joined_in_one_step(spark):
+    context, rng = spark.sparkContext, random.Random(4)
+    links = [(i, i + 1) for i in range(1200, 3000) if i % 700] + [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(7, 7), (5000, 5000)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(8)
+    got, jobs = {}, {}
+    for few in (0, 100_000):
+        context.setJobGroup(f"few {few}", "components")
+        got[few] = {r.v: r.component for r in components(table, few).collect()}
+        jobs[few] = len(context.statusTracker().getJobIdsForGroup(f"few {few}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[100_000] == smallest_reached({v for link in links for v in link}, links)
+    assert jobs[100_000] < jobs[0] / 2
+    assert components(table.limit(0)).count() == 0
