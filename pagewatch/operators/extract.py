@@ -13,11 +13,13 @@ from pagewatch.functions.text import bound, clean
 from pagewatch.functions.urls import resolve
 from pagewatch.operators import selectors as css
 from pagewatch.operators.nodes import document, repaired, second_reading
+from pagewatch.sources.pages import short_batches
 from pagewatch.spec import FieldSpec, JobSpec
 
 
 def parse_pages(pages: DataFrame, body: str = "html", keep_body: bool = False, repair: bool = False) -> DataFrame:
     """Add ``nodes`` and ``segments``, as written or as a browser's tree; the body itself is dropped unless asked for."""
+    short_batches(pages.sparkSession)
     parsed = pages.withColumn("_document", (repaired if repair else document)(F.col(body)))
     parsed = parsed.withColumns({"nodes": F.col("_document.nodes"), "segments": F.col("_document.segments")})
     return parsed.drop("_document") if keep_body else parsed.drop("_document", body)
@@ -98,6 +100,7 @@ class Plan:
 def _read(pages: DataFrame, plans: Sequence[Plan], seen: Sequence[Column], body: str) -> DataFrame:
     """The trees that the plans need of the pages they see: ``nodes`` and ``segments`` as written, and in ``_second`` the
     tree that a browser makes, of pages on which some plan needs it, and the trees of items for plans that need those."""
+    short_batches(pages.sparkSession)
     literal = [(k, plan) for k, plan in enumerate(plans) if plan.page_parser == "raw"]
     # With lambdas in the input of a Python step Spark may fail to recognise the step, and it may repeat a step whose
     # output is the input of another, so trees, matches and texts are kept in columns of their own: the optimizer does

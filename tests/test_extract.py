@@ -192,3 +192,17 @@ def test_selector_reading():
 def test_column_names_stay(spark):
     rows = extract_items(pages(spark, CARDS).withColumn("status", F.lit(200)), JobSpec("J", URL, ".card", ["t:h2"]))
     assert rows.columns == ["page_id", "url", "status", "selector_matches", "item_ord", "fields", "job_id", "matches"]
+
+
+@pytest.mark.parametrize("read", [lambda rows: page_links(rows), lambda rows: extract_items(rows, JobSpec("All", URL, "p:not(.x)", ["text:b"]))])
+def test_every_parse_bounds_the_batches_of_its_session(spark, read):
+    names = [f"spark.sql.execution.arrow.max{kind}PerBatch" for kind in ("Records", "Bytes")]
+    before = [spark.conf.get(name) for name in names]
+    try:
+        spark.conf.set(names[0], "10000")
+        spark.conf.set(names[1], str(64 << 20))
+        read(pages(spark, "<p><a href=x>a</a></p>"))
+        assert 0 < int(spark.conf.get(names[0])) <= 256 and 0 < int(spark.conf.get(names[1])) <= 4 << 20
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
