@@ -63,7 +63,7 @@ def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece counts and checksums of the encoded texts and of their sampled segmentations."""
     short_batches(spark)
     # By now the executors' heaps have grown with the earlier stages, so tasks work on less text at a time.
-    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"), batch_bytes=1 << 20)
+    return pieces.digests(docs, public_tokenizers.path("piece_bpe_32k.model"), batch_bytes=1 << 18)
 
 
 STAGES: list[tuple[str, Stage]] = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("segmented", segmented)]

@@ -14,10 +14,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,6 +27,10 @@ from pagewatch.llm.common import BATCH_BYTES, merged, mix, released
 SPACE = "▁"
 #: Segmentations of a document, and how sharply probable ones are preferred.
 SAMPLES, ALPHA = 4, 1.5
+#: Steps of a part for which draws are made for all rows at once.
+FIRST_STEPS = 8
+#: Parts that the library encodes in one call.
+ENCODED_AT_ONCE = 1024
 FIRM = re.compile("(?<=[^ ]) (?=[^ ])")
 NONE = float("-inf")
 
@@ -36,10 +41,18 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
 
 def gathered(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of ``rows`` of a list of lists, one after another, and how many each row has."""
-    lengths = offsets[rows + 1] - offsets[rows]
+    places, lengths = places_of(offsets, rows)
+    return values[places], lengths
+
+
+def places_of(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of ``rows`` of a list of lists stand, one after another, and how many each row has."""
+    starts = offsets[rows]
+    lengths = offsets[rows + 1] - starts
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(offsets[rows] - (ends - lengths), lengths)], lengths
+    places = np.repeat(starts - (ends - lengths), lengths)
+    places += np.arange(len(places))
+    return places, lengths
 
 
 def parts_of(text: str) -> list[str]:
@@ -50,6 +63,11 @@ def parts_of(text: str) -> list[str]:
     return parts if "" not in parts else FIRM.split(text)
 
 
+def single_spaced(text: str) -> bool:
+    """Whether the parts of ``text`` are what lies between its spaces."""
+    return bool(text) and "  " not in text and text[0] != " " and text[-1] != " "
+
+
 class Vocabulary:
     """The pieces of a model file, found by hash, with log probabilities by rank: a file of merges has ranks for scores."""
 
@@ -65,9 +83,11 @@ class Vocabulary:
         self.longest = max(map(len, names))
         hashes = np.array([self.hash_of(n) for n in names], np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.ids, self.scores = hashes[order], np.array(kept, np.int64)[order], alpha * (-np.log(ranks + 10) - log_norm)[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        self.hashes, self.ids, self.scores = hashes[order], np.array(kept, np.int32)[order], alpha * (-np.log(ranks + 10) - log_norm)[order]
+        # By the first 20 bits of a hash: where such hashes begin (-1: there are none) and how many there are.
+        lead = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.crowd = np.bincount(lead, minlength=1 << 20).astype(np.uint16)
+        self.slot = np.where(self.crowd > 0, np.cumsum(self.crowd, dtype=np.int64) - self.crowd, -1).astype(np.int32)
         self.begins = np.zeros(1 << 20, bool)
         self.begins[[self.hash_of(n) >> 44 for n in {n[:k] for n in names for k in range(1, len(n) + 1)}]] = True
         self.byte_score = alpha * (-np.log(size + 10) - log_norm)
@@ -88,11 +108,16 @@ class Vocabulary:
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Places of pieces, -1 for what is no piece."""
-        out = np.full(len(h), -1, np.int32)
-        likely = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[likely]), len(self.hashes) - 1)
-        good = self.hashes[at] == h[likely]
-        out[likely[good]] = at[good]
+        lead = (h >> np.uint64(44)).astype(np.int64)
+        out = self.slot[lead]  # a slot of -1 meets the last hash, which is then another
+        other = np.flatnonzero(self.hashes[out] != h)
+        many = np.where(out[other] < 0, 0, self.crowd[lead[other]])
+        at = out[other]
+        out[other] = -1
+        for k in range(1, int(many.max()) if len(many) else 0):
+            left = np.flatnonzero(many > k)
+            good = left[self.hashes[at[left] + k] == h[other[left]]]
+            out[other[good]] = at[good] + k
         return out
 
 
@@ -103,6 +128,7 @@ class Lattices:
     first_node: np.ndarray  # of each part
     nodes: np.ndarray  # number of inner nodes of each part, its characters
     edge_at: np.ndarray  # first edge of each node
+    node: np.ndarray  # of each edge, the node it leaves
     target: np.ndarray  # of each edge, the node it leads to, or -1 at the end of a part
     share: np.ndarray  # of each edge at its node, by all completions
     above: np.ndarray  # sum of the shares of a node's edges up to and with this one
@@ -151,11 +177,11 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     first, total = offsets_of(lengths), int(lengths.sum())
     ends = np.repeat(first[1:], lengths).astype(np.int32)
     edge_at, step, piece = edges_of(signs, ends, vocabulary)
-    node = np.repeat(np.arange(total, dtype=np.int32), np.diff(edge_at))
+    fan = np.diff(edge_at)
+    node = np.repeat(np.arange(total, dtype=np.int32), fan)
     target = node + step
-    target[target >= ends[node]] = total
-    all_edges = np.arange(len(node), dtype=np.int32)
-    raw = piece < 0
+    target[target >= np.repeat(ends, fan)] = total
+    raw = np.flatnonzero(piece < 0)
     code = signs[node[raw]]
     scores = vocabulary.scores[piece]
     scores[raw] = vocabulary.byte_score * (1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF))
@@ -167,7 +193,7 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     far = far.astype(np.int16) if total and lengths.max() < 1 << 15 else far  # short keys sort faster
     by_distance = np.argsort(far, kind="stable")
     for nodes in np.split(by_distance, np.flatnonzero(np.diff(far[by_distance])) + 1) if total else []:
-        edges, many = gathered(edge_at, all_edges, nodes)
+        edges, many = places_of(edge_at, nodes)
         starts = np.cumsum(many) - many
         through = scores[edges] + sums[target[edges]]
         top = np.maximum.reduceat(through, starts)
@@ -178,16 +204,16 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
         leading[nodes] = np.minimum.reduceat(np.where(weight == 1.0, edges, len(node)), starts)
     target[target == total] = -1
     summed = np.cumsum(share)
-    above = summed - np.concatenate([[0.0], summed])[edge_at[node]]
+    above = summed - np.repeat(np.concatenate([[0.0], summed])[edge_at[:-1]], fan)
     # Ids: one of a piece, or those of the bytes of a character that is no piece.
     encoded = [chr(int(c)).encode("utf-8", "surrogatepass") for c in code]
     id_lengths = np.ones(len(piece), np.int64)
     id_lengths[raw] = [len(b) for b in encoded]
     id_at = offsets_of(id_lengths)
     ids = np.empty(int(id_at[-1]), np.int32)
-    ids[id_at[:-1][~raw]] = vocabulary.ids[piece[~raw]]
+    ids[id_at[:-1]] = vocabulary.ids[piece]
     if len(encoded):
-        at, _ = gathered(id_at, np.arange(len(ids)), np.flatnonzero(raw))
+        at, _ = places_of(id_at, raw)
         ids[at] = np.frombuffer(b"".join(encoded), np.uint8).astype(np.int32) + vocabulary.first_byte
     # The leading segmentation of every part, all parts step by step.
     active, at, found, steps = np.arange(len(parts)), first[:-1].copy(), [], np.zeros(len(parts), np.int64)
@@ -204,7 +230,7 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
         best[best_at[active] + step_no] = edge
     log_share = np.log(np.maximum(share, 1e-300))
     others = np.maximum(1 - share[best], 0)
-    others[np.diff(edge_at)[node[best]] == 1] = 0
+    others[fan[node[best]] == 1] = 0
     before = np.cumsum(log_share[best]) - log_share[best]
     leave = np.exp(before - before[best_at[:-1]][who]) * others
     rest = np.add.reduceat(leave, best_at[:-1]) if len(leave) else leave
@@ -212,7 +238,21 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     parting = (sums - np.concatenate([[0.0], sums])[best_at[:-1]][who]) / np.maximum(rest, 1e-300)[who]
     log_best = np.add.reduceat(log_share[best], best_at[:-1]) if len(parts) else np.empty(0)
     with np.errstate(divide="ignore"):
-        return Lattices(first[:-1], lengths, edge_at, target, share, above, log_share, id_at, ids, best_at, best, log_best, np.log(rest), parting)
+        return Lattices(first[:-1], lengths, edge_at, node, target, share, above, log_share, id_at, ids, best_at, best, log_best, np.log(rest), parting)
+
+
+def first_not_below(values: np.ndarray, low: np.ndarray, high: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """``searchsorted`` in ascending ``values``, of which the places from ``low`` to ``high`` come into question. Most are
+    found by a few steps from ``low``; the others are searched for."""
+    at = low.copy()
+    on = np.flatnonzero((at < high) & (values[at] < sought))
+    for _ in range(24):
+        if not len(on):
+            return at
+        at[on] += 1
+        on = on[(at[on] < high[on]) & (values[at[on]] < sought[on])]
+    at[on] = np.minimum(np.searchsorted(values, sought[on]), high[on])
+    return at
 
 
 def uniform(keys: np.ndarray, place: np.ndarray, use: int) -> np.ndarray:
@@ -235,6 +275,7 @@ class Sampler:
         self.log_path = lattice.log_best
         self.leads = np.exp(lattice.log_best)
         self.samples: list[dict] = []
+        self.spelled: tuple[int, np.ndarray, np.ndarray] | None = None  # ids of all paths, when there were so many edges
 
     def add_paths(self, who: np.ndarray, edges: np.ndarray, many: int) -> int:
         """Paths given edge by edge in the order of steps; returns the number of the first."""
@@ -243,9 +284,7 @@ class Sampler:
         lengths = np.bincount(who, minlength=many)
         self.path_at = np.concatenate([self.path_at, self.path_at[-1] + np.cumsum(lengths)])
         self.paths = np.concatenate([self.paths, edges[order]])
-        logs = np.zeros(many)
-        np.add.at(logs, who, self.lattice.log_share[edges])
-        self.log_path = np.concatenate([self.log_path, logs])
+        self.log_path = np.concatenate([self.log_path, np.bincount(who, self.lattice.log_share[edges], many)])
         return start
 
     def others(self, words: np.ndarray, keys: np.ndarray, place: np.ndarray, use: int) -> int:
@@ -259,7 +298,7 @@ class Sampler:
         kept = rank - t.best_at[words]
         who, edges = [np.repeat(np.arange(many), kept)], [t.best[np.arange(int(kept.sum())) + np.repeat(t.best_at[words] - (np.cumsum(kept) - kept), kept)]]
         leave = t.best[rank]
-        node = self.node_of_edge()[leave]
+        node = t.node[leave]
         low = t.above[leave] - t.share[leave]
         u = uniform(keys, place, use + 1) * np.maximum(1 - t.share[leave], 0)
         u = np.where(u >= low, u + t.share[leave], u)
@@ -282,16 +321,10 @@ class Sampler:
             self._parting = np.repeat(np.arange(len(self.lattice.best_at) - 1), np.diff(self.lattice.best_at)) + self.lattice.parting * (1 - 1e-12)
         return self._parting
 
-    def node_of_edge(self) -> np.ndarray:
-        if not hasattr(self, "_nodes"):
-            self._nodes = np.repeat(np.arange(len(self.lattice.edge_at) - 1), np.diff(self.lattice.edge_at))
-            self._above = self._nodes + np.minimum(self.lattice.above, 1.0) * (1 - 1e-12)
-        return self._nodes
-
     def edge_under(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        self.node_of_edge()
-        edge = np.searchsorted(self._above, node + np.minimum(u, 1.0) * (1 - 1e-12))
-        return np.clip(edge, self.lattice.edge_at[node], self.lattice.edge_at[node + 1] - 1)
+        if not hasattr(self, "_above"):
+            self._above = self.lattice.node + np.minimum(self.lattice.above, 1.0) * (1 - 1e-12)
+        return first_not_below(self._above, self.lattice.edge_at[node], self.lattice.edge_at[node + 1] - 1, node + np.minimum(u, 1.0) * (1 - 1e-12))
 
     def drawn(self, fresh: np.ndarray, number: int) -> np.ndarray:
         """Paths of the parts at ``fresh``: the leading one, or another, by their shares."""
@@ -315,17 +348,19 @@ class Sampler:
         logs = np.where(live[self.rows], self.log_path[path], 0.0)
         sums = np.concatenate([[0.0], np.cumsum(logs)])
         before = sums[:-1] - sums[self.row_at[:-1]][self.rows]
-        left = self.rest(path, self.words)
+        own = np.flatnonzero(live[self.rows] & (self.place >= start[self.rows]))
+        left = np.full(len(path), NONE)
+        left[own] = self.rest(path[own], self.words[own])
         for row, drawn in excluded.items():  # where it parted from an earlier one, that one is gone as well
             at = int(self.row_at[row] + start[row])
             gone = np.exp(self.log_path[[*drawn, path[at]]]).sum()
             left[at] = np.log(1 - gone) if gone < 1 - 1e-12 else NONE
-        own = live[self.rows] & (self.place >= start[self.rows])
-        mass = np.where(own, before + left, NONE)
-        limit = top[self.rows]
+        mass = before[own] + left[own]
+        possible = np.isfinite(mass)
+        own, mass = own[possible], mass[possible]
+        score = np.full(len(path), NONE)
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            score = mass - np.log(np.exp(mass - limit) - np.log(uniform(self.key, self.place, number * 8 + 7)))
-        score = np.where(np.isfinite(mass), score, NONE)
+            score[own] = mass - np.log(np.exp(mass - top[self.rows[own]]) - np.log(uniform(self.key[own], self.place[own], number * 8 + 7)))
         self.samples.append({"path": path, "live": live, "log_prob": sums[self.row_at[1:]] - sums[self.row_at[:-1]], "top": top, "score": score, "start": start, "excluded": excluded})
 
     def queue(self) -> tuple[np.ndarray, np.ndarray]:
@@ -348,8 +383,8 @@ class Sampler:
             of, top = self.queue()
             live = np.isfinite(top)
             path, start, excluded = self.samples[0]["path"].copy(), np.zeros(rows, np.int64), {}
-            who, edges, at_places = [], [], []
-            for row in np.flatnonzero(live).tolist():
+            who, edges, at_places, going = [], [], [], np.flatnonzero(live)
+            for row in going.tolist():
                 sample = self.samples[of[row]]
                 low, high = int(self.row_at[row]), int(self.row_at[row + 1])
                 at = low + int(sample["score"][low:high].argmax())
@@ -358,10 +393,12 @@ class Sampler:
                 path[low:at] = sample["path"][low:at]
                 gone = [*(sample["excluded"].get(row, ()) if sample["start"][row] == at - low else ()), int(sample["path"][at])]
                 excluded[row] = gone
-                steps = self.excluding(int(self.words[at]), gone, self.keys[row], at - low, number)
-                who += [len(at_places)] * len(steps)
-                edges += steps
                 at_places.append(at)
+            draws = self.step_draws(self.keys[going], start[going], 0, FIRST_STEPS, number)
+            for n, (row, at) in enumerate(zip(going.tolist(), at_places)):
+                steps = self.excluding(int(self.words[at]), excluded[row], draws[n].tolist(), self.keys[row], int(start[row]), number)
+                who += [n] * len(steps)
+                edges += steps
             if at_places:
                 first = self.add_paths(np.array(who), np.array(edges), len(at_places))
                 path[at_places] = first + np.arange(len(at_places))
@@ -370,37 +407,47 @@ class Sampler:
             self.emit(path, live, top, start, excluded, number)
         return self.queue()[1]
 
-    def excluding(self, word: int, gone: list[int], key: np.uint64, place: int, number: int) -> list[int]:
-        """Edges of a drawn segmentation of a part that is none of the paths ``gone``."""
+    @staticmethod
+    def step_draws(keys: np.ndarray, places: np.ndarray, first: int, many: int, number: int) -> np.ndarray:
+        """For every row the draws of ``many`` steps from step ``first``."""
+        at = (np.arange(many) + first) * 1_000_003 + places[:, None]
+        return uniform(np.repeat(keys, many), at.ravel(), number * 8 + 6).reshape(len(keys), many)
+
+    def excluding(self, word: int, gone: list[int], draws: list[float], key: np.uint64, place: int, number: int) -> list[int]:
+        """Edges of a drawn segmentation of a part that is none of the paths ``gone``, by the draws of its first steps."""
         t = self.lattice
-        left = [self.paths[self.path_at[p] : self.path_at[p + 1]].tolist() for p in gone]
+        left = []  # edges of each path, and what it weighs from there on
+        for p in gone:
+            path = self.paths[self.path_at[p] : self.path_at[p + 1]]
+            left.append((path.tolist(), np.exp(np.cumsum(t.log_share[path][::-1])[::-1]).tolist()))
         node, steps = int(t.first_node[word]), []
         while node >= 0:
-            low, high = int(t.edge_at[node]), int(t.edge_at[node + 1])
+            low, high, step = int(t.edge_at[node]), int(t.edge_at[node + 1]), len(steps)
+            weights = t.share[low:high].tolist()
             if left:
-                weights = t.share[low:high].copy()
-                for p in left:
-                    weights[p[len(steps)] - low] -= np.exp(t.log_share[p[len(steps) :]].sum())
-                weights[weights < 1e-13] = 0
-                if not weights.any():  # rounding: any edge that no path left holds whole
-                    weights = np.array([float(sum(p[len(steps)] == e for p in left) == 0 or t.target[e] >= 0) for e in range(low, high)])
-            else:
-                weights = t.share[low:high]
-            if len(steps) % 64 == 0:
-                draws = uniform(np.full(64, key), (np.arange(64) + len(steps)) * 1_000_003 + place, number * 8 + 6)
-            u = draws[len(steps) % 64] * weights.sum()
-            edge = low + min(int(np.searchsorted(np.cumsum(weights), u, side="right")), high - low - 1)
-            left = [p for p in left if p[len(steps)] == edge]
+                for path, weight in left:
+                    weights[path[step] - low] -= weight[step]
+                weights = [0.0 if w < 1e-13 else w for w in weights]
+                if not any(weights):  # rounding: any edge that no path left holds whole
+                    weights = [float(all(path[step] != e for path, _ in left) or t.target[e] >= 0) for e in range(low, high)]
+            if step >= len(draws):
+                draws = draws + self.step_draws(np.array([key]), np.array([place]), len(draws), 64, number)[0].tolist()
+            u, edge, passed = draws[step] * sum(weights), low, weights[0]
+            while passed <= u and edge < high - 1:
+                edge += 1
+                passed += weights[edge - low]
+            left = [(path, weight) for path, weight in left if path[step] == edge]
             steps.append(edge)
             node = int(t.target[edge])
         return steps
 
     def ids(self, sample: dict) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a sample of all rows, and where each row's start."""
-        edges, steps = gathered(self.path_at, self.paths, sample["path"])
-        ids, lengths = gathered(self.lattice.id_at, self.lattice.ids, edges)
-        ends = offsets_of(lengths)[offsets_of(steps)[self.row_at]]
-        return ids, ends
+        if self.spelled is None or self.spelled[0] != len(self.paths):
+            ids, lengths = gathered(self.lattice.id_at, self.lattice.ids, self.paths)
+            self.spelled = len(self.paths), ids, offsets_of(lengths)[self.path_at]
+        ids, lengths = gathered(self.spelled[2], self.spelled[1], sample["path"])
+        return ids, offsets_of(lengths)[self.row_at]
 
 
 LOADED: dict[tuple[str, float], Vocabulary] = {}
@@ -412,30 +459,31 @@ def loaded(path: str, alpha: float = ALPHA) -> Vocabulary:
     return LOADED[path, alpha]
 
 
-class Numbers(dict):
-    """Parts by the order in which they are first asked for."""
-
-    def __missing__(self, part: str) -> int:
-        number = self[part] = len(self)
-        return number
-
-
 def numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct parts of texts, the parts of all texts by number, and where each text's start."""
-    known, words, lengths = Numbers(), [], []
-    for text in texts:
-        parts = parts_of(text or "")
-        words.extend(map(known.__getitem__, parts))
-        lengths.append(len(parts))
-    return list(known), np.array(words, np.int64), offsets_of(np.array(lengths, np.int64))
+    """The distinct parts of texts in the order in which they come up, the parts of all texts by number, and where each text's
+    start."""
+    chunks, lengths = [pa.array([], pa.string())], [np.zeros(0, np.int64)]
+    for plain, run in groupby((text or "" for text in texts), single_spaced):
+        if plain:
+            parts = pc.split_pattern(pa.array(run, pa.string()), " ")
+        else:
+            parts = pa.array([parts_of(text) for text in run], pa.list_(pa.string()))
+        chunks.append(parts.flatten())
+        lengths.append(pc.list_value_length(parts).to_numpy().astype(np.int64))
+    known = pa.concat_arrays(chunks).dictionary_encode()
+    return known.dictionary.to_pylist(), known.indices.to_numpy().astype(np.int64), offsets_of(np.concatenate(lengths))
 
 
 def encoded(vocabulary: Vocabulary, distinct: list[str], words: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all rows as the library gives them, and where each row's start; every distinct part is encoded once."""
-    lists = vocabulary.library.encode(distinct, num_threads=1) if distinct else []
-    at = offsets_of(np.array([len(x) for x in lists], np.int64))
-    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(at[-1]))
-    ids, lengths = gathered(at, flat, words)
+    """Ids of all rows as the library gives them, and where each row's start; every distinct part is encoded once.
+
+    Few lists are held at a time, since Python's collector goes over all that stay."""
+    many, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for start in range(0, len(distinct), ENCODED_AT_ONCE):
+        lists = vocabulary.library.encode(distinct[start : start + ENCODED_AT_ONCE], num_threads=1)
+        many.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        found.append(np.fromiter(chain.from_iterable(lists), np.int32, int(many[-1].sum())))
+    ids, lengths = gathered(offsets_of(np.concatenate(many)), np.concatenate(found), words)
     return ids, offsets_of(lengths)[row_at]
 
 

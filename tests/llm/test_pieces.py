@@ -121,3 +121,38 @@ def test_few_segmentations_and_seeds(spark, vocabulary):
     long = spark.createDataFrame([(i, t) for i, t in enumerate(texts()) if t], "doc_id long, text string")
     a, b, c = (sorted((r.doc_id, r.rank, r.ids, round(r.log_prob, 6)) for r in segmentations(x, PATH, 3, seed).collect()) for x, seed in ((long, 1), (long.repartition(5), 1), (long, 2)))
     assert a == b != c
+
+
+def test_tables_find_what_sorted_searches_find():
+    vocabulary = pieces.loaded(PATH)
+    rng = np.random.default_rng(5)
+    lead = vocabulary.hashes >> np.uint64(44) << np.uint64(44)
+    sought = np.concatenate([vocabulary.hashes, lead, lead + np.uint64(7), rng.integers(0, 1 << 63, 5000).astype(np.uint64), ~np.zeros(1, np.uint64)])
+    places = np.minimum(np.searchsorted(vocabulary.hashes, sought), len(vocabulary.hashes) - 1)
+    assert vocabulary.look_up(sought).tolist() == np.where(vocabulary.hashes[places] == sought, places, -1).tolist()
+    values, ends = np.sort(rng.random(4000)), np.sort(rng.choice(4000, 60, replace=False))
+    low, high, wanted = np.concatenate([[0], ends[:-1] + 1]), ends, rng.random(60)
+    assert pieces.first_not_below(values, low, high, wanted).tolist() == np.clip(np.searchsorted(values, wanted), low, high).tolist()
+
+
+def test_parts_are_numbered_as_they_come():
+    texts = ["b a b", None, "", " a  b ", "a", "  ", "a b b\n"]
+    distinct, words, row_at = pieces.numbered(texts)
+    assert [[distinct[w] for w in words[a:b]] for a, b in zip(row_at, row_at[1:])] == [pieces.parts_of(t or "") for t in texts]
+    assert distinct == list(dict.fromkeys(p for t in texts for p in pieces.parts_of(t or "")))
+
+
+def test_few_lists_are_held_while_parts_are_encoded():
+    class Library:
+        most = 0
+
+        def encode(self, parts, num_threads):
+            self.most = max(self.most, len(parts))
+            return [[len(p), 7] for p in parts]
+
+    class Only:
+        library = Library()
+
+    distinct = [f"w{k}" for k in range(5000)]
+    ids, at = pieces.encoded(Only, distinct, np.array([4999, 0, 1], np.int64), np.array([0, 1, 1, 3]))
+    assert ids.tolist() == [5, 7, 2, 7, 2, 7] and at.tolist() == [0, 2, 2, 6] and Only.library.most <= 1024
