@@ -36,7 +36,9 @@ NONE = float("-inf")
 
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return offsets
 
 
 def gathered(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,25 +83,23 @@ class Vocabulary:
         log_norm = np.log(np.sum(1 / (ranks + 10)))
         names = [self.library.id_to_piece(i) for i in kept]
         self.longest = max(map(len, names))
-        hashes = np.array([self.hash_of(n) for n in names], np.uint64)
+        # Hashes of all pieces and of what they begin with, character by character.
+        hashes, lengths = np.zeros(len(names), np.uint64), np.array([len(n) for n in names])
+        signs = np.array(names).view(np.uint32).reshape(len(names), -1).astype(np.uint64)
+        self.begins = np.zeros(1 << 20, bool)
+        for k in range(self.longest):
+            on = np.flatnonzero(lengths > k)
+            hashes[on] = self.extended(hashes[on], signs[on, k])
+            self.begins[(hashes[on] >> np.uint64(44)).astype(np.int64)] = True
         order = np.argsort(hashes)
         self.hashes, self.ids, self.scores = hashes[order], np.array(kept, np.int32)[order], alpha * (-np.log(ranks + 10) - log_norm)[order]
         # By the first 20 bits of a hash: where such hashes begin (-1: there are none) and how many there are.
         lead = (self.hashes >> np.uint64(44)).astype(np.int64)
         self.crowd = np.bincount(lead, minlength=1 << 20).astype(np.uint16)
         self.slot = np.where(self.crowd > 0, np.cumsum(self.crowd, dtype=np.int64) - self.crowd, -1).astype(np.int32)
-        self.begins = np.zeros(1 << 20, bool)
-        self.begins[[self.hash_of(n) >> 44 for n in {n[:k] for n in names for k in range(1, len(n) + 1)}]] = True
         self.byte_score = alpha * (-np.log(size + 10) - log_norm)
         self.first_byte = next(i for i in range(size) if self.library.is_byte(i))
 
-    @staticmethod
-    def hash_of(name: str) -> int:
-        h = np.zeros(1, np.uint64)
-        for sign in name:
-            h = Vocabulary.extended(h, np.array([ord(sign)], np.uint64))
-        return int(h[0])
-
     @staticmethod
     def extended(h: np.ndarray, signs: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -158,9 +158,11 @@ def edges_of(signs: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tup
         piece = np.full(len(reading), -1, np.int32)
         piece[on] = vocabulary.look_up(h[on])
         # Every place has an edge of one character.
-        hit = np.arange(len(reading)) if k == 0 else np.flatnonzero(piece >= 0)
-        found.append((reading[hit], many[reading[hit]], piece[hit]))
-        many[reading[hit]] += 1
+        hit = np.flatnonzero(piece >= 0) if k else slice(None)
+        node = reading[hit]
+        rank = many[node]
+        found.append((node, rank, piece[hit]))
+        many[node] = rank + 1
         reading, h = reading[on], h[on]
     edge_at = offsets_of(many)
     step, place = np.empty(int(edge_at[-1]), np.int32), np.empty(int(edge_at[-1]), np.int32)
@@ -204,10 +206,12 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
         leading[nodes] = np.minimum.reduceat(np.where(weight == 1.0, edges, len(node)), starts)
     target[target == total] = -1
     summed = np.cumsum(share)
-    above = summed - np.repeat(np.concatenate([[0.0], summed])[edge_at[:-1]], fan)
+    earlier = np.zeros(total)
+    earlier[1:] = summed[edge_at[1:-1] - 1]
+    above = summed - np.repeat(earlier, fan)
     # Ids: one of a piece, or those of the bytes of a character that is no piece.
     encoded = [chr(int(c)).encode("utf-8", "surrogatepass") for c in code]
-    id_lengths = np.ones(len(piece), np.int64)
+    id_lengths = np.ones(len(piece), np.int8)
     id_lengths[raw] = [len(b) for b in encoded]
     id_at = offsets_of(id_lengths)
     ids = np.empty(int(id_at[-1]), np.int32)
