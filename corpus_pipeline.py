@@ -40,8 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = durable(first.union(prints.where("set_key IS NULL").select("t1", "t2")).distinct())
     # Rows that are equal in all columns are told apart by nothing: one of them stays.
     repeated = durable(prints.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    once, several = kept.join(repeated, ["t1", "t2"], "left_anti"), kept.join(repeated, ["t1", "t2"], "left_semi")
-    left = rows.join(small(once), ["t1", "t2"], "left_semi").select(COLUMNS)
+    several = durable(kept.join(repeated, ["t1", "t2"], "left_semi"))
+    # Whole rows meet the keys of those that go or are repeated, which are far fewer than those that stay.
+    gone = durable(prints.select("t1", "t2").distinct().join(kept, ["t1", "t2"], "left_anti").union(several))
+    left = rows.join(small(gone), ["t1", "t2"], "left_anti").select(COLUMNS)
     return left.union(rows.join(small(several), ["t1", "t2"], "left_semi").select(COLUMNS).dropDuplicates())
 
 

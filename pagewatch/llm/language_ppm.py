@@ -25,6 +25,8 @@ LEAST_SHARE = 2e-5
 #: Byte values fall into classes: letters regardless of ASCII case, digits, marks and white space as one class each.
 SIGNS = 160
 PAD = 3
+#: Text that is counted and scored at a time; both take many times its room.
+COUNTED_BYTES, SCORED_BYTES = 1 << 20, 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -110,7 +112,7 @@ def counted(df: DataFrame) -> DataFrame:
             sums.clear()
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", COUNTED_BYTES):
                 by_lang: dict[str, list[bytes]] = {}
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                     if text:
@@ -125,7 +127,7 @@ def counted(df: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return df.mapInArrow(count, "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(released(count), "lang string, run long, n long").groupBy("lang", "run").agg(F.sum("n").alias("n"))
 
 
 def learn(df: DataFrame, text_column: str = "text", lang_column: str = "lang", least_share: float = LEAST_SHARE) -> Model:
@@ -141,7 +143,9 @@ def learn(df: DataFrame, text_column: str = "text", lang_column: str = "lang", l
     place = {lang: i for i, lang in enumerate(languages)}
     if not languages:
         return Model([], np.zeros(SIGNS, np.int64), np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
-    large = F.broadcast(table.sparkSession.createDataFrame([(k, max(1.0, v * least_share)) for k, v in totals.items()], "lang string, least double"))
+    # As an Arrow table it takes no Python workers of its own, which would stand idle beside the others of an executor.
+    least = pa.table({"lang": pa.array(list(totals), pa.string()), "least": pa.array([max(1.0, v * least_share) for v in totals.values()], pa.float64())})
+    large = F.broadcast(table.sparkSession.createDataFrame(least))
     levels = []
     for order in range(DEPTH + 1):
         cut = F.col("run") % F.lit(SIGNS ** (order + 1))
@@ -201,7 +205,7 @@ def predict(df: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", SCORED_BYTES):
                 texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
                 bits = own.bits(texts)
                 names, scores, rates = [], [], []
@@ -228,7 +232,7 @@ def kept(df: DataFrame, model: Model, text_column: str = "text", unknown: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in slices(whole, text_column, 1 << 20):
+            for batch in slices(whole, text_column, SCORED_BYTES):
                 texts = [t.encode() if t else b"" for t in batch.column(text_column).to_pylist()]
                 bits = own.bits(texts)
                 names = [own.languages[int(r.argmin())] if own.languages and LETTER.search(t.decode()) else unknown for t, r in zip(texts, bits)]

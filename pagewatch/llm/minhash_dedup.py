@@ -18,7 +18,7 @@ from pagewatch.session import durable, small
 
 #: Bands and rows: a pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26, 3 in 100,000.
 BANDS, ROWS = 26, 5
-STEP_ELEMENTS = 50_000
+STEP_ELEMENTS = 20_000
 #: Rows of a block that meets another one in a task, and shingles of one product.
 BLOCK, COLUMNS = 256, 4096
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -96,7 +96,7 @@ def fingerprints(df: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 sets = text_sets(batch.column("text").to_pylist(), memo, width)
                 keys = np.zeros((len(sets), bands), np.int64)
                 start = 0

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from itertools import product
 from re import _constants as ops, _parser as reader
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagewatch.session import durable, small
@@ -118,7 +119,9 @@ def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     """(id, h, n, kinds): the rules whose trigram query a key answers. Postings of a set are intersected by counting."""
     rows = [(kind, number, len(s), t) for kind, query in queries.items() for number, s in enumerate(sorted(query, key=sorted)) for t in sorted(s)]
-    asked = index.sparkSession.createDataFrame(rows, "kind string, part int, size int, trigram string")
+    kinds = {"kind": pa.string(), "part": pa.int32(), "size": pa.int32(), "trigram": pa.string()}
+    # An Arrow table needs no Python workers.
+    asked = index.sparkSession.createDataFrame(pa.table({name: pa.array([row[at] for row in rows], kind) for at, (name, kind) in enumerate(kinds.items())}))
     whole = index.join(F.broadcast(asked), "trigram").groupBy("id", "h", "n", "kind", "part", "size").agg(F.count("*").alias("met")).where("met = size")
     return whole.groupBy("id", "h", "n").agg(F.collect_set("kind").alias("kinds"))
 

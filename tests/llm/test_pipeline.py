@@ -6,6 +6,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 
 import __spark_entry__
+from pagewatch.session import small
 from tests.llm.helpers import shingles, smallest_reached
 from tests.llm.test_decontaminate import brute as contained
 from tests.llm.test_language_ppm import corpus
@@ -88,3 +89,20 @@ def test_near_duplicates_compare_every_row(spark, folder):
     kept = [(3, long("a")), (5, long("b")), (5, long("c")), (None, long("d")), (None, None), (4, ""), (None, " \t")]
     copies = [(None, long("a")), (None, long("a") + " more"), (5, long("a") + " more"), (6, long("a")), (7, long("c") + " more"), (3, long("a")), (None, long("d")), (None, None), (4, "")]
     assert stage_texts(spark, folder, "near_duplicates", [*copies, *kept]) == sorted(kept, key=str)
+
+
+def test_few_that_go_move_no_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30)), "aa", "s", 1) for i in [*range(40), 1, 1, 2]], SCHEMA)
+    monkeypatch.setattr(corpus_pipeline, "small", lambda df: small(df, 10))
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Left" in line]
+    assert len(joins) == 2 and all("broadcast" in line for line in joins)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(40))
+
+
+def test_stages_start_no_python_workers_for_side_tables(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    monkeypatch.setattr(spark.sparkContext, "parallelize", None)  # local rows of Python go through workers of their own
+    for stage in (corpus_pipeline.language, corpus_pipeline.secrets):
+        assert stage(spark, docs, folder).count() > 50
