@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pagewatch.llm.common import BATCH_BYTES, merged, mix, released
+from pagewatch.llm.common import merged, mix, released
 
 SPACE = "▁"
 #: Segmentations of a document, and how sharply probable ones are preferred.
@@ -31,6 +31,8 @@ SAMPLES, ALPHA = 4, 1.5
 FIRST_STEPS = 8
 #: Parts that the library encodes in one call.
 ENCODED_AT_ONCE = 1024
+#: Text that one step of a task works on at a time: the more, the more of its parts are alike, and each is worked out once.
+BATCH_BYTES = 7 << 20
 FIRM = re.compile("(?<=[^ ]) (?=[^ ])")
 NONE = float("-inf")
 
@@ -132,7 +134,6 @@ class Lattices:
     target: np.ndarray  # of each edge, the node it leads to, or -1 at the end of a part
     share: np.ndarray  # of each edge at its node, by all completions
     above: np.ndarray  # sum of the shares of a node's edges up to and with this one
-    log_share: np.ndarray
     id_at: np.ndarray  # ids of each edge
     ids: np.ndarray
     best_at: np.ndarray  # edges of each part's leading segmentation, which takes the edge with the largest share everywhere
@@ -141,6 +142,10 @@ class Lattices:
     log_rest: np.ndarray  # of all other segmentations together
     parting: np.ndarray  # for each edge of a leading one: share of the others that part from it up to here
 
+    @property
+    def log_share(self) -> np.ndarray:
+        return log_of(self.share)
+
 
 def edges_of(signs: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First edge of every node, and characters and place of the piece of every edge, by node and length. A node is followed
@@ -172,6 +177,19 @@ def edges_of(signs: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tup
     return edge_at, step, place
 
 
+def alike(far: np.ndarray, fan: np.ndarray) -> list[np.ndarray]:
+    """Nodes of equal distance ``far`` and number of edges ``fan``, the nearest to their ends first."""
+    wide = int(fan.max()) + 1
+    key = far.astype(np.int64) * wide + fan
+    key = key.astype(np.int16) if key.max() < 1 << 15 else key  # short keys sort faster
+    order = np.argsort(key, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
+
+
+def log_of(share: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(share, 1e-300))
+
+
 def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     names = [SPACE + p.replace(" ", SPACE) for p in parts]
     lengths = np.array([len(n) for n in names], np.int64)
@@ -187,33 +205,41 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     code = signs[node[raw]]
     scores = vocabulary.scores[piece]
     scores[raw] = vocabulary.byte_score * (1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF))
-    # Backward sums over all completions, for all places that are equally far from the end of their part; and the edge
-    # with the largest share at each place.
+    # Backward sums over all completions, for all places that are equally far from the end of their part and have equally
+    # many edges, a row of arrays for each edge; and the edge with the largest share at each place.
     sums = np.zeros(total + 1)
-    share, leading = np.empty(len(node)), np.empty(total, np.int64)
-    far = ends - np.arange(total, dtype=np.int32)
-    far = far.astype(np.int16) if total and lengths.max() < 1 << 15 else far  # short keys sort faster
-    by_distance = np.argsort(far, kind="stable")
-    for nodes in np.split(by_distance, np.flatnonzero(np.diff(far[by_distance])) + 1) if total else []:
-        edges, many = places_of(edge_at, nodes)
-        starts = np.cumsum(many) - many
+    share, above, leading = np.empty(len(node)), np.empty(len(node)), np.empty(total, np.int64)
+    for nodes in alike(ends - np.arange(total, dtype=np.int32), fan) if total else []:
+        first_edges, many = edge_at[nodes], int(fan[nodes[0]])
+        if many == 1:
+            sums[nodes] = scores[first_edges] + sums[target[first_edges]]
+            share[first_edges] = above[first_edges] = 1.0
+            leading[nodes] = first_edges
+            continue
+        edges = first_edges + np.arange(many)[:, None]
         through = scores[edges] + sums[target[edges]]
-        top = np.maximum.reduceat(through, starts)
-        weight = np.exp(through - np.repeat(top, many))
-        whole = np.add.reduceat(weight, starts)
+        top = through.max(axis=0)
+        weight = np.exp(through - top)
+        whole = weight[1].copy()
+        for more in weight[2:]:
+            whole += more
+        whole += weight[0]
         sums[nodes] = top + np.log(whole)
-        share[edges] = weight / np.repeat(whole, many)
-        leading[nodes] = np.minimum.reduceat(np.where(weight == 1.0, edges, len(node)), starts)
+        lead = edges[-1]
+        for k in range(many - 2, -1, -1):
+            lead = np.where(weight[k] == 1.0, edges[k], lead)
+        leading[nodes] = lead
+        weight /= whole
+        share[edges] = weight
+        above[edges] = np.cumsum(weight, axis=0)
     target[target == total] = -1
-    summed = np.cumsum(share)
-    earlier = np.zeros(total)
-    earlier[1:] = summed[edge_at[1:-1] - 1]
-    above = summed - np.repeat(earlier, fan)
     # Ids: one of a piece, or those of the bytes of a character that is no piece.
     encoded = [chr(int(c)).encode("utf-8", "surrogatepass") for c in code]
-    id_lengths = np.ones(len(piece), np.int8)
-    id_lengths[raw] = [len(b) for b in encoded]
-    id_at = offsets_of(id_lengths)
+    id_at = np.arange(len(piece) + 1)
+    if len(raw):
+        more = np.zeros(len(piece), np.int64)
+        more[raw] = [len(b) - 1 for b in encoded]
+        id_at[1:] += np.cumsum(more)
     ids = np.empty(int(id_at[-1]), np.int32)
     ids[id_at[:-1]] = vocabulary.ids[piece]
     if len(encoded):
@@ -232,30 +258,38 @@ def lattices(parts: list[str], vocabulary: Vocabulary) -> Lattices:
     best, who = np.empty(int(best_at[-1]), np.int64), np.repeat(np.arange(len(parts)), steps)
     for step_no, (active, edge) in enumerate(found):
         best[best_at[active] + step_no] = edge
-    log_share = np.log(np.maximum(share, 1e-300))
+    log_share = log_of(share[best])
     others = np.maximum(1 - share[best], 0)
     others[fan[node[best]] == 1] = 0
-    before = np.cumsum(log_share[best]) - log_share[best]
+    before = np.cumsum(log_share) - log_share
     leave = np.exp(before - before[best_at[:-1]][who]) * others
     rest = np.add.reduceat(leave, best_at[:-1]) if len(leave) else leave
     sums = np.cumsum(leave)
     parting = (sums - np.concatenate([[0.0], sums])[best_at[:-1]][who]) / np.maximum(rest, 1e-300)[who]
-    log_best = np.add.reduceat(log_share[best], best_at[:-1]) if len(parts) else np.empty(0)
+    log_best = np.add.reduceat(log_share, best_at[:-1]) if len(parts) else np.empty(0)
     with np.errstate(divide="ignore"):
-        return Lattices(first[:-1], lengths, edge_at, node, target, share, above, log_share, id_at, ids, best_at, best, log_best, np.log(rest), parting)
+        return Lattices(first[:-1], lengths, edge_at, node, target, share, above, id_at, ids, best_at, best, log_best, np.log(rest), parting)
 
 
-def first_not_below(values: np.ndarray, low: np.ndarray, high: np.ndarray, sought: np.ndarray) -> np.ndarray:
-    """``searchsorted`` in ascending ``values``, of which the places from ``low`` to ``high`` come into question. Most are
-    found by a few steps from ``low``; the others are searched for."""
+class EdgeKeys:
+    """Ascending numbers of edges, worked out where they are asked for: the node, and the share up to the edge."""
+
+    def __init__(self, lattice: Lattices):
+        self.lattice = lattice
+
+    def __getitem__(self, edges: np.ndarray) -> np.ndarray:
+        return self.lattice.node[edges] + np.minimum(self.lattice.above[edges], 1.0) * (1 - 1e-12)
+
+
+def first_not_below(values: np.ndarray | EdgeKeys, low: np.ndarray, high: np.ndarray, sought: np.ndarray) -> np.ndarray:
+    """``searchsorted`` in ascending ``values``, of which the places from ``low`` to ``high`` come into question, by steps."""
     at = low.copy()
-    on = np.flatnonzero((at < high) & (values[at] < sought))
-    for _ in range(24):
-        if not len(on):
-            return at
+    on = np.flatnonzero(at < high)
+    on = on[values[at[on]] < sought[on]]
+    while len(on):
         at[on] += 1
-        on = on[(at[on] < high[on]) & (values[at[on]] < sought[on])]
-    at[on] = np.minimum(np.searchsorted(values, sought[on]), high[on])
+        on = on[at[on] < high[on]]
+        on = on[values[at[on]] < sought[on]]
     return at
 
 
@@ -288,7 +322,7 @@ class Sampler:
         lengths = np.bincount(who, minlength=many)
         self.path_at = np.concatenate([self.path_at, self.path_at[-1] + np.cumsum(lengths)])
         self.paths = np.concatenate([self.paths, edges[order]])
-        self.log_path = np.concatenate([self.log_path, np.bincount(who, self.lattice.log_share[edges], many)])
+        self.log_path = np.concatenate([self.log_path, np.bincount(who, log_of(self.lattice.share[edges]), many)])
         return start
 
     def others(self, words: np.ndarray, keys: np.ndarray, place: np.ndarray, use: int) -> int:
@@ -326,9 +360,8 @@ class Sampler:
         return self._parting
 
     def edge_under(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_above"):
-            self._above = self.lattice.node + np.minimum(self.lattice.above, 1.0) * (1 - 1e-12)
-        return first_not_below(self._above, self.lattice.edge_at[node], self.lattice.edge_at[node + 1] - 1, node + np.minimum(u, 1.0) * (1 - 1e-12))
+        t = self.lattice
+        return first_not_below(EdgeKeys(t), t.edge_at[node], t.edge_at[node + 1] - 1, node + np.minimum(u, 1.0) * (1 - 1e-12))
 
     def drawn(self, fresh: np.ndarray, number: int) -> np.ndarray:
         """Paths of the parts at ``fresh``: the leading one, or another, by their shares."""
@@ -423,7 +456,7 @@ class Sampler:
         left = []  # edges of each path, and what it weighs from there on
         for p in gone:
             path = self.paths[self.path_at[p] : self.path_at[p + 1]]
-            left.append((path.tolist(), np.exp(np.cumsum(t.log_share[path][::-1])[::-1]).tolist()))
+            left.append((path.tolist(), np.exp(np.cumsum(log_of(t.share[path])[::-1])[::-1]).tolist()))
         node, steps = int(t.first_node[word]), []
         while node >= 0:
             low, high, step = int(t.edge_at[node]), int(t.edge_at[node + 1]), len(steps)

@@ -156,3 +156,12 @@ def test_few_lists_are_held_while_parts_are_encoded():
     distinct = [f"w{k}" for k in range(5000)]
     ids, at = pieces.encoded(Only, distinct, np.array([4999, 0, 1], np.int64), np.array([0, 1, 1, 3]))
     assert ids.tolist() == [5, 7, 2, 7, 2, 7] and at.tolist() == [0, 2, 2, 6] and Only.library.most <= 1024
+
+
+def test_levels_hold_nodes_alike_and_shares_add_up():
+    far, fan = np.array([1, 3, 1, 2, 1, 3]), np.array([1, 2, 2, 1, 1, 2])
+    assert [x.tolist() for x in pieces.alike(far, fan)] == [[0, 4], [2], [3], [1, 5]]
+    lattice = pieces.lattices(["the", "of the", "\u4e2dx", "a" * 40], pieces.loaded(PATH))
+    fan = np.diff(lattice.edge_at)
+    assert np.allclose(lattice.above[lattice.edge_at[1:] - 1], 1) and np.allclose(np.add.reduceat(lattice.share, lattice.edge_at[:-1]), 1)
+    assert lattice.above[lattice.edge_at[:-1]].tolist() == lattice.share[lattice.edge_at[:-1]].tolist() and fan.max() > 2
